@@ -1,16 +1,17 @@
 """Exact n-gram Jaccard join through parity sketches.
 
-A document is the set of its distinct n-word shingles. Documents of one size band are cut into
-the same ``s`` segments: every shingle hashes to a segment and flips one of that segment's 64
-bits. The Hamming distance of two such sketches is at most the symmetric difference of the two
-sets, as a shared shingle flips the same bit in both. Linked documents of the band differ in at
-most ``tau`` shingles, so at most ``tau`` segments differ, and by the pigeonhole principle they
-agree in ``s - tau`` of them. Each document therefore offers ``tau + 1`` segments, taken in one
-order common to all (those with a rare shingle first, empty ones last), and linked documents
-meet in one of these. A document with too many empty segments for that is sketched again with
-another seed, as often as it takes.
-
-What meets is verified on the whole sets. Copies of a set are one node throughout. In a group
+A document is the set of its distinct n-word shingles. Its sketch is a bit vector in which every
+shingle flips one bit, so the Hamming distance of two sketches is at most the symmetric
+difference of the sets: a shared shingle flips the same bit in both. Documents of one size band
+have sketches of ``s`` segments. Linked documents of the band differ in at most ``tau`` shingles,
+so at most ``tau`` segments differ, and by the pigeonhole principle ``s - tau`` are equal. Segments
+are wide (2^64 bits) and sparse and are kept folded: the XOR of a random code for each bit set.
+Each document offers ``tau + 1`` of its segments, in one order common to all (those with most
+rare shingles first, empty ones last), and linked documents meet in one of these. A document
+with too many empty segments for that is sketched again with another seed, as often as it takes.
+
+What meets is held against a narrow sketch of each document first, whose Hamming distance rules
+most false pairs out, and then verified on the whole sets. Copies of a set are one node throughout. In a group
 that meets in a segment, each member is first verified against the least node; then all pairs
 of the group that these links have not brought into one component are verified too, so no link
 that matters is lost and no group is expanded into all its pairs.
@@ -32,9 +33,13 @@ from vexel.llm.scratch import written
 
 WORDS, SIMILARITY = 5, (75, 100)
 #: Documents sampled to learn which shingles are frequent. This orders segments and so affects cost only.
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 10_000
 #: A shingle of this many sampled documents is frequent; at most so many are sent to the tasks (8 bytes each).
-FREQUENT_IN, MAX_FREQUENT = 4, 200_000
+FREQUENT_IN, MAX_FREQUENT = 3, 200_000
+#: A segment that so many documents of one block share is met within the block, and by one of them beyond it.
+HOT_IN_BLOCK = 64
+#: 64-bit words of the narrow sketch.
+NARROW = 16
 #: Keys joined by broadcast at most (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 _BLOCK_BYTES = 8_000_000
@@ -65,7 +70,7 @@ def plan(n: np.ndarray, up: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     band = np.searchsorted(edges, n, side="right") - 1 + up
     tau = 2 * (edges[band + 1] - 1) // 7
     tau[(up == 1) & (4 * n // 3 < edges[band])] = 0  # no partner is that large
-    return band, tau, tau + 1 + np.maximum(1, tau)
+    return band, tau, tau + 1 + np.maximum(1, tau // 2)
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -104,13 +109,12 @@ def segments(tokens: np.ndarray, rare: np.ndarray, sizes: np.ndarray, up: int) -
         segment = ((h >> np.uint64(32)) * parts.astype(np.uint64)[owner]) >> np.uint64(32)
         cell = first[owner] + segment.astype(np.int64)
         word = np.zeros(parts.sum(), dtype=np.uint64)
-        np.bitwise_xor.at(word, cell, np.uint64(1) << (h & np.uint64(63)))
-        scarce = np.zeros(len(word), dtype=bool)
-        scarce[cell[rare[at]]] = True
+        np.bitwise_xor.at(word, cell, mix(h + _M1))
+        scarce = np.bincount(cell[rare[at]], minlength=len(word))
         holder = np.repeat(np.arange(len(todo)), parts)
         offered = np.flatnonzero(word)
-        # By set, then segments with a rare shingle, then by place.
-        offered = offered[np.lexsort((~scarce[offered], holder[offered]))]
+        # By set, then segments with most rare shingles, then by place.
+        offered = offered[np.lexsort((-scarce[offered], holder[offered]))]
         of = holder[offered]
         count = np.bincount(of, minlength=len(todo))
         rank = np.arange(len(offered)) - np.repeat(np.cumsum(count) - count, count)
@@ -136,13 +140,40 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
+def narrow(sets: list[np.ndarray]) -> list[bytes]:
+    """Parity sketches of ``64 * NARROW`` bits."""
+    tokens = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    h = mix(tokens + _M3)
+    words = np.zeros(len(sets) * NARROW, dtype=np.uint64)
+    np.bitwise_xor.at(words, owner * NARROW + ((h >> np.uint64(6)) % np.uint64(NARROW)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return [row.tobytes() for row in words.astype("<u8").reshape(-1, NARROW)]
+
+
+def _offers(rows, bucket: np.ndarray, ids: np.ndarray, owner: np.ndarray, signature: np.ndarray, hot: bool) -> pa.RecordBatch:
+    """Signatures by bucket, run by run of one owner: nodes, how many each has, and their low 32 bits."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, owner, low = bucket[order], owner[order], signature[order].astype("<u4")
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    nodes, counts, signatures = [], [], []
+    for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+        heads = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+        nodes.append(ids[owner[a:b][heads]].astype("<i8").tobytes())
+        counts.append(np.diff(heads, append=b - a).astype("<u4").tobytes())
+        signatures.append(low[a:b].tobytes())
+    return rows(len(starts), bucket=bucket[starts].astype(np.int32), hot=np.full(len(starts), hot), nodes=nodes, counts=counts, signatures=signatures)
+
+
 def _sketch(df: DataFrame, words: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Per document ``(key, doc_id, node, n)``; per bucket and block ``(bucket, nodes, counts, signatures)``."""
+    """Per document ``(key, doc_id, node, n, narrow)``; per bucket and block ``(bucket, hot, nodes, counts,
+    signatures)``; for members of a hot segment of a block ``(grp, node)``."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)
-    schema = "key long, doc_id long, node long, n long, bucket int, nodes binary, counts binary, signatures binary"
-    arrow = pa.schema(
-        [(c, pa.int64()) for c in ("key", "doc_id", "node", "n")] + [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("nodes", "counts", "signatures")]
-    )
+    schema = "key long, doc_id long, node long, n long, grp long, narrow binary, bucket int, hot boolean, nodes binary, counts binary, signatures binary"
+    longs, blobs = ("key", "doc_id", "node", "n", "grp"), ("nodes", "counts", "signatures")
+    arrow = pa.schema([(c, pa.int64()) for c in longs] + [("narrow", pa.binary()), ("bucket", pa.int32()), ("hot", pa.bool_())] + [(c, pa.binary()) for c in blobs])
+
+    def rows(rows_: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows_, f.type) for f in arrow], schema=arrow)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -150,8 +181,7 @@ def _sketch(df: DataFrame, words: int, frequent: np.ndarray, buckets: int) -> Da
             sets = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
             nodes = [node_of(x) for x in sets]
             sizes = [len(x) for x in sets]
-            docs = [batch.column("key"), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*docs, *[pa.nulls(len(sets), f.type) for f in list(arrow)[4:]]], schema=arrow)
+            yield rows(len(sets), key=batch.column("key"), doc_id=batch.column("doc_id"), node=nodes, n=sizes, narrow=narrow(sets))
             new = [k for k, n in enumerate(nodes) if sizes[k] > 2 and n not in seen and not seen.add(n)]
             if not new:
                 continue
@@ -165,18 +195,19 @@ def _sketch(df: DataFrame, words: int, frequent: np.ndarray, buckets: int) -> Da
             for up in (0, 1):
                 owner, signature = segments(tokens, rare, size, up)
                 bucket = ((signature >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                owner, low, bucket = owner[order], signature[order].astype("<u4"), bucket[order]
-                rows = []
-                for part in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
+                _, same, times = np.unique(signature, return_inverse=True, return_counts=True)
+                crowded = times[same] > HOT_IN_BLOCK
+                if crowded.any():
+                    name = (bucket[crowded] << 32) | (signature[crowded] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    yield rows(len(name), grp=name, node=ids[owner[crowded]])
+                    first = np.lexsort((ids[owner], same))
+                    first = first[np.diff(same[first], prepend=-1) > 0]
+                    one = np.zeros(len(owner), dtype=bool)
+                    one[first] = True
+                for hot in (False, True):
+                    part = np.flatnonzero(crowded & one if hot else ~crowded) if crowded.any() else np.arange(0 if hot else len(owner))
                     if len(part):
-                        o = owner[part]
-                        heads = np.flatnonzero(np.diff(o, prepend=-1))
-                        rows.append((int(bucket[part[0]]), ids[o[heads]].tobytes(), np.diff(heads, append=len(o)).astype("<u4").tobytes(), low[part].tobytes()))
-                columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(len(rows), pa.int64())] * 4, pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], schema=arrow
-                )
+                        yield _offers(rows, bucket[part], ids, owner[part], signature[part], hot)
 
     return df.mapInArrow(task, schema)
 
@@ -185,21 +216,26 @@ def _meet(table: pa.Table) -> pa.Table:
     """Groups of nodes that offer one signature in a bucket: ``(grp, node)``, ``grp`` naming the set of members."""
     out = pa.schema([("grp", pa.int64()), ("node", pa.int64())])
     read = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()])
-    nodes = np.repeat(read("nodes", "<i8"), read("counts", "<u4"))
-    signature = read("signatures", "<u4")
+    counts = read("counts", "<u4")
+    nodes, signature = np.repeat(read("nodes", "<i8"), counts), read("signatures", "<u4").astype(np.int64)
+    hot = np.repeat(table.column("hot").to_numpy(), [len(x) // 4 for x in table.column("signatures").to_pylist()])
     order = np.lexsort((nodes, signature))
-    nodes, signature = nodes[order], signature[order]
-    first = np.ones(len(nodes), dtype=bool)
-    first[1:] = (nodes[1:] != nodes[:-1]) | (signature[1:] != signature[:-1])
-    nodes, signature = nodes[first], signature[first]
-    heads = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-    size = np.diff(heads, append=len(nodes))
-    named = mix(np.add.reduceat(mix(nodes.view(np.uint64) ^ _M1), heads) + size.astype(np.uint64))
+    nodes, signature, hot = nodes[order], signature[order], hot[order]
+    heads = np.flatnonzero(np.diff(signature, prepend=-1))
+    hot = np.logical_or.reduceat(hot, heads)
+    new = np.ones(len(nodes), dtype=bool)
+    new[1:] = (nodes[1:] != nodes[:-1]) | (signature[1:] != signature[:-1])
+    size = np.add.reduceat(new.astype(np.int64), heads)
+    nodes, heads = nodes[new], np.cumsum(size) - size
+    # Hot segments are named after themselves, as members from within a block name them too.
+    named = mix(np.add.reduceat(mix(nodes.view(np.uint64) ^ _M1), heads) + size.astype(np.uint64)).view(np.int64)
+    of = signature[np.flatnonzero(np.diff(signature, prepend=-1))]
+    named = np.where(hot, (table.column("bucket")[0].as_py() << 32) | of, named | np.int64(-(2**63)))
     _, once = np.unique(named, return_index=True)
-    once = once[size[once] > 1]
+    once = once[(size[once] > 1) | hot[once]]
     each = size[once]
     at = np.repeat(heads[once] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-    return pa.Table.from_arrays([pa.array(np.repeat(named[once].view(np.int64), each)), pa.array(nodes[at])], schema=out)
+    return pa.Table.from_arrays([pa.array(np.repeat(named[once], each)), pa.array(nodes[at])], schema=out)
 
 
 def _frequent(df: DataFrame, words: int) -> np.ndarray:
@@ -237,8 +273,17 @@ def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return df.join(wanted, "key").select("text", "node").mapInArrow(task, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Of node pairs ``(a, b)`` those that link, with the sizes of intersection and union."""
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Of node pairs ``(a, b)`` those that link, with the sizes of intersection and union.
+
+    A link means a symmetric difference of at most a seventh of both sizes, which the Hamming
+    distance of the narrow sketches can't exceed.
+    """
+    ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("narrow").alias(f"w{c}")) for c in ("a", "b")]
+    words = "zip_with(transform(sequence(0, %d), k -> conv(hex(substring(wa, 8 * k + 1, 8)), 16, -10)), transform(sequence(0, %d), k -> conv(hex(substring(wb, 8 * k + 1, 8)), 16, -10)), (x, y) -> bit_count(cast(x as bigint) ^ cast(y as bigint)))" % (NARROW - 1, NARROW - 1)
+    near = pairs.join(ends[0], "a").join(ends[1], "b")
+    apart = F.expr(f"aggregate({words}, 0, (s, v) -> s + v)")
+    pairs = near.where((7 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -265,17 +310,20 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     docs = df.select(F.coalesce(id_, F.xxhash64(text_)).alias("key"), id_.alias("doc_id"), text_.alias("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = written(_sketch(docs, words, _frequent(docs, words), buckets), "sketches")
-    members = base.where("bucket is null").select("key", "doc_id", "node", "n")
-    offers = base.where("bucket is not null").select("bucket", "nodes", "counts", "signatures")
-    met = written(offers.groupBy("bucket").applyInArrow(_meet, "grp long, node long").distinct(), "groups")
-
-    nodes = members.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    wanted = written(met.select("node").distinct().join(nodes, "node").select("key", "node"), "wanted")
-    sets = written(_sets(docs, wanted, words), "sets")
-
+    members = base.where("n is not null").select("key", "doc_id", "node", "n")
+    offers = base.where("bucket is not null").select("bucket", "hot", "nodes", "counts", "signatures")
+    inside = base.where("grp is not null").select("grp", "node")
+    met = offers.groupBy("bucket").applyInArrow(_meet, "grp long, node long").union(inside)
+    met = written(met.distinct(), "groups")
+
+    sketches = base.where("n is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("narrow").alias("narrow"))
+    nodes = written(sketches, "nodes")
+    near = written(met.select("node").distinct().join(nodes, "node").select("key", "node", "n", "narrow"), "met")
     heads = met.groupBy("grp").agg(F.min("node").alias("a"))
     stars = met.join(heads, "grp").select("a", F.col("node").alias("b")).where("a < b")
-    first = written(_verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, SIMILARITY), "first")
+    stars = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
+    sets = written(_sets(docs, near.select("key", "node"), words), "sets")
+    first = written(_verified(stars, near, sets, SIMILARITY), "first")
     labels = components(first)
 
     # Pairs of a group that the first links left in different components.
@@ -285,7 +333,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     other = tagged.select("grp", F.col("node").alias("b"), F.col("comp").alias("other"))
     apart = tagged.withColumnRenamed("node", "a").join(other, "grp").where("comp < other").select("a", "b").distinct()
     apart = apart.join(first, ["a", "b"], "left_anti")
-    links = written(first.union(_verified(apart, sets, SIMILARITY)), "links")
+    links = written(first.union(_verified(apart, near, sets, SIMILARITY)), "links")
     labels = components(links)
 
     by = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"), (F.col("n") > 0).alias("any"))

@@ -12,7 +12,6 @@ chosen anew in each round. A document scores as its highest sentence, as a proba
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents used for training, of each label at most.
-MAX_LABELLED = 1500
+MAX_LABELLED = 1200
 LANDMARKS, HARD_NEGATIVES = 128, 48
 #: Sentences of clean documents used in a round of training: those that score highest, and some others.
 HARD_SENTENCES, OTHER_SENTENCES = 15_000, 2_000
@@ -35,6 +34,8 @@ _GAPS = [(1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2)]
 _SIGNS = 33  # 26 letters, 6 groups of other letters, the start of a word
 _START = 32
 _GROUPS = 16
+#: Words and triples handled at a time, for memory.
+_CHUNK_WORDS, _CHUNK_TRIPLES = 20_000, 30_000
 _BLOCK_BYTES = 8_000_000
 #: Words whose value a task remembers before it starts afresh (about 100 bytes each).
 _KNOWN_WORDS = 1_000_000
@@ -131,6 +132,12 @@ class Kernel:
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that resemble some landmark, and their sharpened kernel values."""
+        parts = [(a, *self._near(words[a : a + _CHUNK_WORDS])) for a in range(0, len(words), _CHUNK_WORDS)]
+        if not parts:
+            return np.zeros(0, int), np.zeros((0, self.table.shape[1]), dtype=np.float32)
+        return np.concatenate([a + near for a, near, _ in parts]), np.concatenate([v for _, _, v in parts])
+
+    def _near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owner, triple, weight, norm = triples(words)
         weight = weight.astype(np.float32)
         # What a group's greatest weights come to bounds the kernel with each of its landmarks.
@@ -149,8 +156,8 @@ class Kernel:
 def _sums(table: np.ndarray, at: np.ndarray, triple: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Weighted sums of table rows by ``at``, which is sorted."""
     out = np.zeros((n, table.shape[1]), dtype=np.float32)
-    for lo in range(0, len(at), 100_000):
-        hi = min(len(at), lo + 100_000)
+    for lo in range(0, len(at), _CHUNK_TRIPLES):
+        hi = min(len(at), lo + _CHUNK_TRIPLES)
         heads = np.flatnonzero(np.diff(at[lo:hi], prepend=-1))
         out[at[lo:hi][heads]] += np.add.reduceat(table[triple[lo:hi]] * weight[lo:hi, None], heads, axis=0)
     return out
@@ -236,25 +243,37 @@ class Model:
 
 
 def _candidates(words: list[str], present: np.ndarray, text: np.ndarray, label: np.ndarray) -> list[str]:
-    """Words of toxic texts, those first whose letter groups tell them from clean texts best."""
-    pairs = np.unique(np.stack([text, present]), axis=1)
-    toxic, clean = Counter(), Counter()
-    grams = [{w[i : i + 4] for i in range(len(w) - 3)} for w in ("^" + "".join(c for c in w if c.isalnum()) for w in words)]
+    """Words of toxic texts, those first whose groups of four letters tell them from clean texts best."""
+    coded = [chr(_START) + "".join(c for c in w.translate(_TABLE) if c != "\xff") for w in words]
+    flat = np.frombuffer("".join(coded).encode("latin-1"), dtype=np.uint8).astype(np.int64)
+    length = np.asarray([len(c) for c in coded])
+    word = np.repeat(np.arange(len(words)), length)
+    n = max(0, len(flat) - 3)
+    whole = word[:n] == word[3:]
+    word = word[:n][whole]
+    gram = (((flat[:n] * _SIGNS + flat[1 : n + 1]) * _SIGNS + flat[2 : n + 2]) * _SIGNS + flat[3:])[whole]
+    first = np.searchsorted(word, np.arange(len(words) + 1))
+    texts_with = np.zeros((2, _SIGNS**4), dtype=np.int32)
+    bounds = np.searchsorted(text, np.arange(len(label) + 1))
     for t in range(len(label)):
-        lo, hi = np.searchsorted(pairs[0], [t, t + 1])
-        (toxic if label[t] else clean).update(set().union(*[grams[w] for w in pairs[1, lo:hi]]))
+        mine = np.unique(present[bounds[t] : bounds[t + 1]])
+        count = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        texts_with[int(label[t]), np.unique(gram[at])] += 1
     n1, n0 = max(1, int(label.sum())), max(1, int((~label).sum()))
-
-    def odds(g: str) -> float:
-        return np.log((toxic[g] + 0.1) / (n1 + 1)) - np.log((clean[g] + 0.5) / (n0 + 1)) if toxic[g] > 1 else -9.0
-
-    in_toxic = np.unique(present[label[text]])
-    ranked = []
-    for w in in_toxic:
-        found = sorted((odds(g) for g in grams[w]), reverse=True)[:3]
-        if len(words[w]) <= 24 and found and found[0] > 1:
-            ranked.append((-sum(found) / 3, words[w]))
-    return [w for _, w in sorted(ranked)]
+    odds = np.log((texts_with[1] + 0.1) / (n1 + 1)) - np.log((texts_with[0] + 0.5) / (n0 + 1))
+    odds[texts_with[1] < 2] = -9
+    value = odds[gram]
+    order = np.lexsort((-value, word))
+    rank = np.arange(len(word)) - first[word[order]]
+    top = order[rank < 3]
+    score = np.bincount(word[top], value[top], minlength=len(words)) / 3
+    best = np.full(len(words), -np.inf)
+    np.maximum.at(best, word, value)
+    toxic = np.zeros(len(words), dtype=bool)
+    toxic[present[label[text]]] = True
+    good = np.flatnonzero(toxic & (best > 1) & (length <= 25))
+    return [words[w] for w in good[np.lexsort((good, -score[good]))]]
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
