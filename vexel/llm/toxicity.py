@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents used for training, of each label at most.
-MAX_LABELLED = 1200
+MAX_LABELLED = 700
 LANDMARKS, HARD_NEGATIVES = 128, 48
 #: Sentences of clean documents used in a round of training: those that score highest, and some others.
 HARD_SENTENCES, OTHER_SENTENCES = 15_000, 2_000
@@ -308,12 +308,16 @@ def train(texts: list[str], labels: list[int]) -> Model:
     near, values = kernel(words)
     row = np.full(len(words), -1)
     row[near] = np.arange(len(near))
-    n_sentences = int(sentence.max()) + 1
-    of = np.zeros(n_sentences, dtype=np.int64)
-    of[sentence] = text
     hit = row[at] >= 0
-    features = np.zeros((n_sentences, len(landmarks)), dtype=np.float32)
-    np.add.at(features, sentence[hit], values[row[at[hit]]])
+    # Sentences without any landmark are all alike and need no row.
+    some, where = np.unique(sentence[hit], return_inverse=True)
+    features = np.zeros((len(some), len(landmarks)), dtype=np.float32)
+    np.add.at(features, where, values[row[at[hit]]])
+    of = np.zeros(int(sentence.max()) + 1, dtype=np.int64)
+    of[sentence] = text
+    plain = np.bincount(of, minlength=len(label)) > np.bincount(of[some], minlength=len(label))
+    of = of[some]
+    del words, at, sentence, text, values, row, hit
 
     # Nystroem map: the inverse square root of the landmarks' own kernel.
     own_at, own = kernel(landmarks)
@@ -328,15 +332,16 @@ def train(texts: list[str], labels: list[int]) -> Model:
         order = np.argsort(rank, kind="stable")
         best[of[order]] = order
         positive = best[label & (best >= 0)]
-        clean_order = order[~label[of[order]]]
-        negative = np.concatenate([clean_order[-HARD_SENTENCES:], clean_order[:-HARD_SENTENCES][:OTHER_SENTENCES]])
-        x = np.concatenate([features[positive], features[negative]]).astype(float) @ root
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        w, b = _squared_hinge(x, y, np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative))))
+        hard = order[~label[of[order]]][-HARD_SENTENCES:]
+        others = np.zeros((OTHER_SENTENCES, len(landmarks)))
+        x = np.concatenate([features[positive].astype(float) @ root, features[hard].astype(float) @ root, others])
+        n1, n0 = max(1, len(positive)), len(hard) + len(others)
+        w, b = _squared_hinge(x, np.repeat([1.0, -1.0], [len(positive), n0]), np.repeat([0.5 / n1, 0.5 / n0], [len(positive), n0]))
         rank = features @ (root @ w).astype(np.float32)
-    model = Model(kernel, root @ w, b, 1.0, 0.0)
-    model.slope, model.shift = _platt(model.margins(pa.array(texts, pa.string())), label)
-    return model
+    margin = np.where(plain, b, -np.inf)
+    np.maximum.at(margin, of, rank + b)
+    slope, shift = _platt(np.where(np.isfinite(margin), margin, b), label)
+    return Model(kernel, root @ w, b, slope, shift)
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
