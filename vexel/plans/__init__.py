@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udf, udtf
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from vexel import functions
 from vexel.index.quantize import Quantizer
 
 
-@udtf(returnType="id long, score double")
+@udtf(returnType=StructType().add("id", LongType()).add("score", DoubleType()))
 class KnnTable:
     """``knn(TABLE(SELECT id, vector ...), query, k, bit_width)``: quantised similarity, best first.
 
@@ -41,7 +42,7 @@ class KnnTable:
                 yield int(self.ids[at]), float(scores[at])
 
 
-@udf("double")
+@udf(DoubleType())
 def self_score(vector, bit_width):
     """Quantised similarity of a vector with itself, a diagnostic of the quantiser."""
     if vector is None or bit_width is None:
