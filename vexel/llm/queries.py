@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vexel.llm import mixing, packing, parity_join, quality_model, quality_rules, secret_scan, sharding, toxicity, vptree, warc
+from vexel.llm.sql import oracle_sql  # noqa: F401  (read by the entry module)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +63,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (
+ALL = (
     op1_nearest_neighbours,
     op2_jaccard_join,
     op3_archive_pages,
@@ -77,8 +78,4 @@ QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: f for f in ALL}
