@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexel.llm.components import components
-from vexel.llm.scratch import written
+from vexel.llm.scratch import drop_path, new_path, written
 
 WORDS, SIMILARITY = 5, (75, 100)
 #: Documents sampled to learn which shingles are frequent. This orders segments and so affects cost only.
@@ -256,41 +256,46 @@ def _frequent(df: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(node, hashes)`` of the wanted ``(key, node)``."""
+    """``(node, hashes)`` of the wanted ``(key, node)``; of rows that repeat a key, one a task at least."""
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in _blocks(batches):
             nodes, hashes = [], []
             for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
-                found = shingle_hashes(text, words)
-                if node_of(found) == node:  # not another text of a repeated key
+                found = shingle_hashes(text, words) if node not in seen else None
+                if found is not None and node_of(found) == node:  # not another text of a repeated key
+                    seen.add(node)
                     nodes.append(node)
                     hashes.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    return df.join(wanted, "key").select("text", "node").mapInArrow(task, "node long, hashes array<long>").dropDuplicates(["node"])
+    return df.join(wanted, "key").select("text", "node").mapInArrow(task, "node long, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int, int], name: str) -> DataFrame:
     """Of node pairs ``(a, b)`` those that link, with the sizes of intersection and union.
 
     A link means a symmetric difference of at most a seventh of both sizes, which the Hamming
-    distance of the narrow sketches can't exceed.
+    distance of the narrow sketches can't exceed. Whole sets are made for what is left only.
     """
     ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("narrow").alias(f"w{c}")) for c in ("a", "b")]
-    words = "zip_with(transform(sequence(0, %d), k -> conv(hex(substring(wa, 8 * k + 1, 8)), 16, -10)), transform(sequence(0, %d), k -> conv(hex(substring(wb, 8 * k + 1, 8)), 16, -10)), (x, y) -> bit_count(cast(x as bigint) ^ cast(y as bigint)))" % (NARROW - 1, NARROW - 1)
-    near = pairs.join(ends[0], "a").join(ends[1], "b")
-    apart = F.expr(f"aggregate({words}, 0, (s, v) -> s + v)")
-    pairs = near.where((7 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
+    word = "cast(conv(hex(substring({w}, 8 * k + 1, 8)), 16, -10) as bigint)"
+    flips = " + ".join(f"bit_count({word.format(w='wa')} ^ {word.format(w='wb')})".replace("8 * k + 1", str(8 * k + 1)) for k in range(NARROW))
+    near = pairs.join(ends[0], "a").join(ends[1], "b").where(7 * F.expr(flips) <= F.col("na") + F.col("nb")).select("a", "b")
+    near = written(near, f"{name}_near")
+    used = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = written(_sets(docs, written(used.join(nodes, "node").select("key", "node"), f"{name}_nodes"), words), f"{name}_sets")
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = near.join(left, "a").join(right, "b")
     both = both.withColumn("common", F.size(F.array_intersect("ha", "hb")).cast("long"))
     both = both.withColumn("either", F.size("ha") + F.size("hb") - F.col("common"))
     need, of = similarity
-    return both.where(of * F.col("common") >= need * F.col("either")).select("a", "b", "common", "either")
+    links = both.where(of * F.col("common") >= need * F.col("either")).select("a", "b", "common", "either").distinct()
+    return written(links, f"{name}_links")
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -309,21 +314,23 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     id_, text_ = F.col(doc_id).cast("long"), F.col(text).cast("string")
     docs = df.select(F.coalesce(id_, F.xxhash64(text_)).alias("key"), id_.alias("doc_id"), text_.alias("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = written(_sketch(docs, words, _frequent(docs, words), buckets), "sketches")
-    members = base.where("n is not null").select("key", "doc_id", "node", "n")
+    path = new_path(spark, "sketches")
+    _sketch(docs, words, _frequent(docs, words), buckets).write.parquet(path)
+    base = spark.read.parquet(path)
+    members = written(base.where("n is not null").select("key", "doc_id", "node", "n", "narrow"), "members")
     offers = base.where("bucket is not null").select("bucket", "hot", "nodes", "counts", "signatures")
     inside = base.where("grp is not null").select("grp", "node")
     met = offers.groupBy("bucket").applyInArrow(_meet, "grp long, node long").union(inside)
     met = written(met.distinct(), "groups")
+    drop_path(spark, path)  # the largest of the tables
 
-    sketches = base.where("n is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("narrow").alias("narrow"))
-    nodes = written(sketches, "nodes")
+    nodes = members.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("narrow").alias("narrow"))
+    nodes = written(nodes, "nodes")
     near = written(met.select("node").distinct().join(nodes, "node").select("key", "node", "n", "narrow"), "met")
     heads = met.groupBy("grp").agg(F.min("node").alias("a"))
     stars = met.join(heads, "grp").select("a", F.col("node").alias("b")).where("a < b")
-    stars = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
-    sets = written(_sets(docs, near.select("key", "node"), words), "sets")
-    first = written(_verified(stars, near, sets, SIMILARITY), "first")
+    stars = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = _verified(docs, stars, near, words, SIMILARITY, "first")
     labels = components(first)
 
     # Pairs of a group that the first links left in different components.
@@ -333,8 +340,11 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     other = tagged.select("grp", F.col("node").alias("b"), F.col("comp").alias("other"))
     apart = tagged.withColumnRenamed("node", "a").join(other, "grp").where("comp < other").select("a", "b").distinct()
     apart = apart.join(first, ["a", "b"], "left_anti")
-    links = written(first.union(_verified(apart, near, sets, SIMILARITY)), "links")
-    labels = components(links)
+    apart = written(apart, "apart_pairs")
+    links = first
+    if apart.limit(1).count():
+        links = first.union(_verified(docs, apart, near, words, SIMILARITY, "apart"))
+        labels = components(links)
 
     by = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"), (F.col("n") > 0).alias("any"))
     by = written(by, "by_node")
