@@ -2,11 +2,12 @@
 
 A word is the weighted bag of its letter triples, in order but not necessarily adjacent: every
 letter skipped inside a triple halves its weight, so ``i-d-i-o-t`` and ``idxiot`` stay close to
-``idiot``. The kernel of two words is the cosine of their bags, sharpened so that chance
+``idiot``. The kernel of two words is the cosine of their bags, cut off at a floor so that chance
 resemblance counts nothing; the kernel of two sentences is the sum over their word pairs.
 Landmark words give the Nystroem map, on which a squared-hinge machine is trained over sentences
-of labelled documents. Of a toxic document only the sentence that scores highest is an example,
-chosen anew in each round. A document scores as its highest sentence, as a probability.
+of labelled documents. Of a toxic document only the two sentences that score highest are examples,
+chosen anew in each round. A document scores as its three highest sentences together, as a
+probability: a single doubtful word weighs less than several.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ THRESHOLD = 0.3
 #: Kernel values below this are chance resemblance.
 FLOOR = 0.35
 SENTENCE_WORDS = 24
+#: Sentences of a toxic document that are examples, and sentences that a document's score adds up.
+EXAMPLES, HIGHEST = 2, 3
 _GAPS = [(1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2)]
 _SIGNS = 33  # 26 letters, 6 groups of other letters, the start of a word
 _START = 32
@@ -131,7 +134,7 @@ class Kernel:
         return Kernel(table, most)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that resemble some landmark, and their sharpened kernel values."""
+        """Places of the words that resemble some landmark, and their kernel values above the floor."""
         parts = [(a, *self._near(words[a : a + _CHUNK_WORDS])) for a in range(0, len(words), _CHUNK_WORDS)]
         if not parts:
             return np.zeros(0, int), np.zeros((0, self.table.shape[1]), dtype=np.float32)
@@ -148,7 +151,7 @@ class Kernel:
         mine = place[owner] >= 0
         values = _sums(self.table, place[owner[mine]], triple[mine], weight[mine], len(near))
         values /= norm[near, None]
-        values = np.clip((values - FLOOR) / (1 - FLOOR), 0, 1) ** 2
+        values = np.clip((values - FLOOR) / (1 - FLOOR), 0, 1)
         some = values.any(axis=1)
         return near[some], values[some]
 
@@ -225,23 +228,30 @@ class Model:
         return np.fromiter(map(known.__getitem__, words), dtype=float, count=len(words))
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        """Margin of each text's highest sentence; that of an empty sentence where it has no words."""
+        """Sum of each text's highest sentence margins; missing sentences count as empty ones."""
         words, at, sentence, text = sentences(texts)
         value = self._values(words)
-        best = np.full(len(texts), self.bias)
-        if len(at):
-            total = np.bincount(sentence, value[at]) + self.bias
-            of = np.zeros(len(total), dtype=np.int64)
-            of[sentence] = text
-            top = np.full(len(texts), -np.inf)
-            np.maximum.at(top, of, total)
-            best = np.where(np.isfinite(top), top, best)
-        return best
+        if not len(at):
+            return np.full(len(texts), HIGHEST * self.bias)
+        total = np.bincount(sentence, value[at]) + self.bias
+        of = np.zeros(len(total), dtype=np.int64)
+        of[sentence] = text
+        return _highest(total, of, len(texts), self.bias)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
 
 
+def _highest(total: np.ndarray, of: np.ndarray, n: int, empty: float) -> np.ndarray:
+    """Sum of the :data:`HIGHEST` greatest totals of each of ``n`` texts; ``empty`` for each one missing."""
+    order = np.lexsort((-total, of))
+    first = np.searchsorted(of[order], np.arange(n))
+    rank = np.arange(len(order)) - first[of[order]]
+    top = order[rank < HIGHEST]
+    count = np.bincount(of[top], minlength=n)
+    return np.bincount(of[top], total[top], minlength=n) + (HIGHEST - count) * empty
+
+
 def _candidates(words: list[str], present: np.ndarray, text: np.ndarray, label: np.ndarray) -> list[str]:
     """Words of toxic texts, those first whose groups of four letters tell them from clean texts best."""
     coded = [chr(_START) + "".join(c for c in w.translate(_TABLE) if c != "\xff") for w in words]
@@ -262,7 +272,8 @@ def _candidates(words: list[str], present: np.ndarray, text: np.ndarray, label:
         texts_with[int(label[t]), np.unique(gram[at])] += 1
     n1, n0 = max(1, int(label.sum())), max(1, int((~label).sum()))
     odds = np.log((texts_with[1] + 0.1) / (n1 + 1)) - np.log((texts_with[0] + 0.5) / (n0 + 1))
-    odds[texts_with[1] < 2] = -9
+    # A group met in two toxic texts by chance must not outrank one met in many.
+    odds = np.where((texts_with[1] > 1) & (odds > 1), odds * np.sqrt(texts_with[1]), -9)
     value = odds[gram]
     order = np.lexsort((-value, word))
     rank = np.arange(len(word)) - first[word[order]]
@@ -290,7 +301,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
             break
         owner, triple, weight, norm = triples([w])
         bag = np.bincount(triple, weight, minlength=_SIGNS**3).astype(np.float32) / norm[0]
-        if chosen is None or (chosen[: len(landmarks), triple] @ bag[triple]).max(initial=0) < 0.9:
+        if chosen is None or (chosen[: len(landmarks), triple] @ bag[triple]).max(initial=0) < 0.75:
             if chosen is None:
                 chosen = np.zeros((LANDMARKS, _SIGNS**3), dtype=np.float32)
             chosen[len(landmarks)] = bag
@@ -315,7 +326,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     np.add.at(features, where, values[row[at[hit]]])
     of = np.zeros(int(sentence.max()) + 1, dtype=np.int64)
     of[sentence] = text
-    plain = np.bincount(of, minlength=len(label)) > np.bincount(of[some], minlength=len(label))
+    whole = np.bincount(of, minlength=len(label))
     of = of[some]
     del words, at, sentence, text, values, row, hit
 
@@ -328,19 +339,21 @@ def train(texts: list[str], labels: list[int]) -> Model:
     rank = features.max(axis=1)
     w, b = np.zeros(len(landmarks)), 0.0
     for _ in range(3):
-        best = np.full(len(label), -1)
         order = np.argsort(rank, kind="stable")
-        best[of[order]] = order
-        positive = best[label & (best >= 0)]
+        by_text = np.lexsort((-rank, of))
+        place = np.arange(len(of)) - np.searchsorted(of[by_text], of[by_text])
+        positive = by_text[(place < EXAMPLES) & label[of[by_text]]]
         hard = order[~label[of[order]]][-HARD_SENTENCES:]
         others = np.zeros((OTHER_SENTENCES, len(landmarks)))
         x = np.concatenate([features[positive].astype(float) @ root, features[hard].astype(float) @ root, others])
         n1, n0 = max(1, len(positive)), len(hard) + len(others)
         w, b = _squared_hinge(x, np.repeat([1.0, -1.0], [len(positive), n0]), np.repeat([0.5 / n1, 0.5 / n0], [len(positive), n0]))
         rank = features @ (root @ w).astype(np.float32)
-    margin = np.where(plain, b, -np.inf)
-    np.maximum.at(margin, of, rank + b)
-    slope, shift = _platt(np.where(np.isfinite(margin), margin, b), label)
+    # Sentences without a row have the bias as their margin: as many of them as matter.
+    spare = np.minimum(whole - np.bincount(of, minlength=len(label)), HIGHEST)
+    total = np.concatenate([rank + b, np.full(int(spare.sum()), b)])
+    owner = np.concatenate([of, np.repeat(np.arange(len(label)), spare)])
+    slope, shift = _platt(_highest(total, owner, len(label), b), label)
     return Model(kernel, root @ w, b, slope, shift)
 
 
