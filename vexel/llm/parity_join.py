@@ -12,9 +12,10 @@ with too many empty segments for that is sketched again with another seed, as of
 
 What meets is held against a narrow sketch of each document first, whose Hamming distance rules
 most false pairs out, and then verified on the whole sets. Copies of a set are one node throughout. In a group
-that meets in a segment, each member is first verified against the least node; then all pairs
-of the group that these links have not brought into one component are verified too, so no link
-that matters is lost and no group is expanded into all its pairs.
+that meets in a segment, each member is first verified against the least node, then, if it is not yet
+in one component with it, against another, for a few rounds; at last all pairs of the group that
+the links so far have not brought into one component are verified, so no link that matters is
+lost and no group of near copies is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ from vexel.llm.scratch import drop_path, new_path, written
 
 WORDS, SIMILARITY = 5, (75, 100)
 #: Documents sampled to learn which shingles are frequent. This orders segments and so affects cost only.
-SAMPLE_DOCS = 10_000
+SAMPLE_DOCS = 20_000
 #: A shingle of this many sampled documents is frequent; at most so many are sent to the tasks (8 bytes each).
-FREQUENT_IN, MAX_FREQUENT = 3, 200_000
+FREQUENT_IN, MAX_FREQUENT = 3, 500_000
 #: A segment that so many documents of one block share is met within the block, and by one of them beyond it.
 HOT_IN_BLOCK = 64
+#: Rounds in which each group is verified against one more of its members.
+ROUNDS = 4
 #: 64-bit words of the narrow sketch.
 NARROW = 16
 #: Keys joined by broadcast at most (about 40 bytes each); more are joined by a shuffle.
@@ -70,7 +73,7 @@ def plan(n: np.ndarray, up: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     band = np.searchsorted(edges, n, side="right") - 1 + up
     tau = 2 * (edges[band + 1] - 1) // 7
     tau[(up == 1) & (4 * n // 3 < edges[band])] = 0  # no partner is that large
-    return band, tau, tau + 1 + np.maximum(1, tau // 2)
+    return band, tau, tau + 1 + np.maximum(1, 3 * tau)
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -333,18 +336,26 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     first = _verified(docs, stars, near, words, SIMILARITY, "first")
     labels = components(first)
 
-    # Pairs of a group that the first links left in different components.
-    tagged = met.join(labels, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"))
-    split = tagged.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
-    tagged = written(tagged.join(split, "grp"), "apart")
-    other = tagged.select("grp", F.col("node").alias("b"), F.col("comp").alias("other"))
-    apart = tagged.withColumnRenamed("node", "a").join(other, "grp").where("comp < other").select("a", "b").distinct()
-    apart = apart.join(first, ["a", "b"], "left_anti")
-    apart = written(apart, "apart_pairs")
     links = first
-    if apart.limit(1).count():
-        links = first.union(_verified(docs, apart, near, words, SIMILARITY, "apart"))
-        labels = components(links)
+    for n in range(1, ROUNDS + 1):
+        # Groups that the links so far leave in different components, each node with its component.
+        tagged = met.join(labels, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"))
+        split = tagged.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(n))).alias("head"))
+        split = split.where("lo < hi").select("grp", F.col("head.node").alias("head"), F.col("head.comp").alias("other"))
+        apart = written(tagged.join(split, "grp"), f"apart{n}")
+        pairs = apart.where("comp <> other").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+        if n == ROUNDS:
+            more = apart.select("grp", F.col("node").alias("b"), F.col("comp").alias("far"))
+            pairs = apart.withColumnRenamed("node", "a").join(more, "grp").where("comp < far").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = written(pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"), f"pairs{n}")
+        if not pairs.limit(1).count():
+            if not apart.limit(1).count():
+                break
+            continue
+        new = _verified(docs, pairs, near, words, SIMILARITY, f"round{n}")
+        if new.limit(1).count():
+            links = written(links.union(new), f"links{n}")
+            labels = components(links)
 
     by = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"), (F.col("n") > 0).alias("any"))
     by = written(by, "by_node")
