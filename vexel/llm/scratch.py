@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from vexel.storage import new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vexel-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/vexel-{uuid.uuid4().hex}/{name}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm_path.getParent())
-    fs.deleteOnExit(jvm_path.getParent())
-    return path
+__all__ = ["drop_path", "new_path", "shared_dir", "written"]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
