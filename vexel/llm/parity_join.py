@@ -41,7 +41,7 @@ FREQUENT_IN, MAX_FREQUENT = 3, 500_000
 HOT_IN_BLOCK = 64
 #: Rounds in which each group is verified against one more of its members.
 ROUNDS = 4
-#: 64-bit words of the narrow sketch.
+#: 64-bit words of the narrow sketch of up to 512 shingles; it doubles with the size.
 NARROW = 16
 #: Keys joined by broadcast at most (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -144,13 +144,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def narrow(sets: list[np.ndarray]) -> list[bytes]:
-    """Parity sketches of ``64 * NARROW`` bits."""
-    tokens = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    h = mix(tokens + _M3)
-    words = np.zeros(len(sets) * NARROW, dtype=np.uint64)
-    np.bitwise_xor.at(words, owner * NARROW + ((h >> np.uint64(6)) % np.uint64(NARROW)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return [row.tobytes() for row in words.astype("<u8").reshape(-1, NARROW)]
+    """Parity sketches of about two bits for each shingle, a power of two long.
+
+    The halves of a sketch XORed are the sketch of half the length.
+    """
+    sizes = np.asarray([len(x) for x in sets], dtype=np.int64)
+    words = NARROW << np.ceil(np.log2(np.maximum(sizes, 512) / 512)).astype(np.int64)
+    first = np.cumsum(words) - words
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    h = mix((np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)) + _M3)
+    flat = np.zeros(words.sum(), dtype=np.uint64)
+    at = first[owner] + ((h >> np.uint64(6)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(flat, at, np.uint64(1) << (h & np.uint64(63)))
+    return [x.astype("<u8").tobytes() for x in np.split(flat, first[1:])] if sets else []
 
 
 def _offers(rows, bucket: np.ndarray, ids: np.ndarray, owner: np.ndarray, signature: np.ndarray, hot: bool) -> pa.RecordBatch:
@@ -285,9 +291,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, s
     distance of the narrow sketches can't exceed. Whole sets are made for what is left only.
     """
     ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("narrow").alias(f"w{c}")) for c in ("a", "b")]
-    word = "cast(conv(hex(substring({w}, 8 * k + 1, 8)), 16, -10) as bigint)"
-    flips = " + ".join(f"bit_count({word.format(w='wa')} ^ {word.format(w='wb')})".replace("8 * k + 1", str(8 * k + 1)) for k in range(NARROW))
-    near = pairs.join(ends[0], "a").join(ends[1], "b").where(7 * F.expr(flips) <= F.col("na") + F.col("nb")).select("a", "b")
+    word = "cast(conv(hex(substring({w}, cast(8 * ({k}) + 1 AS INT), 8)), 16, -10) AS BIGINT)"
+    size = "(least(length(wa), length(wb)) DIV 8)"
+
+    def folded(w: str) -> str:
+        """Word k of a sketch at the shorter one's length."""
+        return f"({word.format(w=w, k='k')} ^ if(length({w}) > 8 * {size}, {word.format(w=w, k=f'k + {size}')}, 0L))"
+
+    flips = f"aggregate(sequence(0, cast({size} - 1 AS INT)), 0L, (s, k) -> s + bit_count({folded('wa')} ^ {folded('wb')}))"
+    near = pairs.join(ends[0], "a").join(ends[1], "b").where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+    near = near.where(7 * F.expr(flips) <= F.col("na") + F.col("nb")).select("a", "b")
     near = written(near, f"{name}_near")
     used = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = written(_sets(docs, written(used.join(nodes, "node").select("key", "node"), f"{name}_nodes"), words), f"{name}_sets")
