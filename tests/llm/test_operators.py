@@ -161,6 +161,22 @@ def test_quality_verdict_finds_what_diverges(spark):
     assert all(kept[k] for k in range(40)) and not any(kept[k] for k in (100, 101, 102))
 
 
+def test_word_distance_alone_rejects_long_text_without_common_words(spark):
+    """The reference holds about 17 % common words, as prose does; characters don't tell the junk apart."""
+    rng = np.random.default_rng(2)
+    filler = [f"{a}{b}{c}en" for a in "bdfgkl" for b in "aeiou" for c in "mnprst"]
+
+    def text(common):
+        return " ".join(f"the {w}" if common and j % 5 == 0 else w for j, w in enumerate(rng.choice(filler, 300)))
+
+    rows = [(k, text(True), "en", "a") for k in range(40)]
+    rows += [(100, text(False), "en", "a"), (101, " ".join(text(False).split()[: quality_rules.MIN_FOR_WORDS - 1]), "en", "a")]
+    found = {r["doc_id"]: r for r in quality_rules.measure(documents(spark, rows)).collect()}
+    junk = found[100]
+    assert not junk["base_failed"] and junk["char_distance"] < quality_rules.MAX_CHAR_DISTANCE and not junk["kept"]
+    assert found[101]["kept"] and all(found[k]["kept"] for k in range(40))
+
+
 def test_quality_on_odd_rows(spark, odd):
     found = quality_rules.measure(odd).collect()
     assert len(found) == 9 and all(r["base_failed"] and not r["kept"] for r in found if r["n_words"] < 20)

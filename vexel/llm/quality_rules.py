@@ -29,8 +29,9 @@ CHAR_CLASSES = ["lower", "upper", "digit", "symbol", "mark", "rest"]
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Least words for the comparison of characters and of words.
 MIN_FOR_CHARS, MIN_FOR_WORDS = 40, 60
-#: Greatest Jensen-Shannon distances (0 to 1) of a kept document.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.40
+#: Greatest Jensen-Shannon distances (0 to 1) of a kept document. Some 83 % of a language's words
+#: aren't common ones, so a text without common words is only about 0.3 away.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.25
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _BLANK_RUN = r"[\x20\x09-\x0D]+"
