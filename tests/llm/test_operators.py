@@ -477,6 +477,28 @@ def test_rates_meet_targets_like_a_plain_solver(spark):
     assert np.abs(reached / reached.sum() - [0.5, 0.3, 0.2]).max() < 0.02
 
 
+@pytest.mark.parametrize("scarce", [0.2, 0.01, 0.003])
+def test_scarce_domains_reach_their_targets(spark, scarce):
+    rng = np.random.default_rng(8)
+    who = rng.choice(4, 3000, p=[0.9 - scarce, 0.05, 0.05, scarce])
+    p = 0.94 * np.eye(4)[who] + 0.06 * rng.dirichlet([0.5] * 4, 3000) * [1, 1, 1, scarce]
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(1, 500, 3000)
+    mass = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_tokens long, _p array<double>").coalesce(4).cache()
+    rates = mixing.fit_repeats(mass, list(mixing.TARGETS.values()))
+    r = np.asarray([x[0] for x in mass.select(rates.of()).collect()])
+    reached = (r * n) @ p
+    assert np.allclose(reached, rates.reached) and r.min() >= 1
+    assert np.abs(reached / reached.sum() / list(mixing.TARGETS.values()) - 1).max() < 1e-3
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    mass = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.5, 0.5])], "_tokens long, _p array<double>")
+    with pytest.warns(UserWarning, match="doesn't reach"):
+        rates = mixing.fit_repeats(mass, [0.8, 0.2])
+    assert np.isfinite(rates.pulls).all() and np.isclose(rates.missed, 1.5)
+
+
 def test_mixing_on_odd_rows(spark, odd, labels):
     rows = mixing.mix(odd, labels).collect()
     assert len(rows) == 9 and all(r["rate"] >= 0 and abs(sum(r[f"p_{d}"] for d in mixing.DOMAINS) - 1) < 1e-9 for r in rows)

@@ -2,14 +2,15 @@
 
 A naive Bayes classifier over a few telling words, fitted on the documents that the label table
 covers, gives each document a posterior over the domains. Rates of repetition, one for each
-document and never negative, are then fitted by projected gradient steps so that the expected
-tokens of each domain, the sum of rate x tokens x posterior, come to the targets in least squares.
-Every step needs from the data only one sum for each domain. A document's rate depends on its
-posterior and on the residuals of the steps so far, a handful of numbers, so no state is kept.
+document, at least one and without a cap, are then fitted by Newton steps so that the expected
+tokens of each domain, the sum of rate x tokens x posterior, are in proportion to the targets.
+Every step needs from the data only a few sums over pairs of domains. A document's rate depends on
+its posterior and on one number for each domain, so no state is kept.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +29,9 @@ MAX_LABELLED, WORDS_PER_DOMAIN = 3000, 12
 EVIDENCE_WORDS = 40
 MAX_RATE, RIDGE = 8.0, 1e-3
 MAX_STEPS, TOLERANCE = 25, 1e-4
+#: Of :func:`fit_repeats`: weight that keeps its steps finite where targets can't be reached, and
+#: steps after which it reports so; some 5 to 15 do where they can.
+DAMPING, MAX_NEWTON = 1e-7, 100
 
 
 @dataclass
@@ -110,8 +114,9 @@ class Rates:
 
 
 def fit_rates(mass: DataFrame, weights: list[float]) -> Rates:
-    """Fit rates over rows ``(_tokens, _p)`` to the domains' ``weights``.
+    """Fit rates over rows ``(_tokens, _p)`` to the domains' ``weights``, in capped rates and few steps.
 
+    Kept as a plain solver for targets near what there is; the operators use :func:`fit_repeats`.
     The targets are the least totals in these proportions that no domain exceeds at rate one, so
     what is scarce is repeated and nothing is dropped for being frequent. Minimised are the
     squared distances to the targets, each over its domain's present total, and ``RIDGE`` times
@@ -141,6 +146,99 @@ def fit_rates(mass: DataFrame, weights: list[float]) -> Rates:
     return rates
 
 
+@dataclass
+class Repeats:
+    """Fitted rates: a document's is ``1 + max(0, sum of posterior x pull)``; ``reached`` are the domains' tokens."""
+
+    pulls: list[float]
+    targets: list[float] = field(default_factory=list)
+    reached: list[float] = field(default_factory=list)
+
+    def of(self, p: str = "_p") -> Column:
+        return F.lit(1.0) + self.more(p)
+
+    def more(self, p: str = "_p") -> Column:
+        pull = F.aggregate(F.zip_with(p, F.array(*map(F.lit, self.pulls)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return F.greatest(F.lit(0.0), pull)
+
+    @property
+    def missed(self) -> float:
+        """Greatest distance of a domain's tokens from its target, as a share of the target."""
+        return max((abs(r - t) / t if t > 0 else float(r > 0) for r, t in zip(self.reached, self.targets, strict=True)), default=0.0)
+
+
+def _solve(sums, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pulls and totals; ``sums`` gives totals, sums over pairs of domains and half the squares for pulls."""
+    pulls = np.zeros(len(share))
+    start = now = sums(pulls)[0]
+    use = [k for k in range(len(share)) if share[k] > 0 and start[k] > 0]
+    if len(use) < 2:
+        return pulls, now
+    # The pull of the domain that there is most of follows from the others': pulls x shares add up to zero.
+    most = max(use, key=lambda k: start[k] / share[k])
+    free = [k for k in use if k != most]
+    basis = np.zeros((len(share), len(free)))
+    for i, k in enumerate(free):
+        basis[k, i], basis[most, i] = 1.0, -share[k] / share[most]
+    damping = DAMPING * np.diag(start)
+
+    def state(z: np.ndarray):
+        v = basis @ z
+        total, square, squares = sums(v)
+        return squares + start @ v + v @ damping @ v / 2, basis.T @ (total + damping @ v), basis.T @ (square + damping) @ basis, total
+
+    at = np.asarray([start[most] / share[most] * share[k] / start[k] - 1.0 for k in free])
+    (value, slope, bend, now), caution = state(at), 1e-3
+    for _ in range(MAX_NEWTON):
+        budget = now[use].sum() / share[use].sum()
+        if (np.abs(now - share * budget)[use] <= TOLERANCE * share[use] * budget).all():
+            break
+        # Nearer to plain descent where few rows are repeated so far, as a whole Newton step goes astray there.
+        step = -np.linalg.solve(bend + caution * basis.T @ np.diag(start) @ basis, slope)
+        tried = state(at + step)
+        if tried[0] > value + 1e-4 * (slope @ step):
+            caution *= 8
+            if caution > 1e6:
+                break
+            continue
+        gain = value - tried[0]
+        at, (value, slope, bend, now), caution = at + step, tried, caution / 8
+        if gain <= 1e-12 * abs(value):
+            break
+    return basis @ at, now
+
+
+def fit_repeats(mass: DataFrame, weights: list[float]) -> Repeats:
+    """Rates of at least one over rows ``(_tokens, _p)``, so that the domains' tokens are as their ``weights``.
+
+    Of all such rates those with the least sum of tokens x (rate - 1)^2, whatever total that takes.
+    The multipliers of the domains solve a convex problem in as many unknowns as there are domains,
+    less one; Newton steps with halving stop when each domain is within :data:`TOLERANCE` of its
+    target. Where no rates reach the targets (posteriors too soft, a domain without tokens or with
+    a weight of zero), the nearest found are returned with a warning that says what is reached.
+    """
+    d = len(weights)
+    share = np.asarray(weights, dtype=float) / sum(weights)
+
+    def sums(pulls: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals of the domains, of pairs of domains over what is repeated, and half the squares."""
+        x, n, p = F.col("_x"), F.col("_tokens"), [F.col("_p")[k] for k in range(d)]
+        pairs = [(j, k) for j in range(d) for k in range(j, d)]
+        wanted = [F.sum((1.0 + x) * n * p[k]) for k in range(d)] + [F.sum(F.when(x > 0, n * p[j] * p[k])) for j, k in pairs] + [F.sum(n * x * x) / 2]
+        row = mass.withColumn("_x", Repeats([float(v) for v in pulls]).more()).agg(*[F.coalesce(v, F.lit(0.0)).alias(f"s{i}") for i, v in enumerate(wanted)]).first()
+        square = np.zeros((d, d))
+        for (j, k), v in zip(pairs, row[d:-1], strict=True):
+            square[j, k] = square[k, j] = v
+        return np.asarray(row[:d], dtype=float), square, float(row[-1])
+
+    pulls, now = _solve(sums, share)
+    found = Repeats([float(x) for x in pulls], [float(x) for x in share * now.sum()], [float(x) for x in now])
+    if now.sum() > 0 and found.missed > 10 * TOLERANCE:
+        shares = ", ".join(f"{r / now.sum():.4f} of {t:.4f}" for r, t in zip(now, share, strict=True))
+        warnings.warn(f"mixing doesn't reach its targets; the domains' shares of tokens: {shares}", stacklevel=2)
+    return found
+
+
 def copies(rate: Column, key: Column) -> Column:
     """Whole copies for a rate: its floor, and one more for the share of keys that its fraction gives."""
     draw = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -157,7 +255,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     domains = tuple(targets)
     model = fit_classifier(docs, labels, domains=domains)
     mass = written(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "_tokens", "_p"), "memberships")
-    rates = fit_rates(mass, [targets[d] for d in domains])
+    rates = fit_repeats(mass, [targets[d] for d in domains])
     return mass.withColumn("rate", rates.of()).select(
         "doc_id",
         F.col("_tokens").alias("tokens"),
@@ -173,7 +271,7 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     domains = tuple(targets)
     model = fit_classifier(docs, labels, domains=domains)
     mass = written(posteriors(docs.select("text"), model).select("_tokens", "_p"), "memberships")
-    rates = fit_rates(mass, [targets[d] for d in domains])
+    rates = fit_repeats(mass, [targets[d] for d in domains])
     names = docs.columns
     inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
     rated = posteriors(inner, model, f"c{names.index('text')}").withColumn("_rate", rates.of())
