@@ -186,3 +186,15 @@ def test_metrics(spark):
     gains = spark.createDataFrame([(1, 10, 3.0), (1, 11, 1.0)], "qid long, id long, gain double")
     ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "qid long, id long, rank int")
     assert hybrid.ndcg_at_k(ranked, gains).first()["ndcg"] == pytest.approx(1.0)
+
+
+def test_whole_distance_join_matches_brute_force(spark, tmp_path):
+    from vexel.queries import QUERIES
+
+    points = np.random.default_rng(3).standard_normal((120, 8)).astype(np.float32) / 4
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    dist = np.sqrt(((points[:, None].astype(float) - points[None].astype(float)) ** 2).sum(axis=2))
+    true = {(i, j) for i in range(120) for j in range(i + 1, 120) if dist[i, j] <= 1.1}
+    found = [tuple(r) for r in QUERIES["distance_join_whole"](spark, str(tmp_path)).collect()]
+    assert len(found) == len(set(found)) and set(found) == true and any(i >= 40 for i, _ in true)

@@ -240,6 +240,17 @@ def _threshold(spark: SparkSession, d: str) -> DataFrame:
 _register("distance_join", _threshold, f"SELECT l.vec_id AS left_id, r.vec_id AS right_id FROM embeddings l, embeddings r WHERE l.vec_id < 40 AND l.vec_id < r.vec_id AND {_DUCK['l2']('l.embedding', 'r.embedding')} <= 1.1")
 
 
+def _whole_join(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of the table within the distance of ``distance_join``, whose statement holds only rows below 40."""
+    e = _embeddings(spark, d)
+    left = e.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"))
+    right = e.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("b"))
+    return search.within(left, right, 1.1).where("left_id < right_id").select("left_id", "right_id")
+
+
+_register("distance_join_whole", _whole_join)
+
+
 def _centroids(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d)
     means = {r["label"]: list(r["avg"]) for r in aggregates.vector_avg(e.where("label IN (1, 2)"), ["label"], "embedding").collect()}
