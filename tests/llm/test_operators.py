@@ -232,6 +232,27 @@ def test_redaction_and_odd_rows(spark, odd):
     assert sorted(r["text"] or "" for r in secret_scan.redact(odd).collect()) == sorted(r["text"] or "" for r in odd.collect())
 
 
+def test_redaction_leaves_nothing_of_a_private_key(spark):
+    import duckdb
+
+    from vexel.llm.sql import secrets
+
+    lines = [hashlib.sha512(bytes([k])).hexdigest().upper()[:64] for k in range(25)] + ["Qm9keQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]
+    whole = [sep.join([begin, *head, *lines, end]) for head in ([], info) for sep in ("\n", "\r\n", "\\n", " ")]
+    cut = [sep.join([begin, *lines[:-1]]) for sep in ("\n", "\r\n", "\\n", " ")] + ["\n".join([begin, *lines]), "\n".join([begin, *info, *lines])]
+    rows = [(k, f"before {key} - after it", "en", "s") for k, key in enumerate(whole + cut)] + [(90, f"a {begin} is a first line", "en", "s")]
+    df = documents(spark, rows)
+    texts = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert texts.pop(90) == "a [SECRET] is a first line"
+    assert set(texts.values()) == {"before [SECRET] - after it"}, texts
+    with duckdb.connect() as con:
+        con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+        plain = {r[0]: r[-1] for r in con.execute(secrets()).fetchall()}
+    assert {r["doc_id"]: r["spans"] for r in secret_scan.digest(df).collect()} == plain
+
+
 def test_trigram_queries():
     assert trigrams.query_of("ab(cd|ce)") == {frozenset({"abc", "bcd"}), frozenset({"abc", "bce"})}
     assert trigrams.query_of("[0-9a-f]{16,}") is None

@@ -41,6 +41,13 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 18),
     Rule("hex", "[0-9a-f]{16,}"),
 )
+_BASE64 = "[A-Za-z0-9+/=]"
+#: What follows the first line of a key file: all up to the END line or, where that is missing, header
+#: lines and base64, in lines, escaped lines or joined by blanks.
+_KEY_END = r"[^-]*(?:-{1,4}[^-]+){0,20}-----END [A-Z ]*PRIVATE KEY-----"
+_LINES = r"[A-Za-z0-9+/=\r\n\\]*"
+_JOINED = rf"(?:[\x20\t]+{_BASE64}{{16,}}{_LINES}){{0,50}}"  # RE2 allows no more at a time
+_KEY_LINES = rf"(?:[\r\n]+[A-Z][A-Za-z-]+:[^\r\n]*){{0,5}}(?:\\[rn]|[\x20\t\r\n])*{_BASE64}{{16,}}{_LINES}{4 * _JOINED}"
 # Published formats of provider tokens and key files.
 EXTRA = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -48,7 +55,7 @@ EXTRA = (
     Rule("google", "AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", "[sr]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_END}|{_KEY_LINES})?"),
 )
 RULES = BASE + EXTRA
 _SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
