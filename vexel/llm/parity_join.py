@@ -10,12 +10,13 @@ Each document offers ``tau + 1`` of its segments, in one order common to all (th
 rare shingles first, empty ones last), and linked documents meet in one of these. A document
 with too many empty segments for that is sketched again with another seed, as often as it takes.
 
-What meets is held against a narrow sketch of each document first, whose Hamming distance rules
-most false pairs out, and then verified on the whole sets. Copies of a set are one node throughout. In a group
-that meets in a segment, each member is first verified against the least node, then, if it is not yet
-in one component with it, against another, for a few rounds; at last all pairs of the group that
-the links so far have not brought into one component are verified, so no link that matters is
-lost and no group of near copies is expanded into all its pairs.
+Copies of a set are one node throughout. Groups that meet in segments are named by their least
+node and merged by that name, and are held against each other by narrow sketches, whose Hamming
+distance rules false pairs out, in tiles of bounded size: no row is written for a pair that
+the sketches refuse. Of the pairs that they allow, enough to connect what all of them connect
+are verified on the whole sets; where sets refuse some of these, all pairs that sketches allow
+across the components left are. So no link that matters is lost, and no group of near copies is
+expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vexel.llm.components import components
-from vexel.llm.scratch import drop_path, new_path, written
+from vexel.llm.scratch import Scratch, written
 
 WORDS, SIMILARITY = 5, (75, 100)
 #: Documents sampled to learn which shingles are frequent. This orders segments and so affects cost only.
@@ -39,8 +40,10 @@ SAMPLE_DOCS = 20_000
 FREQUENT_IN, MAX_FREQUENT = 3, 500_000
 #: A segment that so many documents of one block share is met within the block, and by one of them beyond it.
 HOT_IN_BLOCK = 64
-#: Rounds in which each group is verified against one more of its members.
-ROUNDS = 4
+#: Members of a group that are held against each other in one task.
+TILE = 2048
+#: Bytes of text whose offers are met in one bucket, about; their offers have as many.
+BUCKET_BYTES = 8_000_000
 #: 64-bit words of the narrow sketch of up to 512 shingles; it doubles with the size.
 NARROW = 16
 #: Keys joined by broadcast at most (about 40 bytes each); more are joined by a shuffle.
@@ -91,8 +94,8 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
 
 def node_of(hashes: np.ndarray) -> int:
     """Order-free 64-bit digest of a set of hashes."""
-    total = mix(hashes ^ _M1).sum(dtype=np.uint64) if len(hashes) else np.uint64(0)
-    return int(mix(np.asarray([total + np.uint64(len(hashes)) * _M1]))[0].view(np.int64))
+    total = mix(hashes ^ _M1).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total + np.asarray([len(hashes)], dtype=np.uint64) * _M1).view(np.int64)[0])
 
 
 def segments(tokens: np.ndarray, rare: np.ndarray, sizes: np.ndarray, up: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,26 +162,22 @@ def narrow(sets: list[np.ndarray]) -> list[bytes]:
     return [x.astype("<u8").tobytes() for x in np.split(flat, first[1:])] if sets else []
 
 
-def _offers(rows, bucket: np.ndarray, ids: np.ndarray, owner: np.ndarray, signature: np.ndarray, hot: bool) -> pa.RecordBatch:
-    """Signatures by bucket, run by run of one owner: nodes, how many each has, and their low 32 bits."""
+def _offers(rows, bucket: np.ndarray, nodes: np.ndarray, signature: np.ndarray, hot: bool) -> pa.RecordBatch:
+    """Offers by bucket: nodes, and the low 32 bits of the signature that each offers."""
     order = np.argsort(bucket, kind="stable")
-    bucket, owner, low = bucket[order], owner[order], signature[order].astype("<u4")
+    bucket, nodes, low = bucket[order], nodes[order].astype("<i8"), signature[order].astype("<u4")
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    nodes, counts, signatures = [], [], []
-    for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
-        heads = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-        nodes.append(ids[owner[a:b][heads]].astype("<i8").tobytes())
-        counts.append(np.diff(heads, append=b - a).astype("<u4").tobytes())
-        signatures.append(low[a:b].tobytes())
-    return rows(len(starts), bucket=bucket[starts].astype(np.int32), hot=np.full(len(starts), hot), nodes=nodes, counts=counts, signatures=signatures)
+    ends = [*starts[1:], len(bucket)]
+    parts = lambda x: [x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    return rows(len(starts), bucket=bucket[starts].astype(np.int32), hot=np.full(len(starts), hot), nodes=parts(nodes), signatures=parts(low))
 
 
 def _sketch(df: DataFrame, words: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Per document ``(key, doc_id, node, n, narrow)``; per bucket and block ``(bucket, hot, nodes, counts,
-    signatures)``; for members of a hot segment of a block ``(grp, node)``."""
+    """Per document ``(key, doc_id, node, n)``, with its ``narrow`` sketch where a task first meets the node; per
+    bucket and block ``(bucket, hot, nodes, signatures)``; for members of a hot segment of a block ``(grp, node)``."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)
-    schema = "key long, doc_id long, node long, n long, grp long, narrow binary, bucket int, hot boolean, nodes binary, counts binary, signatures binary"
-    longs, blobs = ("key", "doc_id", "node", "n", "grp"), ("nodes", "counts", "signatures")
+    schema = "key long, doc_id long, node long, n long, grp long, narrow binary, bucket int, hot boolean, nodes binary, signatures binary"
+    longs, blobs = ("key", "doc_id", "node", "n", "grp"), ("nodes", "signatures")
     arrow = pa.schema([(c, pa.int64()) for c in longs] + [("narrow", pa.binary()), ("bucket", pa.int32()), ("hot", pa.bool_())] + [(c, pa.binary()) for c in blobs])
 
     def rows(rows_: int, **columns) -> pa.RecordBatch:
@@ -190,8 +189,11 @@ def _sketch(df: DataFrame, words: int, frequent: np.ndarray, buckets: int) -> Da
             sets = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
             nodes = [node_of(x) for x in sets]
             sizes = [len(x) for x in sets]
-            yield rows(len(sets), key=batch.column("key"), doc_id=batch.column("doc_id"), node=nodes, n=sizes, narrow=narrow(sets))
             new = [k for k, n in enumerate(nodes) if sizes[k] > 2 and n not in seen and not seen.add(n)]
+            sketches: list[bytes | None] = [None] * len(sets)
+            for k, sketch in zip(new, narrow([sets[k] for k in new]), strict=True):
+                sketches[k] = sketch
+            yield rows(len(sets), key=batch.column("key"), doc_id=batch.column("doc_id"), node=nodes, n=sizes, narrow=sketches)
             if not new:
                 continue
             tokens = np.concatenate([sets[k] for k in new])
@@ -216,58 +218,61 @@ def _sketch(df: DataFrame, words: int, frequent: np.ndarray, buckets: int) -> Da
                 for hot in (False, True):
                     part = np.flatnonzero(crowded & one if hot else ~crowded) if crowded.any() else np.arange(0 if hot else len(owner))
                     if len(part):
-                        yield _offers(rows, bucket[part], ids, owner[part], signature[part], hot)
+                        yield _offers(rows, bucket[part], ids[owner[part]], signature[part], hot)
 
     return df.mapInArrow(task, schema)
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Groups of nodes that offer one signature in a bucket: ``(grp, node)``, ``grp`` naming the set of members."""
-    out = pa.schema([("grp", pa.int64()), ("node", pa.int64())])
+    """Nodes that offer one signature in a bucket, ``(grp, node, hot)``: the group is named by its least node.
+
+    Nodes are random numbers, so groups of nearly the same members mostly have the same least
+    one and are merged by their name. Groups of hot segments are named by the segment, as members from within a block
+    name them too.
+    """
+    out = pa.schema([("grp", pa.int64()), ("node", pa.int64()), ("hot", pa.bool_())])
     read = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()])
-    counts = read("counts", "<u4")
-    nodes, signature = np.repeat(read("nodes", "<i8"), counts), read("signatures", "<u4").astype(np.int64)
+    nodes, signature = read("nodes", "<i8"), read("signatures", "<u4").astype(np.int64)
     hot = np.repeat(table.column("hot").to_numpy(), [len(x) // 4 for x in table.column("signatures").to_pylist()])
     order = np.lexsort((nodes, signature))
     nodes, signature, hot = nodes[order], signature[order], hot[order]
     heads = np.flatnonzero(np.diff(signature, prepend=-1))
-    hot = np.logical_or.reduceat(hot, heads)
-    new = np.ones(len(nodes), dtype=bool)
-    new[1:] = (nodes[1:] != nodes[:-1]) | (signature[1:] != signature[:-1])
-    size = np.add.reduceat(new.astype(np.int64), heads)
-    nodes, heads = nodes[new], np.cumsum(size) - size
-    # Hot segments are named after themselves, as members from within a block name them too.
-    named = mix(np.add.reduceat(mix(nodes.view(np.uint64) ^ _M1), heads) + size.astype(np.uint64)).view(np.int64)
-    of = signature[np.flatnonzero(np.diff(signature, prepend=-1))]
-    named = np.where(hot, (table.column("bucket")[0].as_py() << 32) | of, named | np.int64(-(2**63)))
-    _, once = np.unique(named, return_index=True)
-    once = once[(size[once] > 1) | hot[once]]
-    each = size[once]
-    at = np.repeat(heads[once] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-    return pa.Table.from_arrays([pa.array(np.repeat(named[once], each)), pa.array(nodes[at])], schema=out)
-
-
-def _frequent(df: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the shingles that many sampled documents share."""
+    each = np.diff(heads, append=len(nodes))
+    hot = np.repeat(np.logical_or.reduceat(hot, heads), each)
+    least = np.repeat(nodes[heads], each)
+    alone = np.repeat(nodes[heads] == nodes[heads + each - 1], each)  # a node that tasks have met in several places
+    named = np.where(hot, (table.column("bucket")[0].as_py() << 32) | signature, least)
+    keep = hot | ~alone
+    found = pa.Table.from_arrays([pa.array(named[keep]), pa.array(nodes[keep]), pa.array(hot[keep])], schema=out)
+    return found.group_by(["grp", "node", "hot"]).aggregate([]).select(out.names).cast(out)
+
+
+def _frequent(df: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the shingles that many sampled documents share, and the bytes of all texts."""
     n = df.count()
     if not n:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), 0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
             sets = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    sample = df.select("text").sample(min(1.0, SAMPLE_DOCS / n), seed=7)
+    whole = Observation()
+    texts = df.select("text").observe(whole, F.sum(F.octet_length("text")).alias("bytes"))
+    sample = texts.sample(min(1.0, SAMPLE_DOCS / n), seed=7)
     counted = sample.mapInArrow(task, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_IN)
     top = counted.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
+    return np.sort(top.column(0).to_numpy().view(np.uint64)), whole.get["bytes"] or 0
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Marked for broadcast if few enough; otherwise joined by a shuffle, where AQE splits hot keys."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``(node, hashes)`` of the wanted ``(key, node)``; of rows that repeat a key, one a task at least."""
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -275,133 +280,217 @@ def _sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             nodes, hashes = [], []
             for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
                 found = shingle_hashes(text, words) if node not in seen else None
-                if found is not None and node_of(found) == node:  # not another text of a repeated key
+                if found is not None and node_of(found) == node:
                     seen.add(node)
                     nodes.append(node)
                     hashes.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    return df.join(wanted, "key").select("text", "node").mapInArrow(task, "node long, hashes array<long>")
+    return df.join(_small(wanted), "key").select("text", "node").mapInArrow(task, "node long, hashes array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int, int], name: str) -> DataFrame:
-    """Of node pairs ``(a, b)`` those that link, with the sizes of intersection and union.
+def _close(nodes: np.ndarray, n: np.ndarray, comp: np.ndarray, asks: np.ndarray, sketches: list[bytes], every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile whose sizes and sketches allow a link, of different components and one asking at least.
 
     A link means a symmetric difference of at most a seventh of both sizes, which the Hamming
-    distance of the narrow sketches can't exceed. Whole sets are made for what is left only.
+    distance of the sketches can't exceed. If not ``every`` such pair is wanted, only pairs are
+    given that connect what all of them connect, for each document the closest ones.
+    """
+    order = np.argsort(n, kind="stable")
+    nodes, n, asks = nodes[order], n[order], asks[order]
+    comp = np.unique(comp[order], return_inverse=True)[1]
+    length = np.asarray([len(sketches[k]) // 8 for k in order])
+    found_a, found_b = [], []
+    up_to = np.searchsorted(n, 4 * n // 3, side="right")
+    at, size = 0, 0
+    for i in range(len(n) - 1):
+        if length[i] != size:  # sketches of this length, and those twice as long folded to it
+            at, size = i, length[i]
+            ends = np.searchsorted(length, [size, 2 * size], side="right")
+            flat = np.frombuffer(b"".join(sketches[k] for k in order[at : ends[0]]), dtype="<u8").reshape(-1, size)
+            twice = np.frombuffer(b"".join(sketches[k] for k in order[ends[0] : ends[1]]), dtype="<u8").reshape(-1, 2, size)
+            flat = np.concatenate([flat, twice[:, 0] ^ twice[:, 1]])
+        window = slice(i + 1, up_to[i])
+        j = i + 1 + np.flatnonzero((comp[window] != comp[i]) & (asks[window] | asks[i]))
+        if not len(j):
+            continue
+        flips = np.bitwise_count(flat[j - at] ^ flat[i - at]).sum(axis=1, dtype=np.int64)
+        passed = 7 * flips <= n[i] + n[j]
+        j, flips = j[passed], flips[passed]
+        if len(j) and not every:
+            j = j[np.argsort(flips, kind="stable")]
+            j = j[np.sort(np.unique(comp[j], return_index=True)[1])]
+            comp[np.isin(comp, comp[j])] = comp[i]
+        found_a.append(np.full(len(j), i))
+        found_b.append(j)
+    if not found_a:
+        return nodes[:0], nodes[:0]
+    a, b = nodes[np.concatenate(found_a)], nodes[np.concatenate(found_b)]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _in_tiles(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of tiles; rows are sorted by tile, and a tile may reach over several batches."""
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        tile = np.stack([table.column(c).to_numpy() for c in ("grp", "part", "slice")])
+        cuts = np.flatnonzero((np.diff(tile) != 0).any(axis=0)) + 1
+        node, n, comp, asks = (table.column(c).to_numpy() for c in ("node", "n", "comp", "asks"))
+        sketches = table.column("narrow").to_pylist()
+        found = []
+        for x, y in zip([0, *cuts], [*cuts, len(node)], strict=True):
+            if y - x > 1 and (comp[x:y] != comp[x]).any():
+                found.append(_close(node[x:y], n[x:y], comp[x:y], asks[x:y], sketches[x:y], every))
+        for side in np.array_split(np.arange(len(found)), max(1, len(found) // 1000)):
+            if len(side):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([found[k][e] for k in side])) for e in (0, 1)], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(c)[batch.num_rows - 1].as_py() for c in ("grp", "part", "slice")]
+        same = np.logical_and.reduce([batch.column(c).to_numpy() == v for c, v in zip(("grp", "part", "slice"), last, strict=True)])
+        begin = int(np.argmax(same))  # the last tile of the batch may go on in the next one
+        first = held and [held[0].column(c)[0].as_py() for c in ("grp", "part", "slice")]
+        if begin or (held and first != last):
+            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+            held = []
+        held.append(batch.slice(begin))
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def _candidates(met: DataFrame, near: DataFrame, star: bool = False, every: bool = False) -> DataFrame:
+    """Pairs ``(a, b)`` of groups ``(grp, node, comp)`` whose sketches allow a link; see :func:`_close`.
+
+    A group of at most ``TILE`` members is one tile. A larger one is dealt over parts, and its
+    members outside its largest component over slices; each part meets each slice. With ``star``,
+    only members of larger groups are compared, and with the group's least node alone.
     """
-    ends = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("narrow").alias(f"w{c}")) for c in ("a", "b")]
-    word = "cast(conv(hex(substring({w}, cast(8 * ({k}) + 1 AS INT), 8)), 16, -10) AS BIGINT)"
-    size = "(least(length(wa), length(wb)) DIV 8)"
-
-    def folded(w: str) -> str:
-        """Word k of a sketch at the shorter one's length."""
-        return f"({word.format(w=w, k='k')} ^ if(length({w}) > 8 * {size}, {word.format(w=w, k=f'k + {size}')}, 0L))"
-
-    flips = f"aggregate(sequence(0, cast({size} - 1 AS INT)), 0L, (s, k) -> s + bit_count({folded('wa')} ^ {folded('wb')}))"
-    near = pairs.join(ends[0], "a").join(ends[1], "b").where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
-    near = near.where(7 * F.expr(flips) <= F.col("na") + F.col("nb")).select("a", "b")
-    near = written(near, f"{name}_near")
-    used = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = written(_sets(docs, written(used.join(nodes, "node").select("key", "node"), f"{name}_nodes"), words), f"{name}_sets")
+    if star:
+        sizes = met.groupBy("grp").agg(F.count("*").alias("all")).where(F.col("all") > TILE)
+        sizes = sizes.withColumns({"largest": F.lit(None).cast("long"), "others": F.lit(1).cast("long")})
+    else:
+        each = met.groupBy("grp", "comp").count()
+        sizes = each.groupBy("grp").agg(F.sum("count").alias("all"), F.max_by("comp", "count").alias("largest"), F.max("count").alias("most"))
+        sizes = sizes.where(F.col("all") > TILE).select("grp", "all", "largest", (F.col("all") - F.col("most")).alias("others"))
+    sized = met.join(_small(sizes), "grp", "left")
+    parts, slices = (F.ceil(F.col(c) / TILE).cast("int") for c in ("all", "others"))
+    outside = F.col("node") == F.col("grp") if star else F.col("comp") != F.col("largest")
+    big = sized.where("all is not null and others > 0")
+    numbers = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    base = ("grp", "node", "comp")
+    tiles = big.select(*base, F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), numbers(slices).alias("slice"), F.lit(False).alias("asks"))
+    tiles = tiles.union(big.where(outside).select(*base, numbers(parts).alias("part"), F.pmod(F.xxhash64("node", F.lit(1)), slices).cast("int").alias("slice"), F.lit(True).alias("asks")))
+    if not star:
+        tiles = tiles.union(sized.where("all is null").select(*base, F.lit(0).alias("part"), F.lit(0).alias("slice"), F.lit(True).alias("asks")))
+    rows = tiles.join(near, "node").repartition("grp", "part", "slice").sortWithinPartitions("grp", "part", "slice")
+    rows = rows.select("grp", "part", "slice", "node", "comp", "asks", "n", "narrow")
+    return rows.mapInArrow(lambda batches: _in_tiles(batches, every), "a long, b long").distinct()
+
+
+def _verified(tables: Scratch, docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """Of node pairs ``(a, b)`` those that link, with the sizes of intersection and union, from the whole sets."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = tables.write(used.join(nodes, "node").select("key", "node"), "wanted")
+    sets = tables.write(_sets(docs, wanted, words).dropDuplicates(["node"]), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    both = near.join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("common", F.size(F.array_intersect("ha", "hb")).cast("long"))
     both = both.withColumn("either", F.size("ha") + F.size("hb") - F.col("common"))
     need, of = similarity
-    links = both.where(of * F.col("common") >= need * F.col("either")).select("a", "b", "common", "either").distinct()
-    return written(links, f"{name}_links")
+    links = written(both.where(of * F.col("common") >= need * F.col("either")).select("a", "b", "common", "either"), "links")
+    tables.drop("wanted", "sets")
+    return links
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Members and links of the join.
 
-    Members: a row per document, ``(key, doc_id, node, n, component_id)``; ``n`` is its set's size,
-    ``component_id`` the least ``doc_id`` reachable by links. Links: verified pairs of nodes,
-    ``(a, b, common, either)``, enough of them to connect every component.
+    Members: a row per document, ``(key, doc_id, node, n, component_id, stays)``; ``key`` names
+    its id and text, ``node`` its set, ``n`` is the set's size, ``component_id`` the least
+    ``doc_id`` reachable by links, and ``stays`` holds for one key of each component: one of that
+    id. Links: verified pairs of nodes, ``(a, b, common, either)``, enough of them to connect
+    every component. It is not counted how many links each document has: in a group of near
+    copies their number grows with the group's square.
 
     Words are lower-cased in A-Z and split at ASCII white space; a text with fewer words than
-    ``words`` is one shingle. Null and empty texts have no shingles and link with nothing. A
-    null ``doc_id`` takes part; its component is null if no other member has an id. Repeated
+    ``words`` is one shingle. Null and empty texts have no shingles, link with nothing and all
+    stay. A null ``doc_id`` takes part; a component is null if no member has an id. Repeated
     rows and ids have a row each. Other columns are ignored; an empty input gives no rows.
     """
     spark = df.sparkSession
+    tables = Scratch(spark)
     id_, text_ = F.col(doc_id).cast("long"), F.col(text).cast("string")
-    docs = df.select(F.coalesce(id_, F.xxhash64(text_)).alias("key"), id_.alias("doc_id"), text_.alias("text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = new_path(spark, "sketches")
-    _sketch(docs, words, _frequent(docs, words), buckets).write.parquet(path)
-    base = spark.read.parquet(path)
-    members = written(base.where("n is not null").select("key", "doc_id", "node", "n", "narrow"), "members")
-    offers = base.where("bucket is not null").select("bucket", "hot", "nodes", "counts", "signatures")
-    inside = base.where("grp is not null").select("grp", "node")
-    met = offers.groupBy("bucket").applyInArrow(_meet, "grp long, node long").union(inside)
-    met = written(met.distinct(), "groups")
-    drop_path(spark, path)  # the largest of the tables
-
-    nodes = members.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("narrow").alias("narrow"))
-    nodes = written(nodes, "nodes")
-    near = written(met.select("node").distinct().join(nodes, "node").select("key", "node", "n", "narrow"), "met")
-    heads = met.groupBy("grp").agg(F.min("node").alias("a"))
-    stars = met.join(heads, "grp").select("a", F.col("node").alias("b")).where("a < b")
-    stars = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = _verified(docs, stars, near, words, SIMILARITY, "first")
-    labels = components(first)
-
-    links = first
-    for n in range(1, ROUNDS + 1):
-        # Groups that the links so far leave in different components, each node with its component.
-        tagged = met.join(labels, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"))
-        split = tagged.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(n))).alias("head"))
-        split = split.where("lo < hi").select("grp", F.col("head.node").alias("head"), F.col("head.comp").alias("other"))
-        apart = written(tagged.join(split, "grp"), f"apart{n}")
-        pairs = apart.where("comp <> other").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-        if n == ROUNDS:
-            more = apart.select("grp", F.col("node").alias("b"), F.col("comp").alias("far"))
-            pairs = apart.withColumnRenamed("node", "a").join(more, "grp").where("comp < far").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = written(pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti"), f"pairs{n}")
-        if not pairs.limit(1).count():
-            if not apart.limit(1).count():
-                break
-            continue
-        new = _verified(docs, pairs, near, words, SIMILARITY, f"round{n}")
-        if new.limit(1).count():
-            links = written(links.union(new), f"links{n}")
-            labels = components(links)
-
-    by = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"), (F.col("n") > 0).alias("any"))
-    by = written(by, "by_node")
-    least = by.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = written(by.join(least, "comp").select("node", "any", "component_id"), "named")
-    out = members.join(named, "node").select(
-        "key", "doc_id", "node", "n", F.when(F.col("any"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    docs = df.select(F.xxhash64(id_, text_).alias("key"), id_.alias("doc_id"), text_.alias("text"))
+    frequent, size = _frequent(docs, words)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    base = tables.write(_sketch(docs, words, frequent, buckets), "sketches")
+    members = written(base.where("n is not null").select("key", "doc_id", "node", "n"), "members")
+    offers = base.where("bucket is not null").select("bucket", "hot", "nodes", "signatures")
+    found = tables.write(offers.groupBy("bucket").applyInArrow(_meet, "grp long, node long, hot boolean"), "found")
+    hot = found.where("hot").select("grp", "node").union(base.where("grp is not null").select("grp", "node")).distinct()
+    hot = tables.write(hot, "hot")
+    least = hot.groupBy("grp").agg(F.min("node").alias("least"))
+    hot = hot.join(_small(least), "grp").select(F.col("least").alias("grp"), "node")
+    met = tables.write(found.where("not hot").select("grp", "node").union(hot).distinct(), "met")
+    sketches = base.where("narrow is not null").select("node", "n", "narrow")
+    near = tables.write(sketches.join(_small(met.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]), "near")
+    tables.drop("sketches", "found", "hot")
+    nodes = members.where("n > 0").groupBy("node").agg(
+        F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("key"), F.min("doc_id").alias("least"), F.count("*").alias("rows")
     )
+    nodes = tables.write(nodes, "nodes")
+
+    # What sketches connect: large groups by their least node first, then all by tiles.
+    alone = met.withColumn("comp", F.col("node"))
+    star = tables.write(_candidates(alone, near, star=True), "star")
+    supposed = components(star)
+    named = lambda of, comps, c: of.join(comps.withColumnRenamed("comp", c), "node", "left").withColumn(c, F.coalesce(c, "node"))
+    pairs = tables.write(star.union(_candidates(named(met, supposed, "comp"), near)).distinct(), "pairs")
+    links = _verified(tables, docs, pairs, nodes, words, SIMILARITY)
+    comps = components(links)
+    if pairs.count() > links.count():
+        # Where sets refuse what sketches connect, every pair that sketches allow across what is left is verified.
+        whole = components(pairs)
+        split = named(named(met, whole, "whole"), comps, "comp").withColumn("grp", F.xxhash64("grp", "whole")).drop("whole")
+        apart = split.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("grp")
+        split = tables.write(split.join(_small(apart), "grp", "left_semi"), "split")
+        more = _candidates(split, near, every=True).join(pairs, ["a", "b"], "left_anti")
+        new = _verified(tables, docs, tables.write(more, "more"), nodes, words, SIMILARITY)
+        if new.limit(1).count():
+            links = written(links.union(new), "links")
+            comps = components(links)
+        tables.drop("more", "split")
+
+    shared = nodes.join(comps, "node", "left").where("rows > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
+    shared = tables.write(shared, "shared")
+    of = shared.groupBy("comp").agg(F.min("least").alias("component_id"), F.coalesce(F.min_by("key", "least"), F.min("key")).alias("stay"))
+    classes = written(shared.join(of, "comp").select("node", "component_id", "stay"), "classes")
+    tables.drop("met", "near", "nodes", "star", "pairs", "shared")
+    out = members.join(_small(classes), "node", "left")
+    linked = F.col("stay").isNotNull()
+    out = out.select("key", "doc_id", "node", "n", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), (~linked | (F.col("stay") == F.col("key"))).alias("stays"))
     return out, links
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows without all but one document of each component (that of the least id).
+    """The input's rows without all but one row of each component (one of the least id; ids before nulls).
 
-    Texts without words all stay. Of repeated rows of the document that stays, one stays.
+    Rows are told apart by id and text, so a repeated or null id doesn't save a copy. Texts without
+    words all stay. Of repeated rows of the document that stays, one stays.
     """
     members, _ = join(df, doc_id, text)
-    members = written(members, "members")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    by_key = members.groupBy("key").agg(F.max(stays.cast("int")).alias("stays"), F.count("*").alias("rows"), F.max("n").alias("most"))
-    alone = F.col("stays") == 1
-    drop = written(by_key.where(~alone).select("key"), "dropped")
-    again = written(by_key.where(alone & (F.col("rows") > 1) & (F.col("most") > 0)).select("key"), "repeated")
+    drop = written(members.where("not stays").select("key").distinct(), "dropped")
+    again = written(members.where("stays and n > 0").groupBy("key").count().where("count > 1").select("key"), "repeated")
     names = df.columns
     inner = df.toDF(*[f"c{k}" for k in range(len(names))])
     i, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
-    keyed = inner.withColumn("key", F.coalesce(F.col(i).cast("long"), F.xxhash64(t)))
-
-    def small(keys: DataFrame) -> DataFrame:
-        return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-    kept = keyed.join(small(drop), "key", "left_anti")
+    keyed = inner.withColumn("key", F.xxhash64(F.col(i).cast("long"), F.col(t).cast("string")))
+    kept = keyed.join(_small(drop), "key", "left_anti")
     if again.limit(1).count():
-        once = kept.join(small(again), "key", "left_semi").dropDuplicates(["key", t])
-        kept = kept.join(small(again), "key", "left_anti").unionByName(once)
+        once = kept.join(_small(again), "key", "left_semi").dropDuplicates(["key"])
+        kept = kept.join(_small(again), "key", "left_anti").unionByName(once)
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
