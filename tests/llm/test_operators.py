@@ -481,21 +481,43 @@ def test_quality_model_on_odd_rows(spark, odd, labels):
 # Mixing
 
 
-def test_rates_meet_targets_like_a_plain_solver(spark):
+def test_rates_are_the_least_that_meet_targets(spark):
+    """Against a plain solver: descent with its own steps on the dual of the same problem."""
     rng = np.random.default_rng(6)
     p = rng.dirichlet([0.3] * 3, 200)
     n = rng.integers(1, 500, 200)
+    share = np.asarray([0.5, 0.3, 0.2])
     mass = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_tokens long, _p array<double>")
-    rates = mixing.fit_rates(mass, [0.5, 0.3, 0.2])
+    rates = mixing.fit_repeats(mass, share.tolist())
     r = np.asarray([x[0] for x in mass.select(rates.of()).collect()])
-    plain = np.ones(200)
-    start, target = n @ p, np.asarray(rates.targets)
-    for e in rates.residuals:
-        assert np.allclose(e, ((plain * n) @ p - target) / start, atol=1e-9)
-        plain = np.clip(plain - p @ np.asarray(e) - mixing.RIDGE * (plain - 1), 0, mixing.MAX_RATE)
-    assert np.allclose(r, plain) and (r >= 0).all()
+    v = np.zeros(3)
+    for _ in range(20_000):
+        reached = ((1 + np.maximum(0, p @ v)) * n) @ p
+        v -= 0.1 * (reached - share * reached.sum()) / reached.sum()
+        v -= share * (share @ v) / (share @ share)
+    assert np.abs(r - (1 + np.maximum(0, p @ v))).max() < 1e-3
     reached = (r * n) @ p
-    assert np.abs(reached / reached.sum() - [0.5, 0.3, 0.2]).max() < 0.02
+    assert np.abs(reached / reached.sum() - share).max() < 1e-4 and r.min() >= 1
+
+
+def test_posteriors_and_copies_match_a_plain_version(spark):
+    import xxhash
+
+    model = mixing.Classifier(("en", "de"), ["der", "the"], [[-5.0, -1.0, -0.5], [-1.5, -4.0, -0.4]], [-0.2, -1.7])
+    texts = [None, "", " ", "The the cat", "der Hund der the", "the " * 300 + "der x", "é der\x0bthe\nx"]
+    rows = mixing.posteriors(documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), model).collect()
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (texts[r["doc_id"]] or "").lower())
+        count = [words.count("der"), words.count("the")]
+        count.append(len(words) - sum(count))
+        scale = 1 / max(1.0, len(words) / mixing.EVIDENCE_WORDS)
+        e = np.exp([q + scale * sum(c * x for c, x in zip(count, logs, strict=True)) for q, logs in zip(model.priors, model.logs, strict=True)])
+        assert r["_tokens"] == len(words) and np.allclose(r["_p"], e / e.sum())
+    df = spark.createDataFrame([(k, x) for k, x in enumerate((1.0, 1.25, 2.5, 3.999))] + [(None, 1.5)], "doc_id long, rate double")
+    for r in df.withColumn("n", mixing.copies(F.col("rate"), F.col("doc_id"))).collect():
+        data = b"" if r["doc_id"] is None else r["doc_id"].to_bytes(8, "little", signed=True)
+        draw = (42 if not data else xxhash.xxh64_intdigest(data, 42)) % (1 << 20) / (1 << 20)
+        assert r["n"] == int(r["rate"]) + (draw < r["rate"] - int(r["rate"]))
 
 
 @pytest.mark.parametrize("scarce", [0.2, 0.01, 0.003])
