@@ -1,10 +1,11 @@
 """Secret scan over a trigram inverted index, in DataFrame functions only.
 
 Each rule is a regular expression. The trigrams that its matches must hold make a Boolean query
-(:mod:`vexel.llm.trigrams`). The index has a posting ``(trigram, document)`` for each trigram of
-any rule; the postings of a document are folded into bitmaps, map-side first, on which the
-queries are intersected, and the rules that remain are verified on the text. Rules without a
-mandatory trigram are run on every text.
+(:mod:`vexel.llm.trigrams`), of which each conjunction keeps its rarest trigrams: fewer ask less,
+so no match is lost. The index holds a posting ``(trigram, document)`` for each of these. The
+posting lists that a conjunction names are intersected, and what is found, a document and its
+rules, is sent to the texts, which stay where they are; there the rules are verified. Rules
+without a mandatory trigram are run on every text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vexel.llm.scratch import written
 from vexel.llm.trigrams import Query, query_of
 
 
@@ -61,9 +63,30 @@ RULES = BASE + EXTRA
 _SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
 
 
+#: Trigrams that a conjunction keeps.
+RAREST = 3
+#: Documents with candidates that are sent to the texts by broadcast (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+# Letters by how often English text has them.
+_BY_FREQUENCY = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def asked(rule: Rule) -> Query:
+    """The rule's query, each conjunction with its rarest trigrams only, as its letters' ranks multiply."""
+    if rule.query is None:
+        return None
+
+    def rarity(gram: str) -> float:
+        ranks = [_BY_FREQUENCY.find(c) + 1 or len(_BY_FREQUENCY) + 1 for c in gram]
+        return ranks[0] * ranks[1] * ranks[2]
+
+    kept = {frozenset(sorted(part, key=lambda g: (-rarity(g), g))[:RAREST]) for part in rule.query}
+    return frozenset(x for x in kept if not any(y < x for y in kept))
+
+
 def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
-    """All trigrams that the rules' queries name."""
-    return sorted({g for r in rules if r.query for part in r.query for g in part})
+    """All trigrams that the rules ask for."""
+    return sorted({g for r in rules for part in asked(r) or () for g in part})
 
 
 def _key(doc_id: str, text: str) -> Column:
@@ -75,7 +98,10 @@ def _key(doc_id: str, text: str) -> Column:
 
 
 def postings(df: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index: rows ``(gram, doc)``, ``gram`` being the place in :func:`vocabulary`."""
+    """The inverted index: rows ``(gram, doc)``, ``gram`` being the place in :func:`vocabulary`.
+
+    A document whose text no conjunction can hold in has no posting in the lists.
+    """
     known = vocabulary(rules)
     texts = df.where(F.col(text).isNotNull()).select(_key(doc_id, text).alias("doc"), F.lower(text).alias("low"))
     found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(known)]))
@@ -83,7 +109,12 @@ def postings(df: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Documents for which some rule's query holds: ``doc`` and ``rules``, the rules' places."""
+    """Documents in all posting lists of some conjunction of a rule's query: ``doc`` and ``rules``, the rules' places.
+
+    The lists are intersected by counting: of the distinct lists of a conjunction, those that hold
+    the document. Partial counts are made where the postings are, so one row for each document
+    and task is shuffled.
+    """
     known = vocabulary(rules)
     place = {g: k for k, g in enumerate(known)}
     blocks = range(len(known) // 63 + 1)
@@ -104,7 +135,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             found = found | every
         return found
 
-    hit = F.array_compact(F.array(*[F.when(holds(r.query), F.lit(k)) for k, r in enumerate(rules) if r.query is not None]))
+    hit = F.array_compact(F.array(*[F.when(holds(asked(r)), F.lit(k)) for k, r in enumerate(rules) if r.query is not None]))
     return held.select("doc", hit.alias("rules")).where(F.size("rules") > 0)
 
 
@@ -136,7 +167,9 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id",
     names = [c for c in df.columns if c.lower() != "found"]
     inner = df.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(names)])
     i, t = f"_in{names.index(doc_id)}", f"_in{names.index(text)}"
-    hits = candidates(postings(inner.select(i, t), rules, i, t), rules)
+    hits = written(candidates(postings(inner.select(i, t), rules, i, t), rules), "secret_candidates")
+    if hits.count() <= BROADCAST_KEYS:
+        hits = F.broadcast(hits)
     joined = inner.withColumn("doc", _key(i, t)).join(hits, "doc", "left")
     parts = []
     for k, rule in enumerate(rules):
