@@ -4,8 +4,9 @@ Documents arrive one by one. Every open window is known only by its fill level,
 is the number of windows filled to ``h``. A piece of ``a`` tokens goes to the level ``h`` (0 opens
 a new window) for which the sum of ``count[h] ** 2`` over the partly filled levels comes out
 least, which keeps the levels diverse so that later pieces find a gap of their size. Windows
-that fill up leave at once; what is open at the end of a task is cut and joined, so that a task
-leaves only windows whose length is a power of two, which need no padding.
+that fill up leave at once. A task that holds more open windows than it may closes the fullest one
+by a cut of the emptiest, and goes on. What is open at the end of a task is cut and joined, so
+that a task leaves only windows whose length is a power of two, which need no padding.
 
 Each task packs its own input on its own: no shuffle, memory bounded by the windows that can be
 open at once, and a lost task is simply run again.
@@ -30,8 +31,8 @@ SCHEMA = (
 )
 #: Characters of text that a task encodes at once.
 BLOCK_CHARS = 8_000_000
-#: Open windows a task holds before it closes them by cutting and joining.
-MAX_OPEN = 1500
+#: Open windows a task may hold (at most ``4 * window`` bytes each).
+MAX_OPEN = 8192
 SPECIAL = "<|endoftext|>"
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -152,10 +153,10 @@ class SumOfSquares:
 class Packer:
     """Packs the documents of one task; yields finished pieces as tuples of :data:`SCHEMA`."""
 
-    def __init__(self, first_id: int, window: int = WINDOW) -> None:
-        self.window, self.next_id = window, first_id
+    def __init__(self, first_id: int, window: int = WINDOW, max_open: int = MAX_OPEN) -> None:
+        self.window, self.next_id, self.max_open = window, first_id, max(1, max_open)
         self.levels = SumOfSquares(window)
-        self.open: dict[int, list[list]] = {}  # level -> windows, each a list of pieces
+        self.open: dict[int, list[list[tuple]]] = {}  # level -> windows, each a list of pieces
         self.n_open = 0
         self.out: list[tuple] = []
 
@@ -180,8 +181,40 @@ class Packer:
             self._emit(pieces)
         else:
             self.open.setdefault(level + size, []).append(pieces)
-        if self.n_open > MAX_OPEN:
-            self.close()
+        if self.n_open > self.max_open:
+            self._close_fullest()
+
+    def _take(self, level: int) -> list[tuple]:
+        """Take a window of that level out of what is open."""
+        self.levels.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _hold(self, pieces: list[tuple]) -> None:
+        level = sum(len(p[3]) for p in pieces) // 4
+        self.levels.count[level] += 1
+        self.n_open += 1
+        self.open.setdefault(level, []).append(pieces)
+
+    def _close_fullest(self) -> None:
+        """Fill the fullest window from the emptiest others, of which the last one is cut."""
+        held = np.flatnonzero(self.levels.count)
+        full = int(held[-1])
+        pieces, room = self._take(full), self.window - full
+        while room:
+            rest = []
+            for doc_id, start, total, ids in self._take(int(np.flatnonzero(self.levels.count)[0])):
+                take = min(room, len(ids) // 4)
+                if take:
+                    pieces.append((doc_id, start, total, ids[: 4 * take]))
+                    room -= take
+                if 4 * take < len(ids):
+                    rest.append((doc_id, start + take, total, ids[4 * take :]))
+            if rest:
+                self._hold(rest)
+            if room and not self.n_open:
+                return self._hold(pieces)
+        self._emit(pieces)
 
     def _emit(self, pieces: list) -> None:
         length = sum(len(p[3]) for p in pieces) // 4
