@@ -3,10 +3,11 @@
 A word is the weighted bag of its letter triples, in order but not necessarily adjacent: every
 letter skipped inside a triple halves its weight, so ``i-d-i-o-t`` and ``idxiot`` stay close to
 ``idiot``. The kernel of two words is the cosine of their bags, cut off at a floor so that chance
-resemblance counts nothing; the kernel of two sentences is the sum over their word pairs.
-Landmark words give the Nystroem map, on which a squared-hinge machine is trained over sentences
-of labelled documents. Of a toxic document only the two sentences that score highest are examples,
-chosen anew in each round. A document scores as its three highest sentences together, as a
+resemblance counts nothing; the kernel of two sentences is the sum over their word pairs. The
+floor costs the kernel its positive definiteness: the Nystroem map, the inverse root of the
+landmarks' own kernel, lifts eigenvalues to :data:`LEAST` at least. On this map a squared-hinge
+machine is trained over sentences of labelled documents that hold a word near a landmark: all
+those of clean documents, and of a toxic document the two that score highest, chosen anew in each round. A document scores as its three highest sentences together, as a
 probability: a single doubtful word weighs less than several.
 """
 
@@ -19,14 +20,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents used for training, of each label at most.
-MAX_LABELLED = 700
+#: Labelled documents used for training, of each label at most, and the bytes of their texts: a
+#: document that would bring these beyond the bound is left out as a whole.
+MAX_LABELLED, MAX_LABELLED_BYTES = 700, 32_000_000
+#: Landmark words: those of toxic texts that tell them apart, and words of clean texts that resemble these most.
 LANDMARKS, HARD_NEGATIVES = 128, 48
-#: Sentences of clean documents used in a round of training: those that score highest, and some others.
-HARD_SENTENCES, OTHER_SENTENCES = 15_000, 2_000
+#: Least eigenvalue of the landmarks' own kernel.
+LEAST = 1e-3
 THRESHOLD = 0.3
 #: Kernel values below this are chance resemblance.
 FLOOR = 0.35
@@ -334,23 +337,25 @@ def train(texts: list[str], labels: list[int]) -> Model:
     own_at, own = kernel(landmarks)
     gram = np.zeros((len(landmarks),) * 2)
     gram[own_at] = own
-    vals, vecs = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(landmarks)))
-    root = vecs @ np.diag(np.maximum(vals, 1e-3) ** -0.5) @ vecs.T
+    vals, vecs = np.linalg.eigh((gram + gram.T) / 2 + LEAST * np.eye(len(landmarks)))
+    root = (vecs @ np.diag(np.maximum(vals, LEAST) ** -0.5) @ vecs.T).astype(np.float32)
+    spare = whole - np.bincount(of, minlength=len(label))  # sentences of each text without a row
+    clean = np.flatnonzero(~label[of])
+    # Sentences without a row could only move the bias, which the scale to probability sets anew.
+    negative = features[clean] @ root
     rank = features.max(axis=1)
     w, b = np.zeros(len(landmarks)), 0.0
     for _ in range(3):
-        order = np.argsort(rank, kind="stable")
         by_text = np.lexsort((-rank, of))
         place = np.arange(len(of)) - np.searchsorted(of[by_text], of[by_text])
         positive = by_text[(place < EXAMPLES) & label[of[by_text]]]
-        hard = order[~label[of[order]]][-HARD_SENTENCES:]
-        others = np.zeros((OTHER_SENTENCES, len(landmarks)))
-        x = np.concatenate([features[positive].astype(float) @ root, features[hard].astype(float) @ root, others])
-        n1, n0 = max(1, len(positive)), len(hard) + len(others)
-        w, b = _squared_hinge(x, np.repeat([1.0, -1.0], [len(positive), n0]), np.repeat([0.5 / n1, 0.5 / n0], [len(positive), n0]))
+        x = np.concatenate([features[positive] @ root, negative])
+        y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
+        weight = np.concatenate([np.full(len(part), 0.5 / max(1, len(part))) for part in (positive, negative)])
+        w, b = _squared_hinge(x, y, weight)
         rank = features @ (root @ w).astype(np.float32)
-    # Sentences without a row have the bias as their margin: as many of them as matter.
-    spare = np.minimum(whole - np.bincount(of, minlength=len(label)), HIGHEST)
+    # Of the sentences without a row, which have the bias as their margin, as many as matter.
+    spare = np.minimum(spare, HIGHEST)
     total = np.concatenate([rank + b, np.full(int(spare.sum()), b)])
     owner = np.concatenate([of, np.repeat(np.arange(len(label)), spare)])
     slope, shift = _platt(_highest(total, owner, len(label), b), label)
@@ -358,15 +363,22 @@ def train(texts: list[str], labels: list[int]) -> Model:
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Primal Newton steps of the squared-hinge machine; the bias is the last weight."""
-    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(z.shape[1])
-    penalty = ridge * np.eye(len(w))
+    """Primal Newton steps of the squared-hinge machine, over a few rows at a time; the bias is the last weight."""
+    d = x.shape[1] + 1
+    w = np.zeros(d)
+    penalty = ridge * np.eye(d)
     penalty[-1, -1] = 1e-8
     for _ in range(30):
-        slack = 1 - y * (z @ w)
-        on = slack > 0
-        step = np.linalg.solve((z[on] * weight[on, None]).T @ z[on] + penalty, (z[on] * (weight * y * slack)[on, None]).sum(axis=0) - penalty @ w)
+        bend, pull = penalty.copy(), -penalty @ w
+        for lo in range(0, len(x), _CHUNK_WORDS):
+            part = slice(lo, lo + _CHUNK_WORDS)
+            slack = 1 - y[part] * (x[part] @ w[:-1] + w[-1])
+            on = np.flatnonzero(slack > 0)
+            z = np.concatenate([x[part][on], np.ones((len(on), 1))], axis=1).astype(float)
+            c = weight[part][on]
+            bend += (z * c[:, None]).T @ z
+            pull += (c * y[part][on] * slack[on]) @ z
+        step = np.linalg.solve(bend, pull)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -390,8 +402,10 @@ def _platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     """Training texts and labels: of each label the :data:`MAX_LABELLED` documents with the least CRC-32.
 
-    Documents whose CRC-32 of the id as text has remainder 2 modulo 4 are left out. A document
-    with several labels is toxic if one is; null ids and labels are ignored.
+    Documents whose CRC-32 of the id as text has remainder 2 modulo 4 are left out, and those
+    whose texts, in that order and both labels in turn, would come to more than
+    :data:`MAX_LABELLED_BYTES`. A document with several labels is toxic if one is; null ids and
+    labels are ignored. Of an id that documents repeat, the greatest text is taken.
     """
     check = F.crc32(F.col("doc_id").cast("string"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (check % 4 != 2))
@@ -400,7 +414,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     few = F.broadcast(parts[0].union(parts[1]))  # 2 * MAX_LABELLED rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").where(F.col("text").isNotNull())
     # An id repeated in documents must not lift the bound on what is collected.
-    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(check, "doc_id"))
+    rows = rows.withColumn("rank", rank).withColumn("bytes", F.sum(F.octet_length("text")).over(Window.orderBy("rank", "toxic")))
+    rows = rows.where(F.col("bytes") <= MAX_LABELLED_BYTES).orderBy("doc_id").select("text", "toxic").toArrow()
     return rows["text"].to_pylist(), [int(t) for t in rows["toxic"].to_pylist()]
 
 
