@@ -27,8 +27,7 @@ TARGETS = {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.14}
 MAX_LABELLED, WORDS_PER_DOMAIN = 3000, 12
 #: Words of evidence that a text counts for at most, however long: keeps memberships soft.
 EVIDENCE_WORDS = 40
-MAX_RATE, RIDGE = 8.0, 1e-3
-MAX_STEPS, TOLERANCE = 25, 1e-4
+TOLERANCE = 1e-4
 #: Of :func:`fit_repeats`: weight that keeps its steps finite where targets can't be reached, and
 #: steps after which it reports so; some 5 to 15 do where they can.
 DAMPING, MAX_NEWTON = 1e-7, 100
@@ -92,60 +91,6 @@ def posteriors(df: DataFrame, model: Classifier, text: str = "text") -> DataFram
     return df.withColumn("_s", total).withColumn("_p", F.transform("_e", lambda x: x / F.col("_s"))).drop("_w", "_c", "_e", "_s")
 
 
-@dataclass
-class Rates:
-    """The fitted steps: ``residuals[t][d]`` of each, from which any posterior's rate follows."""
-
-    residuals: list[list[float]] = field(default_factory=list)
-    targets: list[float] = field(default_factory=list)
-    reached: list[float] = field(default_factory=list)
-
-    def of(self, p: str = "_p") -> Column:
-        rate = F.lit(1.0)
-        if not self.residuals:
-            return rate
-        steps = F.array(*[F.array(*map(F.lit, e)) for e in self.residuals])
-
-        def step(r: Column, e: Column) -> Column:
-            pull = F.aggregate(F.zip_with(p, e, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-            return F.greatest(F.lit(0.0), F.least(F.lit(MAX_RATE), r - pull - RIDGE * (r - 1.0)))
-
-        return F.aggregate(steps, rate, step)
-
-
-def fit_rates(mass: DataFrame, weights: list[float]) -> Rates:
-    """Fit rates over rows ``(_tokens, _p)`` to the domains' ``weights``, in capped rates and few steps.
-
-    Kept as a plain solver for targets near what there is; the operators use :func:`fit_repeats`.
-    The targets are the least totals in these proportions that no domain exceeds at rate one, so
-    what is scarce is repeated and nothing is dropped for being frequent. Minimised are the
-    squared distances to the targets, each over its domain's present total, and ``RIDGE`` times
-    the squared distances of rates from one, weighted by tokens, with rates from 0 to
-    :data:`MAX_RATE`. Steps of length one in the metric of the tokens can't diverge, as the
-    scaled second derivative is a stochastic matrix.
-    """
-    d = len(weights)
-
-    def totals(rates: Rates) -> np.ndarray:
-        rate = rates.of()
-        row = mass.withColumn("_r", rate).agg(*[F.coalesce(F.sum(F.col("_r") * F.col("_tokens") * F.col("_p")[k]), F.lit(0.0)) for k in range(d)]).first()
-        return np.asarray(row, dtype=float)
-
-    start = totals(Rates())
-    share = np.asarray(weights) / sum(weights)
-    budget = max((start[k] / share[k] for k in range(d) if share[k] > 0), default=0.0)
-    rates = Rates(targets=[float(x) for x in share * budget])
-    now = start
-    for _ in range(MAX_STEPS):
-        residual = np.where(start > 0, (now - share * budget) / np.where(start > 0, start, 1.0), 0.0)
-        if np.abs(residual * start).max(initial=0.0) <= TOLERANCE * max(budget, 1.0):
-            break
-        rates.residuals.append([float(x) for x in residual])
-        now = totals(rates)
-    rates.reached = [float(x) for x in now]
-    return rates
-
-
 @dataclass
 class Repeats:
     """Fitted rates: a document's is ``1 + max(0, sum of posterior x pull)``; ``reached`` are the domains' tokens."""
@@ -194,7 +139,7 @@ def _solve(sums, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if (np.abs(now - share * budget)[use] <= TOLERANCE * share[use] * budget).all():
             break
         # Nearer to plain descent where few rows are repeated so far, as a whole Newton step goes astray there.
-        step = -np.linalg.solve(bend + caution * basis.T @ np.diag(start) @ basis, slope)
+        step = -np.linalg.lstsq(bend + caution * basis.T @ np.diag(start) @ basis, slope)[0]
         tried = state(at + step)
         if tried[0] > value + 1e-4 * (slope @ step):
             caution *= 8
@@ -239,9 +184,12 @@ def fit_repeats(mass: DataFrame, weights: list[float]) -> Repeats:
     return found
 
 
-def copies(rate: Column, key: Column) -> Column:
-    """Whole copies for a rate: its floor, and one more for the share of keys that its fraction gives."""
-    draw = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / F.lit(float(1 << 20))
+def copies(rate: Column, *key: Column) -> Column:
+    """Whole copies for a rate: its floor, and one more for the share of keys that its fraction gives.
+
+    Rows of one key, so of one id and text here, are rounded alike.
+    """
+    draw = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
 
 
@@ -254,19 +202,24 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     domains = tuple(targets)
     model = fit_classifier(docs, labels, domains=domains)
-    mass = written(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "_tokens", "_p"), "memberships")
+    rows = posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    mass = written(rows.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"), "_tokens", "_p"), "memberships")
     rates = fit_repeats(mass, [targets[d] for d in domains])
     return mass.withColumn("rate", rates.of()).select(
         "doc_id",
         F.col("_tokens").alias("tokens"),
         *[F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(domains)],
         "rate",
-        copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+        copies(F.col("rate"), F.col("_key")).alias("copies"),
     )
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The input's rows, each as often as its rate says (at least once, as targets only ask for more)."""
+    """The input's rows, each as often as :func:`mix` says: rates are one or more, so every row stays.
+
+    Posteriors are worked out twice, as rates are known only after all of them: that costs less
+    than keeping the texts beside them in between.
+    """
     targets = targets or TARGETS
     domains = tuple(targets)
     model = fit_classifier(docs, labels, domains=domains)
@@ -275,6 +228,6 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     names = docs.columns
     inner = docs.toDF(*[f"c{k}" for k in range(len(names))])
     rated = posteriors(inner, model, f"c{names.index('text')}").withColumn("_rate", rates.of())
-    times = F.greatest(copies(F.col("_rate"), F.col(f"c{names.index('doc_id')}")), F.lit(1))
+    times = copies(F.col("_rate"), F.xxhash64(F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{names.index('text')}")))
     rows = rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
     return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
