@@ -31,8 +31,8 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 100
-#: Records of one archive file at most.
-FILE_RECORDS = 20_000
+#: Bytes of the records of one archive file, about: the next record begins another file.
+FILE_BYTES = 64_000_000
 #: Keys joined by broadcast at most.
 BROADCAST_KEYS = 1_000_000
 CAPTURED = "20240101000000"
@@ -70,7 +70,7 @@ def arc_version_block(version: int, name: str = "pages.arc", date: str = CAPTURE
 
 def arc_record(version: int, url: str, block: bytes, offset: int = 0, name: str = "pages.arc", date: str = CAPTURED, media: str = "text/html") -> bytes:
     """One ARC record; white space in ``url`` is percent-encoded, as it separates fields."""
-    url = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) or "about:blank"
+    url = _target(url)
     tail = "" if version == 1 else f"200 {hashlib.md5(block).hexdigest()} - {offset} {name} "
     return f"{url} 0.0.0.0 {date} {media} {tail}{len(block)}\n".encode("utf-8", "surrogatepass") + block + b"\n"
 
@@ -123,26 +123,28 @@ def payload_of(block: bytes, is_http: bool) -> bytes:
     return block[at + 4 :] if at >= 0 else block
 
 
-def to_warc(arc: ArcRecord, archive: str = "", record_id: str | None = None) -> Record:
+def iso_date(date: str) -> str:
+    """A date of an ARC header line as WARC writes it; missing parts (there may be 8 or 12 digits) are zero."""
+    try:
+        return datetime.strptime(date.ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError as e:
+        raise ArchiveError(f"bad date {date!r}") from e
+
+
+def to_warc(arc: ArcRecord, archive: str = "") -> Record:
     """The WARC equivalent of an ARC record.
 
-    HTTP blocks become ``response`` records, others ``resource``. The date's missing parts (ARC
-    dates may have 8 or 12 digits) are zero; the identifier is derived from archive and offset
-    unless given.
+    HTTP blocks become ``response`` records, others ``resource``. The identifier is derived from
+    the archive's name, which says where it lies, and the record's offset in it.
     """
     f = arc.fields
-    date = f["Archive-date"].ljust(14, "0")
-    try:
-        iso = datetime.strptime(date, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-    except ValueError as e:
-        raise ArchiveError(f"bad date {f['Archive-date']!r}") from e
     http = f["URL"].startswith(("http://", "https://")) and arc.block.startswith(b"HTTP/") or arc.block.startswith(b"HTTP/1.")
     media = "application/http; msgtype=response" if http else f["Content-type"]
-    name = record_id or f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{arc.offset}:{f['URL']}')}"
+    name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{arc.offset}:{f['URL']}')}"
     fields = {
         "WARC-Type": "response" if http else "resource",
         "WARC-Record-ID": f"<{name}>",
-        "WARC-Date": iso,
+        "WARC-Date": iso_date(f["Archive-date"]),
         "WARC-Target-URI": f["URL"],
         "WARC-IP-Address": f["IP-address"],
         "Content-Type": media,
@@ -152,14 +154,15 @@ def to_warc(arc: ArcRecord, archive: str = "", record_id: str | None = None) ->
     return Record(fields, arc.block)
 
 
-def as_revisit(record: Record, refers_to: str) -> Record:
-    """The same capture without its payload, which record ``refers_to`` holds; the HTTP header stays."""
+def as_revisit(record: Record, uri: str, date: str) -> Record:
+    """The same capture without its payload, which the capture of ``uri`` at ``date`` holds; the HTTP header stays."""
     payload = payload_of(record.block, True)
     block = record.block[: len(record.block) - len(payload)]
     fields = record.fields | {
         "WARC-Type": "revisit",
         "WARC-Profile": REVISIT_PROFILE,
-        "WARC-Refers-To": f"<{refers_to}>",
+        "WARC-Refers-To-Target-URI": uri,
+        "WARC-Refers-To-Date": date,
         "WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(),
     }
     return Record(fields, block)
@@ -190,52 +193,73 @@ def read_warc(data: bytes) -> Iterator[Record]:
 
 
 def _first_of_each(pages: DataFrame) -> DataFrame:
-    """``(digest, first)`` of the payloads that several pages share."""
-    by = pages.where(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    return by.where(F.col("n") > 1).select("digest", "first")
+    """``(digest, first, first_url, first_date)`` of the payloads that several pages share."""
+    one = F.struct("page_id", "url", "date")
+    by = pages.where((F.col("size") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.min(one).alias("one"), F.count("*").alias("n"))
+    return by.where(F.col("n") > 1).select("digest", "first", F.col("one.url").alias("first_url"), F.col("one.date").alias("first_date"))
 
 
-def write_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_pages(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> None:
     """Archive pages as gzipped WARC files under ``path``, by way of ARC records of both versions.
 
     Each row becomes an ARC record (version 1 for even ids, else 2), which is read by its header
-    line and declared length and converted. Of equal payloads of at least
+    line and declared length and converted. Identifiers are derived from where a record is
+    written, so they are unique, and the same if a task is run again. Of equal payloads of at least
     :data:`MIN_REVISIT_BYTES` the least id is the response and the others revisit it; repeated
     rows of that id are all responses. A null html is an empty payload, a null url
-    ``about:blank``; a null id is kept as such and never revisited. An empty input leaves no
-    record.
+    ``about:blank``; a null id is kept as such and neither revisits nor is revisited. Captures are
+    dated by ``time_col`` (a timestamp), all alike where there is none or it is null. Files hold
+    about :data:`FILE_BYTES`, or one longer record. An empty input leaves no record.
     """
-    pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
+    captured = F.lit(CAPTURED)
+    if time_col:
+        captured = F.coalesce(F.date_format(time_col, "yyyyMMddHHmmss"), captured)
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    pages = df.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), captured.alias("date"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
-    shared = written(_first_of_each(pages.select("page_id", "digest", "size")), "shared_payloads")
+    shared = written(_first_of_each(pages.select("page_id", "url", "date", "digest", "size")), "shared_payloads")
     if shared.count() <= BROADCAST_KEYS:
         shared = F.broadcast(shared)
-    pages = pages.join(shared, "digest", "left").select("page_id", "url", "payload", "first")
+    pages = pages.withColumn("digest", F.when(F.col("size") >= MIN_REVISIT_BYTES, F.col("digest")))  # short ones meet nothing
+    pages = pages.join(shared, "digest", "left").select("page_id", "url", "date", "payload", "first", "first_url", "first_date")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, count, size, file = f"{path}/{TaskContext.get().partitionId()}", 0, 0, 0
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([_page(r)[:-2] for r in rows], pa.binary())], names=["record"])
-
-    records = pages.mapInArrow(task, "record binary").select(F.col("record").cast("string").alias("value"))
+                records, files = [], []
+                for row in batch.slice(a, 500).to_pylist():
+                    records.append(_page(row, f"{name}/{count}")[:-2])
+                    count, size = count + 1, size + len(records[-1])
+                    files.append(file)
+                    if size >= FILE_BYTES:
+                        size, file = 0, file + 1
+                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()), pa.array(files, pa.int32())], names=["record", "file"])
+
+    records = pages.mapInArrow(task, "record binary, file int").select(F.col("record").cast("string").alias("value"), "file")
     # The writer ends each row with a line break: the second of the two that end a record.
-    records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.partitionBy("file").option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-def page_urn(page_id: int | None) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+def _target(url: str) -> str:
+    """The URL as an archive's header line holds it: white space, which separates fields, is percent-encoded."""
+    return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) or "about:blank"
 
 
-def _page(row: dict) -> bytes:
+def _page(row: dict, place: str) -> bytes:
     page_id, payload = row["page_id"], row["payload"]
     version = 1 if (page_id or 0) % 2 == 0 else 2
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    archive = arc_version_block(version) + arc_record(version, row["url"], head + payload)
+    archive = arc_version_block(version) + arc_record(version, row["url"], head + payload, date=row["date"])
     (arc,) = read_arc(archive)
-    record = to_warc(arc, record_id=page_urn(page_id))
+    record = to_warc(arc, place)
+    if page_id is not None:
+        record.fields["X-Page-ID"] = str(page_id)
     if row["first"] is not None and page_id is not None and row["first"] != page_id:
-        record = as_revisit(record, page_urn(row["first"]))
+        record = as_revisit(record, _target(row["first_url"]), iso_date(row["first_date"]))
+        record.fields["X-Refers-To-Page-ID"] = str(row["first"])
     return record.to_bytes()
 
 
@@ -254,26 +278,22 @@ def read_pages(spark, path: str) -> DataFrame:
                 names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(task, PAGE_SCHEMA)
 
 
 def _row(record: Record) -> tuple:
-    def number(urn: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
-        return int(found[1]) if found else None
-
+    """Raises :class:`ArchiveError` where a response's payload isn't as its headers say."""
     f = record.fields
     head = record.block.partition(b"\r\n\r\n")[0].decode("latin-1")
     size = int(re.search(r"(?im)^Content-Length: (\d+)", head)[1])
-    return (
-        number(f["WARC-Record-ID"]),
-        size,
-        f["WARC-Payload-Digest"].removeprefix("sha256:"),
-        f["WARC-Type"],
-        number(f.get("WARC-Refers-To")),
-        f["WARC-Target-URI"],
-    )
+    digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
+    if f["WARC-Type"] == "response":
+        payload = payload_of(record.block, True)
+        if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
+            raise ArchiveError(f"the payload of {f['WARC-Record-ID']} isn't what its headers say")
+    number = lambda name: int(f[name]) if name in f else None
+    return number("X-Page-ID"), size, digest, f["WARC-Type"], number("X-Refers-To-Page-ID"), f["WARC-Target-URI"]
 
 
 def round_trip(df: DataFrame) -> DataFrame:
