@@ -90,10 +90,13 @@ def place(
     of these are null too, the row goes to the slot of the empty key. Columns of the input
     already named ``slot`` or ``shard`` are replaced. An empty input gives an empty result.
     """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fallback]
-    text = F.coalesce(F.col(key).cast("string"), F.concat_ws("\x1f", F.lit("null"), *parts))
-    keep = [c for c in df.columns if c.lower() not in ("slot", "shard")]
-    keyed = df.withColumn("_slot", slot_of(text, slots))
+    names = df.columns
+    inner = df.toDF(*[f"c{k}" for k in range(len(names))])  # no name of the input meets one of the table
+    at = {c: F.col(f"c{names.index(c)}").cast("string") for c in (key, *fallback)}
+    parts = [F.coalesce(at[c], F.lit("")) for c in fallback]
+    text = F.coalesce(at[key], F.concat_ws("\x1f", F.lit("null"), *parts))
+    keep = [F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c.lower() not in ("slot", "shard")]
+    keyed = inner.withColumn("_slot", slot_of(text, slots))
     table = F.broadcast(table_frame(df.sparkSession, shards, slots))
     placed = keyed.join(table, "_slot", "left")
-    return placed.select(*[F.col(f"`{c}`") for c in keep], F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    return placed.select(*keep, F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
