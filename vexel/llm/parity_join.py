@@ -22,6 +22,7 @@ expanded into all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vexel.llm.components import components
-from vexel.llm.scratch import Scratch, written
+from vexel.llm.scratch import Scratch, cleaning, written
 
 WORDS, SIMILARITY = 5, (75, 100)
 #: Documents sampled to learn which shingles are frequent. This orders segments and so affects cost only.
@@ -44,6 +45,8 @@ HOT_IN_BLOCK = 64
 TILE = 2048
 #: Bytes of text whose offers are met in one bucket, about; their offers have as many.
 BUCKET_BYTES = 8_000_000
+#: Rounds in which buckets are shuffled and met, so that not all offers lie on disk twice.
+BUCKET_ROUNDS = 2
 #: 64-bit words of the narrow sketch of up to 512 shingles; it doubles with the size.
 NARROW = 16
 #: Keys joined by broadcast at most (about 40 bytes each); more are joined by a shuffle.
@@ -262,7 +265,8 @@ def _frequent(df: DataFrame, words: int) -> tuple[np.ndarray, int]:
     texts = df.select("text").observe(whole, F.sum(F.octet_length("text")).alias("bytes"))
     sample = texts.sample(min(1.0, SAMPLE_DOCS / n), seed=7)
     counted = sample.mapInArrow(task, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT_IN)
-    top = counted.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    with cleaning(df.sparkSession):
+        top = counted.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").toArrow()
     return np.sort(top.column(0).to_numpy().view(np.uint64)), whole.get["bytes"] or 0
 
 
@@ -430,7 +434,8 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     base = tables.write(_sketch(docs, words, frequent, buckets), "sketches")
     members = written(base.where("n is not null").select("key", "doc_id", "node", "n"), "members")
     offers = base.where("bucket is not null").select("bucket", "hot", "nodes", "signatures")
-    found = tables.write(offers.groupBy("bucket").applyInArrow(_meet, "grp long, node long, hot boolean"), "found")
+    parts = [offers.where(F.col("bucket") % BUCKET_ROUNDS == k).groupBy("bucket").applyInArrow(_meet, "grp long, node long, hot boolean") for k in range(BUCKET_ROUNDS)]
+    found = reduce(DataFrame.union, [tables.write(part, f"found{k}") for k, part in enumerate(parts)])
     hot = found.where("hot").select("grp", "node").union(base.where("grp is not null").select("grp", "node")).distinct()
     hot = tables.write(hot, "hot")
     least = hot.groupBy("grp").agg(F.min("node").alias("least"))
@@ -438,7 +443,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int =
     met = tables.write(found.where("not hot").select("grp", "node").union(hot).distinct(), "met")
     sketches = base.where("narrow is not null").select("node", "n", "narrow")
     near = tables.write(sketches.join(_small(met.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"]), "near")
-    tables.drop("sketches", "found", "hot")
+    tables.drop("sketches", "hot", *[f"found{k}" for k in range(BUCKET_ROUNDS)])
     nodes = members.where("n > 0").groupBy("node").agg(
         F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("key"), F.min("doc_id").alias("least"), F.count("*").alias("rows")
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from vexel.storage import new_path, shared_dir
 
-__all__ = ["Scratch", "drop_path", "new_path", "shared_dir", "written"]
+__all__ = ["Scratch", "cleaning", "drop_path", "new_path", "shared_dir", "written"]
 
 #: Spark removes a query's shuffle files at its end: its result is a table then, and is read from there.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -18,14 +20,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path.getParent(), True)
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    spark = df.sparkSession
+@contextmanager
+def cleaning(spark: SparkSession):
+    """Queries run inside leave no shuffle files, so none should be run twice."""
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    with cleaning(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
