@@ -2,9 +2,10 @@
 
 Besides plain counts (words, symbols, repeated lines and 8-word windows), every document gets two
 histograms: its characters by class and its words by the common words of its language. Both are
-compared with the reference of that language, the sum over all its documents of their histograms
-in thousandths (so that long documents count like others), by Jensen-Shannon distance. Short texts have noisy histograms, so each comparison has a least
-length. The references have one row per language of a fixed list and one for all others.
+compared with the reference of that language by Jensen-Shannon distance: the sum over all its
+documents that don't fail the counts of their histograms in thousandths, so that long documents
+count like others. Short texts have noisy histograms, so each comparison has a least length. The
+references have one row per language of a fixed list and one for all others.
 """
 
 from __future__ import annotations
@@ -150,7 +151,8 @@ def measure(df: DataFrame, text: str = "text", lang: str = "lang", carry: list[s
     ``char_distance``, ``word_distance`` (double), ``base_failed`` and ``kept`` (boolean).
 
     Histograms are written to the shared folder, as they are read twice: for the references and
-    for the comparison. Null and empty texts have no words and fail. Languages that are null or
+    for the comparison. References are over the documents of a language that don't fail the counts;
+    where there are none, nothing diverges. Null and empty texts have no words and fail. Languages that are null or
     not listed are compared with the documents of all such languages. Repeated rows are judged
     alike. Carried columns with the names of results are left out. An empty input gives an empty
     result.
@@ -163,10 +165,10 @@ def measure(df: DataFrame, text: str = "text", lang: str = "lang", carry: list[s
     h = h.withColumn("_lines", F.filter(F.split(F.coalesce("_text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     h = h.withColumn("_dup", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     h = written(h.select("_lang", "_n", "_word_chars", "_chars", "_common", "_repeated", "_dup", *[f"in{k}" for k in range(len(names))]), "histograms")
+    failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeated") > MAX_REPEAT_PERCENT * F.col("_n"))
     # A handful of rows at most, whatever the input's size.
-    h = h.join(F.broadcast(references(h)), "_lang", "left")
+    h = h.join(F.broadcast(references(h.where(~failed))), "_lang", "left")
     h = h.withColumns({"char_distance": js_distance("_chars", "_ref_chars"), "word_distance": js_distance("_common", "_ref_common")})
-    failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeated") > MAX_REPEAT_PERCENT * F.col("_n"))
     far = ((F.col("_n") >= MIN_FOR_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)) | (
         (F.col("_n") >= MIN_FOR_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     )

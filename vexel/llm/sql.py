@@ -79,11 +79,13 @@ WITH w AS (
         CASE tongue {choice} ELSE {listed(rules.OTHER_WORDS)} END AS known FROM w
 ), f AS (
     SELECT *, [{chars}] AS chars, list_transform(known, lambda k: len(list_filter(w, lambda y: y = k OR y = upper(k[1]) || k[2:]))) AS hits FROM h
-), c AS (SELECT *, list_append(hits, n - list_sum(hits)) AS common FROM f
-), r AS (SELECT tongue, [{sums["chars"]}] AS rc, [{sums["common"]}] AS rw FROM c GROUP BY tongue
+), c AS (SELECT f.*, list_append(hits, n - list_sum(hits)) AS common, coalesce(cover.c, 0) AS again FROM f LEFT JOIN cover USING (doc_id)
+), r AS (
+    SELECT tongue, [{sums["chars"]}] AS rc, [{sums["common"]}] AS rw FROM c
+    WHERE NOT (n < {rules.MIN_WORDS} OR 100 * again > {rules.MAX_REPEAT_PERCENT} * n) GROUP BY tongue
 ), d AS (
-    SELECT doc_id, n, solid, lines, chars, coalesce(cover.c, 0) AS again, {distance("chars", "rc")} AS dc, {distance("common", "rw")} AS dw
-    FROM c JOIN r USING (tongue) LEFT JOIN cover USING (doc_id)
+    SELECT doc_id, n, solid, lines, chars, again, {distance("chars", "rc")} AS dc, {distance("common", "rw")} AS dw
+    FROM c LEFT JOIN r USING (tongue)
 )
 SELECT doc_id, n::BIGINT AS n_words, len(solid)::BIGINT AS word_chars, chars[4]::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     again::BIGINT AS n_repeat_words, n < {rules.MIN_WORDS} OR 100 * again > {rules.MAX_REPEAT_PERCENT} * n AS base_failed,
