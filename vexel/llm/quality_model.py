@@ -88,7 +88,8 @@ def _strength(sites: DataFrame, of: str, n: str, prior: str) -> float:
 def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", host: str = "source", path: str = "lang") -> DataFrame:
     """``doc_id``, ``doc_score``, ``host_posterior``, ``path_posterior``, ``score`` and ``kept`` of every document.
 
-    ``score`` is the probability of good quality; documents of at least :data:`THRESHOLD` are
+    ``score`` is the probability of good quality, by the document's own evidence and its path's
+    posterior without it (its host's, to which that one is shrunk, has it in); documents of at least :data:`THRESHOLD` are
     kept. A null host or path is a group of its own. Null and empty texts are judged by their
     features, all zero. Documents with several labels are good if one is. Repeated rows and null
     ids have a row each. Without labels every document scores even and is kept. An empty input
@@ -115,9 +116,11 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     hosts = hosts.select("host", ((F.col("hs") + k * mu) / (F.col("hn") + k)).alias("host_posterior"))
     sites = paths.join(hosts, "host")
     k = _strength(sites, "s", "n", "host_posterior")
-    sites = written(sites.select("host", "path", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), "sites")
+    sites = written(sites.select("host", "path", "host_posterior", "s", "n", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), "sites")
     if sites.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
-    final = F.col("_own") + _logit(F.col("path_posterior")) - _logit(F.lit(mu))
+    # A document's own evidence counts once: its path speaks for the others there.
+    others = (F.col("s") - F.col("_p") + k * F.col("host_posterior")) / (F.col("n") - 1 + k)
+    final = F.col("_own") + _logit(others) - _logit(F.lit(mu))
     out = rows.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), final)))))
     return out.select("doc_id", F.col("_p").alias("doc_score"), "host_posterior", "path_posterior", "score", (F.col("score") >= THRESHOLD).alias("kept"))
