@@ -90,6 +90,25 @@ def test_sum_of_squares_choice_is_the_least():
         assert options[levels.place(int(size))] == min(options.values())
 
 
+def test_a_full_task_closes_one_window_at_a_time():
+    rng = np.random.default_rng(4)
+    packer, docs = packing.Packer(7, window=64, max_open=5), []
+    for k in range(400):
+        ids = rng.integers(0, 1000, int(rng.integers(1, 90))).astype("<u4")
+        docs.append(ids)
+        packer.add(k, ids.tobytes())
+        assert packer.n_open <= 5 and packer.n_open == packer.levels.count.sum() == sum(map(len, packer.open.values()))
+    packer.close()
+    pieces, sequences = {}, {}
+    for doc, start, n, crc, total, sequence, offset, length in packer.take():
+        assert crc == zlib.crc32(docs[doc][start : start + n].tobytes()) and total == len(docs[doc])
+        pieces.setdefault(doc, []).append((start, n))
+        sequences.setdefault((sequence, length), []).append((offset, n))
+    for spans, end in [*((sorted(v), len(docs[d])) for d, v in pieces.items()), *((sorted(v), s[1]) for s, v in sequences.items())]:
+        assert [a for a, _ in spans] == np.cumsum([0] + [n for _, n in spans[:-1]]).tolist() and sum(n for _, n in spans) == end
+    assert len(pieces) == 400 and sum(length < 64 for _, length in sequences) <= 6
+
+
 # Placement
 
 
@@ -134,6 +153,12 @@ def test_placement(spark, odd):
     assert sharding.place(odd.limit(0)).count() == 0
 
 
+def test_placement_with_names_of_the_table(spark):
+    df = spark.createDataFrame([(1, 10, "a", "b"), (2, 20, None, "c")], "doc_id long, _slot int, _shard string, c0 string")
+    rows = sorted(sharding.place(df, "doc_id", fallback=("_shard",)).collect())
+    assert [tuple(r)[:4] for r in rows] == [(1, 10, "a", "b"), (2, 20, None, "c")] and all(r["shard"] in sharding.SHARDS for r in rows)
+
+
 # Quality rules
 
 
@@ -285,6 +310,36 @@ def test_nearest_matches_brute_force(spark):
     assert vptree.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_query_ids_have_neighbours_each(spark):
+    rows = [(100, [0.0, 1.0]), (100, [0.0, 9.0]), (7, [0.0, 2.0]), (8, [0.0, 8.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted((r["rank"], r["vec_id"], r["score"]) for r in vptree.nearest(df, k=2).collect())
+    assert found == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, 7.0), (2, 8, 7.0)]
+
+
+def test_shards_that_cannot_matter_are_skipped(spark, monkeypatch):
+    """On clustered vectors, with factor one: few shards are asked, and nothing is missed."""
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(12)
+    centers = rng.standard_normal((20, 8)) * 20
+    points = (centers[rng.integers(20, size=1500)] + rng.standard_normal((1500, 8))).astype(np.float32)
+    points[300:600] = points[300]  # one vector in many rows
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<float>")
+    asked, whole = [], vptree._others
+    monkeypatch.setattr(vptree, "_others", lambda *a: asked.append(whole(*a).cache()) or asked[-1])
+    found = {}
+    for r in vptree.nearest(df, every=30, k=5).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    leaves = vptree.build_index(df).shards.select("leaf").distinct().count()
+    assert leaves > 10 and asked[0].count() < 50 * (leaves - 1) / 4
+    x = points.astype(float)
+    for q in range(0, 1500, 30):
+        dist = vptree.distances(x[q : q + 1], x)[0]
+        dist[q] = np.inf
+        order = np.lexsort((np.arange(1500), dist))[:5]
+        assert sorted(found[q]) == [(k + 1, int(i), dist[i]) for k, i in enumerate(order)]
+
+
 def test_relaxing_the_bound_saves_distances():
     rng = np.random.default_rng(2)
     centers = rng.standard_normal((20, 16)) * 4
@@ -372,6 +427,97 @@ def test_join_on_odd_rows(spark, odd):
     assert parity_join.join(odd.limit(0))[0].count() == 0
 
 
+def near_copies(rng, n, words=80):
+    """Texts of some families, with copies, near copies and rows whose likeness is about the limit."""
+    texts = []
+    for k in range(n):
+        if k % 3 == 0 or not texts:
+            base = [f"x{j}" for j in rng.integers(0, 5000, words)]
+        edits = int(rng.integers(0, 8))
+        mine = list(base)
+        for _ in range(edits):
+            mine[int(rng.integers(words))] = f"y{int(rng.integers(5000))}"
+        texts.append(" ".join(mine))
+    return texts
+
+
+def test_null_and_repeated_ids_save_no_copy(spark):
+    p, q = (" ".join(f"{w}{k}" for k in range(30)) for w in "pq")
+    kept = lambda rows: sorted((r["doc_id"], r["text"]) for r in parity_join.one_of_each(documents(spark, [(i, t, "en", "s") for i, t in rows])).collect() if r["text"])
+    assert kept([(7, p), (42, p), (None, None)]) == [(7, p)]
+    assert kept([(0, p), (1, q), (1, p)]) == [(0, p), (1, q)]
+    assert kept([(5, p), (5, p + " z"), (5, p.upper())]) in ([(5, x)] for x in (p, p + " z", p.upper()))
+    assert [r["text"] for r in parity_join.one_of_each(documents(spark, [(None, p, "en", "s"), (None, p, "en", "s"), (None, p + " z", "en", "s")])).collect()] in ([p], [p + " z"])
+
+
+def test_components_by_rows_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(21)
+    texts = near_copies(rng, 90)
+    ids = [None if k % 11 == 0 else int(rng.integers(0, 60)) for k in range(90)]
+    members, _ = parity_join.join(documents(spark, [(i, t, "en", "s") for i, t in zip(ids, texts, strict=True)]))
+    plain, _ = plain_components(dict(enumerate(texts)))
+    least = {}
+    for k, c in plain.items():
+        if ids[k] is not None:
+            least[c] = min(ids[k], least.get(c, ids[k]))
+    expected = sorted(((ids[k] is None, ids[k] or 0, -1 if least.get(c) is None else least[c]) for k, c in plain.items()))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, -1 if r["component_id"] is None else r["component_id"]) for r in members.collect())
+    assert got == expected
+    assert parity_join.one_of_each(documents(spark, [(i, t, "en", "s") for i, t in zip(ids, texts, strict=True)])).count() == len(set(plain.values()))
+
+
+def test_large_groups_are_compared_in_tiles(spark, monkeypatch):
+    """With tiny tiles: a star, several parts and slices, sketches that allow what sets refuse."""
+    monkeypatch.setattr(parity_join, "TILE", 8)
+    monkeypatch.setattr(parity_join, "HOT_IN_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = {}
+    for k in range(60):  # one family whose members are from close to beyond the limit
+        mine = list(base)
+        for _ in range(int(rng.integers(0, 4))):
+            mine[int(rng.integers(60))] = f"z{int(rng.integers(1000))}"
+        texts[k] = " ".join(mine)
+    for k in range(40):  # a passage that makes up most of what differs otherwise
+        texts[100 + k] = " ".join([f"s{j}" for j in range(40)] + [f"o{k}_{j}" for j in range(int(rng.integers(3, 14)))])
+    members, links = parity_join.join(documents(spark, [(k, t, "en", "s") for k, t in texts.items()]).repartition(2))
+    expected, _ = plain_components(texts)
+    assert {r["doc_id"]: r["component_id"] for r in members.collect()} == expected
+    assert links.count() < 400 and len(set(expected.values())) > 2
+
+
+def test_close_pairs_of_a_tile_match_a_double_loop():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in rng.integers(20, 1500, 30)]
+    sets += [np.concatenate([x[: len(x) - len(x) // 9], rng.integers(0, 1 << 62, len(x) // 9).astype(np.uint64)]) for x in sets]
+    sketches, n = parity_join.narrow(sets), np.asarray([len(x) for x in sets])
+    nodes, asks = np.arange(60), np.arange(60) % 3 > 0
+    comp = rng.integers(0, 50, 60)
+
+    def allowed(i, j):
+        a, b = (np.frombuffer(sketches[k], "<u8") for k in (i, j))
+        while len(a) != len(b):
+            a, b = (a, b) if len(a) < len(b) else (b, a)
+            b = b.reshape(2, -1)[0] ^ b.reshape(2, -1)[1]
+        small, large = sorted((n[i], n[j]))
+        return 4 * small >= 3 * large and 7 * int(np.bitwise_count(a ^ b).sum()) <= n[i] + n[j]
+
+    expected = {(i, j) for i in range(60) for j in range(i + 1, 60) if comp[i] != comp[j] and (asks[i] or asks[j]) and allowed(i, j)}
+    a, b = parity_join._close(nodes, n, comp, asks, sketches, True)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == expected and len(expected) > 5
+    c, d = parity_join._close(nodes, n, comp, asks, sketches, False)
+    some = set(zip(c.tolist(), d.tolist(), strict=True))
+    assert some <= expected
+
+    def joined(pairs):
+        label = comp.copy()
+        for i, j in pairs:
+            label[label == label[j]] = label[i]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    assert joined(some) == joined(expected)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 2**63, 500).astype(np.uint64)
@@ -398,6 +544,37 @@ def test_archives_round_trip(spark):
     assert warc.read_pages(spark, path).count() == 0
 
 
+def test_archive_files_are_bounded_and_checked(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    same = "<p>" + "same " * 40
+    rows = [(1, "http://a", same), (1, "http://b", same), (2, "http://c", same), (None, "http://d", same), (3, None, "x" * 5000), (4, "http://e", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_path(spark, "archives")
+    warc.write_pages(df.coalesce(1), path)
+    files = [bytes(r["content"]) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).collect()]
+    records = [list(warc.read_warc(x)) for x in files]
+    assert len(files) > 1 and all(sum(len(r.block) for r in x[:-1]) < 3000 for x in records)
+    every = [r for x in records for r in x]
+    assert len({r.fields["WARC-Record-ID"] for r in every}) == len(rows)
+    found = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read_pages(spark, path).collect())
+    assert found == [(0, "response", None), (1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "response", None)]
+    revisit = next(r for r in every if r.fields["WARC-Type"] == "revisit")
+    assert revisit.fields["WARC-Refers-To-Target-URI"] in ("http://a", "http://b")
+    whole = next(r for r in every if r.fields.get("X-Page-ID") == "3")
+    whole.block = whole.block[:-1] + b"y"
+    with pytest.raises(warc.ArchiveError):
+        warc._row(whole)
+
+
+def test_archives_keep_times(spark):
+    df = spark.sql("select 2L page_id, 'http://a' url, 'x' html, timestamp'2021-03-04 05:06:07' at union all select 4L, 'http://b', 'y', null")
+    path = new_path(spark, "timed")
+    warc.write_pages(df, path, time_col="at")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).collect()
+    dates = {r.fields["X-Page-ID"]: r.fields["WARC-Date"] for f in files for r in warc.read_warc(bytes(f["content"]))}
+    assert dates == {"2": "2021-03-04T05:06:07Z", "4": "2024-01-01T00:00:00Z"}
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_conversion(version):
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<html>\n\n"
@@ -432,6 +609,46 @@ def toxic_corpus():
     return texts, label
 
 
+def test_kernel_matches_a_double_loop():
+    def bag(word):
+        signs = [toxicity._START] + [ord(c) for c in word.translate(toxicity._TABLE)]
+        out = {}
+        for i in range(len(signs)):
+            for j in range(i + 1, len(signs)):
+                for k in range(j + 1, len(signs)):
+                    gaps = (j - i, k - j)
+                    if gaps in toxicity._GAPS and 255 not in (signs[i], signs[j], signs[k]):
+                        key = (signs[i], signs[j], signs[k])
+                        out[key] = out.get(key, 0) + 0.5 ** (sum(gaps) - 2)
+        return out
+
+    def weight_norm(b, word):
+        # Triples that occur more than once count apart in the norm, as each place has its own weight.
+        owner, _, weight, norm = toxicity.triples([word])
+        return norm[0]
+
+    words = ["idiot", "i-d-i-o-t", "idxiot", "idi0t", "harmless", "ab", "", "été", "banana"]
+    landmarks = ["idiot", "banana", "xylem"]
+    kernel = toxicity.Kernel.of(landmarks)
+    near, values = kernel(words)
+    got = dict(zip(near.tolist(), values.tolist(), strict=True))
+    for at, w in enumerate(words):
+        a = bag(w)
+        for col, m in enumerate(landmarks):
+            b = bag(m)
+            cosine = sum(x * b.get(k, 0) for k, x in a.items()) / (weight_norm(a, w) * weight_norm(b, m))
+            expected = min(1.0, max(0.0, (cosine - toxicity.FLOOR) / (1 - toxicity.FLOOR)))
+            assert got.get(at, [0] * 3)[col] == pytest.approx(expected, abs=1e-5), (w, m)
+
+
+def test_labelled_texts_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_LABELLED_BYTES", 5000)
+    ids = [k for k in range(200) if toxicity.crc_remainder(k) != 2]
+    df = documents(spark, [(k, "word " * 100, "en", "s") for k in ids])
+    texts, label = toxicity.labelled(df, spark.createDataFrame([(k, 1, k % 2) for k in ids], "doc_id long, quality int, toxic int"))
+    assert len(texts) == 10 and sum(label) == 5
+
+
 def test_toxicity_generalises_to_gapped_words():
     texts, label = toxic_corpus()
     model = toxicity.train(texts[:480], label[:480])
@@ -472,6 +689,43 @@ def test_quality_model_shrinks_sparse_sites(spark):
     assert out[3]["host_posterior"] < out[999]["host_posterior"] < out[1]["host_posterior"]
 
 
+def test_posteriors_match_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for k in range(300):
+        text = " ".join("".join(map(chr, rng.integers(97, 123, 5))) + ("%%" if rng.random() < (0.6 if k % 3 else 0.1) else "") for _ in range(25))
+        rows.append((k, text, ["en", "de", None][k % 5 % 3], [f"h{k % 7}", None][int(k % 13 == 0)]))
+        labels.append((k, int(k % 3 == 0), 0))
+    out = {r["doc_id"]: r for r in quality_model.score(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    p = {i: r["doc_score"] for i, r in out.items()}
+    mu = sum(p.values()) / len(p)
+    host = {i: s or "" for i, _, _, s in rows}
+    site = {i: (s or "", lang or "") for i, _, lang, s in rows}
+
+    def grouped(of):
+        return {g: [p[i] for i in p if of[i] == g] for g in set(of.values())}
+
+    def strength(groups, prior):
+        n = sum(map(len, groups.values()))
+        noise = {g: prior(g) * (1 - prior(g)) for g in groups}
+        within = np.mean(list(noise.values()))
+        between = sum(len(v) * (np.mean(v) - prior(g)) ** 2 for g, v in groups.items())
+        variance = max((between - sum(noise.values())) / n, within / 1e4)
+        return min(max(within / variance - 1, 1.0), 1e4)
+
+    hosts, sites = grouped(host), grouped(site)
+    k = strength(hosts, lambda g: mu)
+    hp = {g: (sum(v) + k * mu) / (len(v) + k) for g, v in hosts.items()}
+    k = strength(sites, lambda g: hp[g[0]])
+    logit = lambda x: np.log(x / (1 - x))
+    for i, r in out.items():
+        v = sites[site[i]]
+        assert r["host_posterior"] == pytest.approx(hp[host[i]])
+        assert r["path_posterior"] == pytest.approx((sum(v) + k * hp[host[i]]) / (len(v) + k))
+        others = (sum(v) - p[i] + k * hp[host[i]]) / (len(v) - 1 + k)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(logit(p[i]) + logit(others) - logit(mu)))), abs=1e-6)
+
+
 def test_quality_model_on_odd_rows(spark, odd, labels):
     assert quality_model.score(odd, labels).count() == 9
     assert quality_model.score(odd, labels.limit(0)).where("kept").count() == 9

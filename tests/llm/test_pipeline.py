@@ -42,3 +42,17 @@ def test_run_packs_what_is_left(spark, tables):
     rows = corpus_pipeline.run(spark, tables)
     whole = rows.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).where("n % doc_tokens <> 0")
     assert whole.count() == 0 and rows.where("doc_id in (100, 102)").count() == 0
+
+
+def test_stages_take_odd_rows(spark, tables, tmp_path):
+    """Null ids and texts, repeated rows, an id with several texts, an empty table."""
+    good = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 20")
+    first = good.first()["text"]
+    odd = documents(spark, [(None, None, None, None), (None, first, "en", "s"), (3, first, "en", "s"), (3, first, "en", "s"), (50, "", "en", "s"), (51, " \n", None, "s")])
+    for name, docs in (("odd", good.select(odd.columns).union(odd)), ("empty", odd.limit(0))):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(k, 1, 0) for k in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        rows = corpus_pipeline.run(spark, d)
+        ids = {r["doc_id"] for r in rows.select("doc_id").distinct().collect()}
+        assert ids == (set(range(20)) if name == "odd" else set())
