@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from vexel.config import SearchConfig
-from vexel.index import Index, IndexFormatError, IndexSpec, build_index
+from vexel.index import Index, IndexConflictError, IndexFormatError, IndexSpec, build_index
 from vexel.operators import aggregates, hybrid, search
 from vexel.plans import register
 from vexel.sources import read_text_vectors, read_vector_file
@@ -99,6 +101,93 @@ def test_index_kinds(spark, corpus, spec):
     assert small.manifest["rows"] == 598 and small.search(base, q, 1, every).first()["id"] == 1000
 
 
+@pytest.mark.parametrize("spec", [IndexSpec("flat"), IndexSpec("ivf", lists=8, assign_dups=2), IndexSpec("graph")])
+def test_index_lifecycle(spark, corpus, spec):
+    """Replace, delete, insert again, vacuum, old versions, conflicting changes, drop."""
+    points, df = corpus
+    schema = "id long, vector array<float>"
+    index = build_index(df, new_path(spark, "life"), spec)
+    far, near = (points[5] * -1).tolist(), (points[7] + 0.01).tolist()
+    changed = df.where("id <> 5").union(spark.createDataFrame([(5, far)], schema))
+    nearest = lambda i, q: i.search(changed, q, 1, exhaustive=True).first()["id"]
+    found = lambda i, q: {r["row_id"]: r["score"] for r in i.candidates(q, 600, probes=100).collect()}
+    replaced = index.insert(spark.createDataFrame([(5, far)], schema))
+    assert found(replaced, points[5].tolist())[5] < -0.8 < 0.8 < found(index, points[5].tolist())[5]
+    assert replaced.ids().count() == 600 and nearest(replaced, far) == 5
+    gone = replaced.delete([5, 7])
+    assert gone.ids().count() == 598 and nearest(gone, near) != 7 and nearest(gone, far) != 5
+    again = gone.insert(spark.createDataFrame([(7, near)], schema))
+    assert again.ids().count() == 599 and nearest(again, near) == 7 and nearest(again, far) != 5
+    with pytest.raises(IndexConflictError):
+        gone.delete([1])
+    base = changed.where("id <> 7").union(spark.createDataFrame([(7, near)], schema))
+    small = again.vacuum(base)
+    assert not small.manifest["deltas"] and not small.manifest["deleted"] and small.manifest["rows"] == 599
+    assert nearest(small, near) == 7 and nearest(small, far) != 5 and small.ids().count() == 599
+    assert nearest(again, near) == 7  # a reader of the version before
+    smaller = Index.open(spark, index.path).delete([7]).vacuum(base).delete([9]).compact(base)
+    assert smaller.ids().count() == 597
+    names = [f.getPath().getName() for f in spark._jvm.org.apache.hadoop.fs.Path(index.path).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(index.path))]
+    assert sum(len(n) == 32 for n in names) == 2 and index.manifest["version"] not in names
+    smaller.drop()
+    with pytest.raises(IndexFormatError):
+        Index.open(spark, index.path)
+
+
+def test_cells_are_pruned_by_partition(spark, corpus):
+    points, df = corpus
+    index = build_index(df, new_path(spark, "cells"), IndexSpec("ivf", lists=16))
+    plan = index.candidates(points[0].tolist(), 10, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_partial_index_holds_what_its_predicate_says(spark, corpus):
+    _, df = corpus
+    index = build_index(df, new_path(spark, "partial"), IndexSpec("flat", predicate="id % 3 = 0"))
+    assert index.ids().count() == 200 and index.ids().where("row_id % 3 <> 0").count() == 0
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """20,000 vectors of 128 elements in loose clusters, and 40 queries that are not among them."""
+    rng = np.random.default_rng(17)
+    centers = rng.standard_normal((200, 128))
+    points = (centers[rng.integers(200, size=20_040)] + 0.8 * rng.standard_normal((20_040, 128))).astype(np.float32)
+    points, queries = points[:20_000], points[20_000:]
+    path = str(tmp_path_factory.mktemp("large") / "points.parquet")
+    rows = pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), 128).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"id": np.arange(20_000), "vector": rows}), path)
+    asked = spark.createDataFrame([(k, q.tolist()) for k, q in enumerate(queries)], "qid long, query array<float>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = np.argsort(-(unit(queries) @ unit(points).T), axis=1, kind="stable")[:, :10]
+    return spark.read.parquet(path), asked, truth
+
+
+@pytest.mark.parametrize(("spec", "floor"), [(IndexSpec("flat"), 0.95), (IndexSpec("flat", bit_width=3), 0.95), (IndexSpec("flat", bit_width=2), 0.9), (IndexSpec("ivf", lists=64), 0.9), (IndexSpec("graph"), 0.9)])
+def test_recall_at_default_settings(spark, large, spec, floor):
+    """Of queries that the index doesn't hold; found ids are distinct."""
+    df, asked, truth = large
+    index = build_index(df, new_path(spark, "recall"), spec)
+    found = {}
+    for r in index.batch_search(df, asked, 10).collect():
+        found.setdefault(r["qid"], []).append(r["id"])
+    assert all(len(x) == len(set(x)) == 10 for x in found.values()) and len(found) == len(truth)
+    assert np.mean([len(set(found[k]) & set(t)) / 10 for k, t in enumerate(truth.tolist())]) >= floor
+    one = [r["id"] for r in index.search(df, asked.where("qid = 3").first()["query"], 10).collect()]
+    assert one == found[3]
+
+
+@pytest.mark.parametrize(("bits", "floor"), [(4, 0.95), (3, 0.9), (2, 0.8)])
+def test_recall_of_estimates_alone(large, bits, floor):
+    """Share of the 10 nearest among the 32 best estimates, without exact re-ranking."""
+    df, asked, truth = large
+    queries = [r["query"] for r in asked.orderBy("qid").limit(20).collect()]
+    found = search.knn_many(df, queries, 32, bits).toArrow().to_pandas()
+    best = found.sort_values(["score", "id"], ascending=[False, True]).groupby("q").head(32)
+    hits = [len(set(best[best.q == k].id) & set(truth[k].tolist())) / 10 for k in range(20)]
+    assert np.mean(hits) >= floor
+
+
 def true_cosine_without(points, q, gone):
     order = [i for i in true_cosine(points, np.asarray(q), len(points)) if i not in gone]
     return order[:10]
@@ -164,6 +253,13 @@ def test_sql_table_function_and_sources(spark, corpus, tmp_path):
     rows = spark.sql(f"select * from knn(table(select id, vector from corpus) with single partition, {literal}, 3, 4)").collect()
     assert rows[0]["id"] == 4 and len(rows) == 3
     assert spark.sql(f"select vexel_self_score({literal}, 4)").first()[0] > 0.5
+    few = spark.sql(f"select * from knn(table(select id, vector from corpus) with single partition, {literal}, 3, 4, array(4L, 9L))").collect()
+    assert sorted(r["id"] for r in few) == [4, 9]
+    df.withColumn("tokens", F.array(F.slice("vector", 1, 16), F.slice("vector", 17, 16))).createOrReplaceTempView("token_corpus")
+    tokens = "array(" + ",".join("array(" + ",".join(f"{x}f" for x in points[4, a : a + 16].astype(float)) + ")" for a in (0, 16)) + ")"
+    found = spark.sql(f"select * from colbert_search(table(select id, tokens from token_corpus) with single partition, {tokens}, 5)").collect()
+    plain = hybrid.colbert_search(spark.table("token_corpus"), points[4].reshape(2, 16).tolist(), 5, exhaustive=True).collect()
+    assert [r["id"] for r in found] == [r["id"] for r in plain] and np.allclose([r["score"] for r in found], [r["score"] for r in plain])
     (tmp_path / "v.tsv").write_text("1\t[1, 2]\n2\t[3, 4.5]\n")
     assert [r["v"] for r in read_text_vectors(spark, str(tmp_path / "v.tsv"), "id long, v string", ["v"]).orderBy("id").collect()] == [[1.0, 2.0], [3.0, 4.5]]
     np.concatenate([np.asarray([2, 2], "<u4").view("<f4"), np.asarray([1, 2, 3, 4], "<f4")]).tofile(tmp_path / "v.bin")
@@ -179,6 +275,45 @@ def test_plans_push_filters_and_prune_columns(spark, corpus, tmp_path):
     assert "TakeOrderedAndProject" in plan and "GreaterThan(id,5)" in plan and "other" not in plan.split("ReadSchema")[1]
 
 
+def test_batch_search_passes_nulls_over(spark, corpus):
+    points, df = corpus
+    asked = spark.createDataFrame([(1, points[3].tolist()), (None, points[4].tolist()), (2, None)], "qid long, query array<float>")
+    rows = df.union(spark.createDataFrame([(None, points[3].tolist()), (900, None)], df.schema))
+    found = search.batch_topk(rows, asked, 3, "cosine").collect()
+    assert {r["qid"] for r in found} == {1} and next(r["id"] for r in found if r["rank"] == 1) == 3
+    assert search.within(asked.select(F.col("qid").alias("left_id"), F.col("query").alias("a")), rows.select(F.col("id").alias("right_id"), F.col("vector").alias("b")), 0.001).collect()[0]["right_id"] == 3
+
+
+def test_bm25_and_joining_back(spark):
+    texts = ["the cat sat", "the the the dog and more of it", "a cat and a cat", None, "", "dog"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = [t.split() if t else [] for t in texts]
+    mean = sum(map(len, words)) / 6
+    plain = {}
+    for i, w in enumerate(words):
+        for t in ("cat", "dog"):
+            n = sum(t in x for x in words)
+            tf = w.count(t)
+            if tf:
+                plain[i] = plain.get(i, 0) + np.log(1 + (6 - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    got = hybrid.bm25(df, ["Cat", "dog"])
+    assert {r["id"]: r["score"] for r in got.collect()} == pytest.approx(plain)
+    back = hybrid.joined_back(got.orderBy(F.desc("score")).limit(2), df).collect()
+    assert back[0]["text"] == texts[max(plain, key=plain.get)] and len(back) == 2
+    assert hybrid.bm25(df.limit(0), ["cat"]).count() == 0
+
+
+def test_every_module_imports_on_its_own():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    names = [".".join(p.relative_to(root).with_suffix("").parts) for p in sorted((root / "vexel").rglob("*.py")) if "llm" not in p.parts]
+    script = "import importlib, os, sys\nfor n in sys.argv[1:]:\n    if os.fork() == 0:\n        importlib.import_module(n); os._exit(0)\n    assert os.wait()[1] == 0, n"
+    assert subprocess.run([sys.executable, "-c", script, *[n.removesuffix(".__init__") for n in names]], cwd=root).returncode == 0
+
+
 def test_metrics(spark):
     truth = spark.createDataFrame([(1, 10), (1, 11)], "qid long, id long")
     found = spark.createDataFrame([(1, 10), (1, 12)], "qid long, id long")

@@ -12,8 +12,8 @@ first bit highest, a last word with fewer bits right-aligned.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from weakref import WeakSet
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -306,22 +306,29 @@ _add("max_sim_cosine", f"query {_TOKENS}, doc {_TOKENS}", "DOUBLE", _max_sim(f"(
 _add("rrf_score", "rank INT, k INT DEFAULT 60", "DOUBLE", f"CASE WHEN cast(rank AS BIGINT) + k <= 0 THEN {_raise('''concat('rank + k must be positive: ', cast(rank AS BIGINT) + k)''')} ELSE 1D / (cast(rank AS BIGINT) + k) END")
 _add("vexel_version", "", "STRING", f"'{__version__}'")
 
-_registered: WeakSet[SparkSession] = WeakSet()
+#: Names of the functions that each session knows, by the session's own id.
+_registered: dict[str, set[str]] = {}
 
 
 def register(spark: SparkSession) -> None:
     """Make every function callable from SQL in this session."""
-    for f in FUNCTIONS.values():
-        spark.sql(f.ddl())
-    _registered.add(spark)
+    ensure_registered(*FUNCTIONS, spark=spark)
 
 
-def ensure_registered(*names: str) -> None:
-    """Register the named functions in the active session, unless all are."""
-    spark = SparkSession.active()
-    if spark not in _registered:
-        for n in names:
+def ensure_registered(*names: str, spark: SparkSession | None = None) -> None:
+    """Register the named functions in a session (the active one), those that it doesn't know yet."""
+    spark = spark or SparkSession.active()
+    known = _registered.setdefault(spark._jsparkSession.sessionUUID(), set())
+    for n in names:
+        if n not in known:
             spark.sql(FUNCTIONS[n].ddl())
+            known.add(n)
+
+
+def expr(text: str) -> Column:
+    """``F.expr`` of a text that may name any of :data:`FUNCTIONS`, registering those that it does."""
+    ensure_registered(*{n.lower() for n in re.findall(r"\w+(?=\s*\()", text)} & FUNCTIONS.keys())
+    return F.expr(text)
 
 
 def call(name: str, *args: Column | str) -> Column:

@@ -1,10 +1,12 @@
 """Build, search and maintain persistent indexes.
 
-An index is a folder with one manifest and a folder for each version. A version holds ``codes``
-(row id, scale, packed codes; by cell for ``ivf`` and ``colbert``), for ``graph`` a row for each
-shard instead, and ``deltas`` with what was inserted since, all as Parquet. ``deleted`` lists
-removed ids. Every change is written beside the old data and takes effect when the manifest is
-swapped by a rename, so readers see a whole version.
+An index is a folder with numbered manifests and a folder for each version. A version holds
+``codes`` (row id, scale, packed codes; by cell for ``ivf`` and ``colbert``), for ``graph`` a row
+for each shard instead, and ``deltas`` with what was inserted since, all as Parquet. ``deleted``
+lists removed and replaced ids. Deltas and lists are numbered: a list hides what is older than itself, so
+an id may come again. Every change is written beside the old data and takes effect when a
+manifest of the next number appears by a rename; readers take the one of the greatest number,
+which is always whole.
 """
 
 from __future__ import annotations
@@ -17,21 +19,25 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vexel.config import SearchConfig
 from vexel.functions import vector
 from vexel.index import graph, kmeans
-from vexel.index.quantize import Quantizer
-from vexel.operators.search import distance, with_ids
+from vexel.quantize import Quantizer
+from vexel.operators.search import BROADCAST_IDS, QUERY_BLOCK, blocks_of, distance, with_ids
 
-FORMAT = 1
+FORMAT = 2
 KINDS = ("flat", "ivf", "graph", "colbert")
 #: Vectors sampled for each cell to train its centre; rows of a graph shard, at most about.
 SAMPLE_PER_CELL, GRAPH_SHARD_ROWS = 256, 5_000
 DEFAULT_TOKEN_LISTS = 64
+KEPT_MANIFESTS = 8
 _CODES = "row_id long, scale float, codes binary"
+_FOUND = "qid long, row_id long, score double"
+#: Estimates that a task keeps at once, for all queries of a block together.
+_KEPT = 16_000_000
 _GRAPH = "shard int, entry int, ids binary, scales binary, codes array<binary>, offsets binary, neighbours binary"
 
 
@@ -39,6 +45,10 @@ class IndexFormatError(RuntimeError):
     """The folder holds no index that this version reads; build it again."""
 
 
+class IndexConflictError(RuntimeError):
+    """Another change of the index came first."""
+
+
 @dataclass(frozen=True)
 class IndexSpec:
     """Options of an index. ``metric`` orders the exact re-ranking; candidates are drawn by cosine."""
@@ -73,7 +83,8 @@ class Index:
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
-        text = _read(spark, f"{path}/manifest.json")
+        number = _newest(spark, path)
+        text = _read(spark, f"{path}/{_name(number)}" if number else f"{path}/manifest.json")
         if text is None:
             raise IndexFormatError(f"no index at {path}; build it")
         manifest = json.loads(text)
@@ -97,19 +108,47 @@ class Index:
         return f"{self.path}/{self.manifest['version']}/{name}"
 
     def codes(self) -> DataFrame:
-        """Rows ``(row_id, scale, codes[, cell])`` of this version, deltas in, deleted out (graph: deltas only)."""
-        parts = [] if self.spec.kind == "graph" or not self.manifest["rows"] else [self.spark.read.parquet(self._dir("codes"))]
-        parts += [self.spark.read.parquet(d) for d in self.manifest["deltas"]]
+        """Rows ``(row_id, scale, codes[, cell])`` of this version, deltas in, what is hidden out (graph: deltas only)."""
+        parts = [] if self.spec.kind == "graph" or not self.manifest["rows"] else [(self._dir("codes"), 0)]
+        parts += self.manifest["deltas"]
         if not parts:
             return self.spark.createDataFrame([], _CODES + (", cell int" if self.manifest["centers"] else ""))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        return with_ids(rows, self._deleted(), "row_id", keep=False)
+        rows = None
+        for path, number in parts:
+            one = self.spark.read.parquet(path).withColumn("_number", F.lit(number))
+            rows = one if rows is None else rows.unionByName(one)
+        gone = self._gone()
+        if gone is not None:
+            hiding = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+            rows = rows.join(hiding, "row_id", "left").where("_hidden IS NULL OR _number >= _hidden").drop("_hidden")
+        return rows.drop("_number")
+
+    def _gone(self) -> DataFrame | None:
+        """``(row_id, _hidden)``: rows of the id older than that number are hidden."""
+        gone = None
+        for path, number in self.manifest["deleted"]:
+            one = self.spark.read.parquet(path).select("row_id", F.lit(number).alias("_hidden"))
+            gone = one if gone is None else gone.union(one)
+        return None if gone is None else gone.groupBy("row_id").agg(F.max("_hidden").alias("_hidden"))
+
+    def _shard_ids(self) -> DataFrame:
+        """``(shard, row_id)`` of the rows in a graph's shards, hidden ones in."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = np.frombuffer(ids, "<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard, dtype=np.int32)), pa.array(ids)], names=["shard", "row_id"])
 
-    def _deleted(self) -> DataFrame | None:
-        gone = self.manifest["deleted"]
-        return self.spark.read.parquet(*gone) if gone else None
+        return self.spark.read.parquet(self._dir("codes")).select("shard", "ids").mapInArrow(task, "shard int, row_id long")
+
+    def ids(self) -> DataFrame:
+        """``(row_id)`` of all live rows, each once."""
+        rows = self.codes().select("row_id")
+        if self.spec.kind == "graph" and self.manifest["rows"]:
+            shards = self._shard_ids().select("row_id")
+            rows = rows.union(with_ids(shards, self._gone(), "row_id", keep=False))
+        return rows.distinct()
 
     def is_degraded(self) -> bool:
         """Whether rows of an index with cells are held outside of them."""
@@ -121,47 +160,64 @@ class Index:
         Allowed ids filter before scoring, so the answer is short only if the allowed rows are few
         or in cells that were not probed.
         """
-        q = self.quantizer.prepare(np.asarray(query, dtype=np.float32), self.spec.normalize)
+        found = self._candidates(np.zeros(1, dtype=np.int64), np.asarray([query], dtype=np.float32), n, allowed, probes)
+        return found.groupBy("row_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "row_id").limit(n)
+
+    def _candidates(self, ids: np.ndarray, queries: np.ndarray, n: int, allowed=None, probes: int | None = None) -> DataFrame:
+        """``(qid, row_id, score)``: every task's best rows for each query of a block, in one scan."""
+        q = np.stack([self.quantizer.prepare(x, self.spec.normalize) for x in queries])
         if self.is_degraded():
-            warnings.warn(f"index {self.path} serves without its cells; rebuild it", stacklevel=2)
-        rows = self.codes()
+            warnings.warn(f"index {self.path} serves without its cells; rebuild it", stacklevel=3)
+        rows, probed = self.codes(), None
         if len(self.manifest["centers"]):
-            dist = kmeans.squared_distances(q[None, :], self.centers)[0]
-            cells = np.lexsort((np.arange(len(dist)), dist))[: probes or SearchConfig().probes]
-            rows = rows.where(F.col("cell").isin(*[int(c) for c in cells]))
-        rows = with_ids(rows, allowed, "row_id").select("row_id", "scale", "codes")
-        found = rows.mapInArrow(_score(self.quantizer, q, n), "row_id long, score double")
+            dist = kmeans.squared_distances(q, self.centers)
+            order = np.argsort(dist, axis=1, kind="stable")[:, : probes or SearchConfig().probes]
+            probed = np.zeros(dist.shape, dtype=bool)
+            np.put_along_axis(probed, order, True, axis=1)
+            if not probed.any(axis=0).all():
+                rows = rows.where(F.col("cell").isin(*[int(c) for c in np.flatnonzero(probed.any(axis=0))]))
+        rows = with_ids(rows, allowed, "row_id").select("row_id", "scale", "codes", *(["cell"] if probed is not None else []))
+        found = rows.mapInArrow(_score(self.quantizer, ids, q, n * self.spec.assign_dups, probed), _FOUND)
         if self.spec.kind == "graph" and self.manifest["rows"]:
-            found = found.union(self._walk(q, n, allowed))
-        best = found.groupBy("row_id").agg(F.max("score").alias("score"))
-        return best.orderBy(F.desc("score"), "row_id").limit(n)
+            found = found.union(self._walk(ids, q, n, allowed))
+        return found
+
+    def _walk(self, query_ids: np.ndarray, queries: np.ndarray, n: int, allowed) -> DataFrame:
+        """Graph search in every shard. Filters can't steer a walk: with allowed ids, shards are scored in full.
 
-    def _walk(self, q: np.ndarray, n: int, allowed) -> DataFrame:
-        """Graph search in every shard. Filters can't steer a walk: with allowed ids, shards are scored in full."""
+        A shard's beam is widened by what is hidden of that shard.
+        """
         shards = self.spark.read.parquet(self._dir("codes"))
         quantizer, whole = self.quantizer, allowed is not None
-        gone = self._deleted()
-        n_dead = gone.select("row_id").distinct().count() if gone is not None else 0
+        gone, dead, n_dead = self._gone(), np.zeros(0, dtype=np.int64), 0
+        if gone is not None:
+            n_dead = gone.count()
+            if n_dead <= BROADCAST_IDS:
+                dead, n_dead = np.sort(gone.select("row_id").toArrow()["row_id"].to_numpy()), 0
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
                     ids, scales = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["scales"], "<f4")
                     codes = quantizer.unpack(r["codes"])
-                    score = lambda at: quantizer.scores(q, codes[at], scales[at])  # noqa: E731, B023
-                    if whole:
-                        found = list(zip(score(np.arange(len(ids))).tolist(), range(len(ids)), strict=True))
-                    else:
-                        found = graph.search(score, len(ids), np.frombuffer(r["offsets"], "<i8"), np.frombuffer(r["neighbours"], "<i4"), r["entry"], n + n_dead)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[p]) for _, p in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], names=["row_id", "score"])
-
-        found = shards.mapInArrow(task, "row_id long, score double")
-        return with_ids(with_ids(found, gone, "row_id", keep=False), allowed, "row_id")
-
-    def search(self, base: DataFrame, query: Sequence[float], k: int, config: SearchConfig | None = None, id_col: str = "id", vector_col: str = "vector", allowed=None, where: str | None = None) -> DataFrame:
+                    offsets, neighbours = np.frombuffer(r["offsets"], "<i8"), np.frombuffer(r["neighbours"], "<i4")
+                    hidden = np.isin(ids, dead)
+                    for i, q in zip(query_ids.tolist(), queries, strict=True):
+                        score = lambda at: quantizer.scores(q, codes[at], scales[at])  # noqa: E731, B023
+                        if whole:
+                            live = np.flatnonzero(~hidden)
+                            found = list(zip(score(live).tolist(), live.tolist(), strict=True))
+                        else:
+                            found = graph.search(score, len(ids), offsets, neighbours, r["entry"], n + n_dead + int(hidden.sum()), hidden)
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([int(ids[p]) for _, p in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], names=["qid", "row_id", "score"])
+
+        found = shards.mapInArrow(task, _FOUND)
+        return with_ids(with_ids(found, gone if n_dead else None, "row_id", keep=False), allowed, "row_id")
+
+    def search(self, base: DataFrame, query: Sequence[float], k: int, config: SearchConfig | None = None, id_col: str = "id", vector_col: str = "vector", allowed=None, where: str | None = None, exhaustive: bool = False) -> DataFrame:
         """The ``k`` nearest rows of ``base`` by the index: candidates, then exact distances ``dist``.
 
-        ``where`` filters candidates after the fact and may leave fewer than ``k``; with
+        If ``exhaustive``, every row is a candidate, which gives the exact answer. ``where`` filters candidates after the fact and may leave fewer than ``k``; with
         ``iterative_scan`` set to relaxed_order, candidates and probes double until there are
         ``k`` or the limits of the settings are reached.
         """
@@ -169,6 +225,8 @@ class Index:
             raise ValueError("k must be positive")
         config = config or SearchConfig()
         n, probes = config.candidates(k, self.spec.dim), config.probes
+        if exhaustive:
+            n, probes = max(k, self.manifest["rows"] + self.manifest["inserted"]), max(1, len(self.manifest["centers"]))
         most = min(config.max_scan_tuples, max(1, self.manifest["rows"] + self.manifest["inserted"]))
         while True:
             # At most n candidate rows.
@@ -177,10 +235,38 @@ class Index:
             rows = rows.where(where) if where else rows
             top = rows.withColumn("dist", distance(self.spec.metric, F.col(vector_col), vector(query))).orderBy(F.col("dist").asc_nulls_last(), id_col).limit(k)
             last = n >= most and probes >= min(config.max_probes, max(1, len(self.manifest["centers"])))
-            if config.iterative_scan == "off" or last or top.count() >= k:
+            if exhaustive or config.iterative_scan == "off" or last or top.count() >= k:
                 return top
             n, probes = min(2 * n, most), min(2 * probes, config.max_probes)
 
+    def batch_search(self, base: DataFrame, queries: DataFrame, k: int, config: SearchConfig | None = None, id_col: str = "id", vector_col: str = "vector", query_id: str = "qid", query_vector: str = "query", exclude_self: bool = False) -> DataFrame:
+        """The ``k`` nearest rows of ``base`` for every query: ``(qid, rank, id, dist)``.
+
+        Queries go to the tasks in blocks, each of which scans the index once; candidates and exact
+        distances are as in :meth:`search`. Queries with null ids or vectors take no part. With
+        ``exclude_self`` a query's own id is no candidate.
+        """
+        if k < 1:
+            raise ValueError("k must be positive")
+        config = config or SearchConfig()
+        n = config.candidates(k, self.spec.dim) + exclude_self
+        asked = queries.where(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+        found = None
+        for ids, points in blocks_of(asked, max(1, min(QUERY_BLOCK, _KEPT // (n * self.spec.assign_dups)))):
+            one = self._candidates(ids, points.astype(np.float32), n, None, config.probes)
+            found = one if found is None else found.union(one)
+        if found is None:
+            return self.spark.createDataFrame([], "qid long, rank int, id long, dist double")
+        best = found.groupBy("qid", "row_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), "row_id")
+        near = best.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
+        near = near.where("qid <> row_id") if exclude_self else near
+        rows = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("_vector")).join(near.select("qid", F.col("row_id").alias("id")), "id")
+        rows = rows.join(asked.select(F.col("q").alias("qid"), F.col("v").cast("array<float>").alias("_query")), "qid")
+        rows = rows.select("qid", "id", distance(self.spec.metric, F.col("_vector"), F.col("_query")).alias("dist"))
+        order = Window.partitionBy("qid").orderBy(F.col("dist").asc_nulls_last(), "id")
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
+
     def colbert_search(self, docs: DataFrame, query: Sequence[Sequence[float]], k: int, per_token_k: int = 64, candidate_n: int = 256, id_col: str = "id", token_col: str = "tokens", probes: int | None = None) -> DataFrame:
         """Late-interaction search with the token index for its first stage."""
         from vexel.operators.hybrid import rank_by_max_sim
@@ -190,55 +276,115 @@ class Index:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(token_col).alias("tokens"))
         if not len(query):
             return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-        best = None
-        for q in query:
-            one = self.candidates(q, per_token_k, probes=probes)
-            best = one if best is None else best.union(one)
+        found = self._candidates(np.arange(len(query)), np.asarray(query, dtype=np.float32), per_token_k, probes=probes)
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), "row_id")
+        best = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_token_k * self.spec.assign_dups)
         chosen = best.groupBy("row_id").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "row_id").limit(candidate_n)
         return rank_by_max_sim(rows.join(F.broadcast(chosen.select(F.col("row_id").alias("id"))), "id"), query, k)
 
     def insert(self, df: DataFrame, id_col: str = "id", vector_col: str = "vector") -> Index:
         """Append rows as a delta, encoded with the index's own rotation, codebook and cells.
 
-        An id that was deleted may come again only after :meth:`compact`; inserting a present id
-        replaces nothing in ``base`` and counts once in results.
+        A row whose id is present replaces what was there, and one whose id was deleted is found
+        again. Of rows that repeat an id within ``df`` all are held; the best counts in results.
         """
+        number = self.manifest["last"] + 1
         name = f"{self.path}/{self.manifest['version']}/delta-{uuid.uuid4().hex}"
         rows = _encoded(_points(df, id_col, vector_col, self.spec), self.quantizer, self.spec, self.centers)
         rows.write.parquet(name)
-        added = self.spark.read.parquet(name).select("row_id").distinct().count()
-        return self._swap(deltas=[*self.manifest["deltas"], name], inserted=self.manifest["inserted"] + added)
+        added = self.spark.read.parquet(name).select("row_id").distinct()
+        changes = {"last": number, "deltas": [*self.manifest["deltas"], [name, number]], "inserted": self.manifest["inserted"] + added.count()}
+        replaced = with_ids(added, self.ids(), "row_id")
+        if replaced.limit(1).count():
+            hidden = f"{name}-replaced"
+            replaced.write.parquet(hidden)
+            changes["deleted"] = [*self.manifest["deleted"], [hidden, number]]
+        return self._swap(**changes)
 
     def delete(self, ids: DataFrame | Sequence[int]) -> Index:
-        """Hide ids from every later search."""
+        """Hide ids from every later search, until they are inserted again."""
+        number = self.manifest["last"] + 1
         name = f"{self.path}/{self.manifest['version']}/deleted-{uuid.uuid4().hex}"
         listed = ids.select(F.col(ids.columns[0]).cast("long").alias("row_id")) if isinstance(ids, DataFrame) else self.spark.createDataFrame([(int(i),) for i in ids], "row_id long")
         listed.write.parquet(name)
-        return self._swap(deleted=[*self.manifest["deleted"], name])
+        return self._swap(last=number, deleted=[*self.manifest["deleted"], [name, number]])
+
+    def vacuum(self, base: DataFrame | None = None, id_col: str = "id", vector_col: str = "vector") -> Index:
+        """Drop what is hidden and fold deltas in, without encoding live rows anew.
+
+        A graph keeps the shards without hidden rows; the live rows of the others and of deltas,
+        whose vectors are taken from ``base``, make new shards. The old version is kept for
+        readers until the next change of version.
+        """
+        version, rows = uuid.uuid4().hex, self.ids().count()
+        target = f"{self.path}/{version}/codes"
+        if rows and self.spec.kind == "graph":
+            if base is None:
+                raise ValueError("a graph needs the base table")
+            gone, parts = self._gone(), []
+            if self.manifest["rows"]:
+                shards = self._shard_ids()
+                hit = with_ids(shards, gone, "row_id").select("shard").distinct() if gone is not None else shards.select("shard").limit(0)
+                parts.append(self.spark.read.parquet(self._dir("codes")).join(hit, "shard", "left_anti"))
+                loose = with_ids(shards.join(hit, "shard", "left_semi").select("row_id"), gone, "row_id", keep=False)
+            else:
+                loose = self.spark.createDataFrame([], "row_id long")
+            points = with_ids(_points(base, id_col, vector_col, self.spec), loose.union(self.codes().select("row_id")), "row_id")
+            count = points.count()
+            if count:
+                first = 1 + max([r[0] for r in parts[0].agg(F.coalesce(F.max("shard"), F.lit(-1))).collect()] if parts else [-1])
+                parts.append(_sharded(points, count, -1, first, self.quantizer, self.spec))
+            for part in parts:
+                part.write.mode("append").parquet(target)
+        elif rows:
+            live = self.codes()
+            if self.manifest["centers"]:
+                live.sortWithinPartitions("cell").write.partitionBy("cell").parquet(target)
+            else:
+                live.write.parquet(target)
+        return self._swap(version=version, rows=rows, inserted=0, deltas=[], deleted=[], previous=self.manifest["version"])
 
     def compact(self, base: DataFrame, id_col: str = "id", vector_col: str = "vector") -> Index:
-        """Rebuild from ``base`` without what was deleted; the old version stays until the swap."""
-        live = with_ids(base, self._deleted(), id_col, keep=False)
-        return build_index(live, self.path, self.spec, id_col, vector_col)
+        """Rebuild from the rows of ``base`` that are live in the index; the old version stays until the swap."""
+        return build_index(with_ids(base, self.ids(), id_col), self.path, self.spec, id_col, vector_col)
+
+    def drop(self) -> None:
+        """Remove the index with all its versions."""
+        fs, p = _fs(self.spark, self.path)
+        fs.delete(p, True)
 
     def _swap(self, **changes) -> Index:
         manifest = self.manifest | changes
-        _write(self.spark, f"{self.path}/manifest.json", json.dumps(manifest))
-        return Index(self.spark, self.path, manifest)
+        return Index(self.spark, self.path, _publish(self.spark, self.path, manifest))
+
 
+def _score(quantizer: Quantizer, ids: np.ndarray, queries: np.ndarray, n: int, probed: np.ndarray | None):
+    """Scan of codes for a block of queries, each with the rows of the cells that it probes; the ``n`` best of each stay."""
 
-def _score(quantizer: Quantizer, q: np.ndarray, n: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, float] = {}
+        best = np.zeros((len(ids), 0))
+        who = np.zeros((len(ids), 0), dtype=np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, scale = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             codes = quantizer.unpack(batch.column(2).to_pylist())
-            scores = quantizer.scores(q, codes, batch.column(1).to_numpy()) if batch.num_rows else []
-            for i, s in zip(batch.column(0).to_pylist(), scores, strict=True):
-                best[i] = max(s, best.get(i, -np.inf))
-            if len(best) > 4 * n + 1000:
-                best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n])
-        top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in top], pa.int64()), pa.array([float(s) for _, s in top], pa.float64())], names=["row_id", "score"])
+            cell = batch.column(3).to_numpy() if probed is not None else np.zeros(len(rows), dtype=np.int64)
+            scores = np.full((len(ids), len(rows)), -np.inf)
+            for c in np.unique(cell):
+                at = np.flatnonzero(cell == c)
+                asking = np.flatnonzero(probed[:, c]) if probed is not None else np.arange(len(ids))
+                scores[np.ix_(asking, at)] = queries[asking] @ (quantizer.levels[codes[at]] * scale[at, None]).T
+            scores = np.concatenate([best, scores], axis=1)
+            found = np.concatenate([who, np.broadcast_to(rows, (len(ids), len(rows)))], axis=1)
+            if scores.shape[1] > 2 * n:
+                at = np.lexsort((found, -scores), axis=1)[:, :n]
+                scores, found = np.take_along_axis(scores, at, axis=1), np.take_along_axis(found, at, axis=1)
+            best, who = scores, found
+        at = np.lexsort((who, -best), axis=1)[:, :n]
+        best, who = np.take_along_axis(best, at, axis=1), np.take_along_axis(who, at, axis=1)
+        some = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[some]), pa.array(who[some]), pa.array(best[some])], names=["qid", "row_id", "score"])
 
     return task
 
@@ -306,9 +452,7 @@ def build_index(df: DataFrame, path: str, spec: IndexSpec, id_col: str = "id", v
         pass
     elif spec.kind == "graph":
         parts = (config or SearchConfig()).graph_build_partitions
-        shards = parts if parts > 0 else max(1, -(-n // GRAPH_SHARD_ROWS))
-        keyed = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int"))
-        keyed.groupBy("shard").applyInArrow(_graph_shard(quantizer, spec), _GRAPH).write.parquet(target)
+        _sharded(rows, n, parts, 0, quantizer, spec).write.parquet(target)
     else:
         coded = _encoded(rows, quantizer, spec, centers)
         if len(centers):
@@ -325,11 +469,22 @@ def build_index(df: DataFrame, path: str, spec: IndexSpec, id_col: str = "id", v
         "rotation_seed": quantizer.seed,
         "levels": [float(x) for x in quantizer.levels],
         "centers": [[float(x) for x in c] for c in centers],
+        "last": 0,
         "deltas": [],
         "deleted": [],
     }
-    _write(spark, f"{path}/manifest.json", json.dumps(manifest))
-    return Index(spark, path, manifest)
+    number = _newest(spark, path)
+    if number:
+        old = json.loads(_read(spark, f"{path}/{_name(number)}"))
+        manifest |= {"number": number, "previous": old.get("version")}
+    return Index(spark, path, _publish(spark, path, manifest))
+
+
+def _sharded(rows: DataFrame, n: int, parts: int, first: int, quantizer: Quantizer, spec: IndexSpec) -> DataFrame:
+    """Graph shards of rows ``(row_id, v)``, ``parts`` of them or of about :data:`GRAPH_SHARD_ROWS`, numbered from ``first``."""
+    shards = parts if parts > 0 else max(1, -(-n // GRAPH_SHARD_ROWS))
+    keyed = rows.withColumn("shard", (F.pmod(F.xxhash64("row_id"), F.lit(shards)) + first).cast("int"))
+    return keyed.groupBy("shard").applyInArrow(_graph_shard(quantizer, spec), _GRAPH)
 
 
 def _graph_shard(quantizer: Quantizer, spec: IndexSpec):
@@ -375,13 +530,40 @@ def _read(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _write(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the file, then put it in its place by a rename."""
+def _name(number: int) -> str:
+    return f"manifest-{number:010d}.json"
+
+
+def _newest(spark: SparkSession, path: str) -> int:
+    """Number of the newest manifest, 0 where there is none."""
     fs, p = _fs(spark, path)
-    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    if not fs.exists(p):
+        return 0
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return max((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), default=0)
+
+
+def _publish(spark: SparkSession, path: str, manifest: dict) -> dict:
+    """Write the manifest of the next number beside the others, then give it its name by a rename.
+
+    Raises :class:`IndexConflictError` if another change came first. Then versions older than the
+    one before this and all manifests but the last few are removed.
+    """
+    number = manifest.get("number", 0) + 1
+    manifest = manifest | {"number": number}
+    fs, p = _fs(spark, f"{path}/{_name(number)}")
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.{uuid.uuid4().hex}")
     fs.mkdirs(p.getParent())
     out = fs.create(fresh, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(fresh, p)
+    if _newest(spark, path) >= number or not fs.rename(fresh, p):
+        fs.delete(fresh, False)
+        raise IndexConflictError(f"the index at {path} was changed meanwhile; open it again")
+    keep = {manifest["version"], manifest.get("previous")}
+    for f in fs.listStatus(p.getParent()):
+        name = f.getPath().getName()
+        old = f.isDirectory() and len(name) == 32 and name not in keep
+        if old or name.startswith("manifest-") and int(name[9:-5]) <= number - KEPT_MANIFESTS:
+            fs.delete(f.getPath(), True)
+    return manifest

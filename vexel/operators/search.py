@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vexel.functions import call, vector
-from vexel.index.quantize import Quantizer
+from vexel.quantize import Quantizer
 
 #: Distance function by metric; all sort nearest first in ascending order.
 METRICS = {"l2": "l2_distance", "l2_squared": "l2_squared_distance", "ip": "negative_inner_product", "cosine": "cosine_distance", "l1": "l1_distance"}
@@ -39,18 +39,12 @@ def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
 
     Queries go to the tasks in blocks of :data:`QUERY_BLOCK`; each task scores its rows against a
     block with array arithmetic and keeps its ``k`` best, so what is shuffled is ``k`` rows for
-    each query and task. Rows and queries with null vectors take no part.
+    each query and task. Rows and queries with null ids or vectors take no part.
     """
-    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
-    rows = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = queries.where(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+    rows = corpus.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     found = None
-    for part in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toArrow()
-        ids = block["q"].to_numpy()
-        if not len(ids):
-            continue
-        points = np.stack([np.asarray(x, dtype=float) for x in block["v"].to_pylist()])
+    for ids, points in blocks_of(asked):
         one = rows.mapInArrow(_local_topk(ids, points, k, metric, exclude_self), "qid long, id long, dist double")
         found = one if found is None else found.union(one)
     if found is None:
@@ -59,6 +53,16 @@ def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
 
+def blocks_of(asked: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of ``(q, v)`` in blocks of about ``size``, one on the driver at a time."""
+    parts = max(1, -(-asked.count() // size))
+    for part in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toArrow()
+        if block.num_rows:
+            points = block["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            yield block["q"].to_numpy(), points.astype(float).reshape(block.num_rows, -1)
+
+
 def pairwise(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Distances of all query and point pairs in double precision, summed in the order of the elements."""
 
@@ -76,7 +80,11 @@ def pairwise(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray
     dot = total(lambda a, b: a * b)
     if metric == "ip":
         return -dot
-    norm = np.sqrt([[sum(x * x for x in q)] for q in queries]) * np.sqrt([sum(x * x for x in p) for p in points])
+    squares = [np.zeros(len(queries)), np.zeros(len(points))]
+    for x, out in zip((queries, points), squares, strict=True):
+        for d in range(x.shape[1]):
+            out += x[:, d] * x[:, d]
+    norm = np.sqrt(squares[0])[:, None] * np.sqrt(squares[1])
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.where(norm > 0, 1 - np.clip(dot / norm, -1, 1), np.nan)
 
@@ -138,28 +146,76 @@ def knn(df: DataFrame, query: Sequence[float], k: int, bit_width: int = 4, allow
     beyond the rows returns them all. ``k`` below one, a width outside 2 to 4 or a dimension that
     8 doesn't divide raise ``ValueError``.
     """
+    found = knn_many(df, [query], k, bit_width, allowed, id_col, vector_col, normalize)
+    return found.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+
+
+def knn_many(df: DataFrame, queries: Sequence[Sequence[float]], k: int, bit_width: int = 4, allowed: DataFrame | Sequence[int] | None = None, id_col: str = "id", vector_col: str = "vector", normalize: bool = True) -> DataFrame:
+    """:func:`knn` of several queries in one scan: ``(q, id, score)``, ``q`` the query's place, of each task its ``k`` best."""
     if k < 1:
         raise ValueError("k must be positive")
-    quantizer = Quantizer(len(query), bit_width)
-    asked = quantizer.prepare(np.asarray(query, dtype=np.float32), normalize)
-    sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) == len(query))
+    dim = len(queries[0])
+    quantizer = Quantizer(dim, bit_width)
+    asked = np.stack([quantizer.prepare(np.asarray(q, dtype=np.float32), normalize) for q in queries])
+    sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) == dim)
     rows = df.where(sound & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     rows = with_ids(rows, allowed, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        ids, scores = np.zeros((len(asked), 0), dtype=np.int64), np.zeros((len(asked), 0))
         for batch in batches:
             points = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             codes, scale = quantizer.encode(points, normalize)
-            ids = np.concatenate([ids, batch.column(0).to_numpy()])
-            scores = np.concatenate([scores, quantizer.scores(asked, codes, scale)])
-            keep = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[keep], scores[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(scores)], names=["id", "score"])
+            new = np.stack([quantizer.scores(q, codes, scale) for q in asked])
+            ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), new.shape)], axis=1)
+            scores = np.concatenate([scores, new], axis=1)
+            keep = np.lexsort((ids, -scores), axis=1)[:, :k]
+            ids, scores = np.take_along_axis(ids, keep, axis=1), np.take_along_axis(scores, keep, axis=1)
+        place = np.broadcast_to(np.arange(len(asked), dtype=np.int32)[:, None], ids.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (place, ids, scores)], names=["q", "id", "score"])
+
+    return rows.mapInArrow(task, "q int, id long, score double")
+
 
-    return rows.mapInArrow(task, "id long, score double").orderBy(F.desc("score"), "id").limit(k)
+def within(left: DataFrame, right: DataFrame, limit: float, metric: str = "l2", left_id: str = "left_id", right_id: str = "right_id", left_vector: str = "a", right_vector: str = "b") -> DataFrame:
+    """Distance-threshold join: ``(left_id, right_id, dist)`` of all pairs no farther apart than ``limit``.
 
+    The left side goes to the tasks in blocks of :data:`QUERY_BLOCK`; each task scores its right
+    rows against a block with array arithmetic, so only pairs within the limit are made into rows.
+    For ``l2`` rows whose norms alone differ by more are passed over first. Cost grows with the
+    product of the sides. Rows with a null id or vector, and NaN distances, take no part.
+    """
+    asked = left.where(F.col(left_vector).isNotNull() & F.col(left_id).isNotNull()).select(F.col(left_id).cast("long").alias("q"), F.col(left_vector).cast("array<double>").alias("v"))
+    rows = right.where(F.col(right_vector).isNotNull() & F.col(right_id).isNotNull()).select(F.col(right_id).cast("long").alias("id"), F.col(right_vector).cast("array<double>").alias("v"))
+    schema = f"{left_id} long, {right_id} long, dist double"
+    found = None
+    for ids, points in blocks_of(asked):
+        one = rows.mapInArrow(_local_within(ids, points, limit, metric, (left_id, right_id)), schema)
+        found = one if found is None else found.union(one)
+    return left.sparkSession.createDataFrame([], schema) if found is None else found
 
-def within(left: DataFrame, right: DataFrame, limit: float, metric: str = "l2", left_vector: str = "a", right_vector: str = "b") -> DataFrame:
-    """Distance-threshold join: all pairs no farther apart than ``limit``. Cost grows with the product of the sides."""
-    return left.join(right, distance(metric, F.col(left_vector), F.col(right_vector)) <= limit)
+
+def _local_within(ids: np.ndarray, queries: np.ndarray, limit: float, metric: str, names: tuple[str, str]):
+    norms = np.sqrt((queries * queries).sum(axis=1))
+    order = np.argsort(norms, kind="stable")
+    ids, queries, norms = ids[order], queries[order], norms[order]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                rows = part.column(0).to_numpy()
+                points = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                if len(points) != len(rows) * queries.shape[1]:
+                    raise ValueError("different dimensions")
+                points = points.reshape(len(rows), -1)
+                near = slice(0, len(ids))
+                if metric == "l2" and len(rows):
+                    size = np.sqrt((points * points).sum(axis=1))
+                    slack = limit + 1e-9 * (1 + size.max())
+                    near = slice(np.searchsorted(norms, size.min() - slack), np.searchsorted(norms, size.max() + slack, side="right"))
+                dist = pairwise(metric, queries[near], points)
+                q, r = np.nonzero(dist <= limit)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[near][q]), pa.array(rows[r]), pa.array(dist[q, r])], names=[*names, "dist"])
+
+    return task

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.functions import call, vector
+from vexel.functions import call, expr, vector
 from vexel.index import IndexSpec, build_index
 from vexel.operators import aggregates, hybrid, search
 from vexel.storage import new_path
@@ -80,10 +80,7 @@ for _m in ("l2", "ip", "cosine", "l1"):
 # Scalars: one column for each function, over the whole table
 def _scalar(name: str, spark_expr: Callable[[], F.Column] | str, duck: str, out: str = "value") -> None:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        from vexel.functions import register
-
-        register(spark)
-        value = F.expr(spark_expr) if isinstance(spark_expr, str) else spark_expr()
+        value = expr(spark_expr) if isinstance(spark_expr, str) else spark_expr()
         return _paired(spark, d).select("vec_id", value.alias(out))
 
     _register(name, query, f"SELECT vec_id, {duck} AS {out} FROM ({_PAIRS})")
@@ -147,6 +144,17 @@ _scalar("sparsevec_roundtrip", f"sparsevec_to_vector(to_sparsevec(sparsevec_to_t
 SQL["sparsevec_roundtrip"] = f"SELECT vec_id, list_transform(a, x -> x::FLOAT) AS value FROM ({_S})"
 
 
+_scalar("halfvec_inner_product", "round(halfvec_inner_product(vector_to_halfvec(a), vector_to_halfvec(b)), 9)", "0")
+SQL["halfvec_inner_product"] = f"SELECT vec_id, round({_ip('a', 'b')}, 9) AS value FROM ({_H})"
+_scalar("halfvec_dims", "halfvec_dims(vector_to_halfvec(a))", "len(a)::INTEGER")
+_scalar("sparsevec_dims", f"sparsevec_dims({_SP.format(v='a')})", "len(a)::INTEGER")
+_scalar("bitvec_dims", "bitvec_dims(binary_quantize(a))", "len(a)::INTEGER")
+_scalar("to_bitvec", "bitvec_to_text(to_bitvec(bitvec_to_text(binary_quantize(a))))", "array_to_string(list_transform(a, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), '')")
+_scalar("vec_to_array", "vec_to_array(a)", "a")
+_scalar("vector_to_float4", "vector_to_float4(a)", "a")
+_scalar("l2_normalize", f"transform(l2_normalize({_SCALED}), x -> round(cast(x AS DOUBLE), 6))", SQL["vec_normalize"].split("SELECT vec_id, ", 1)[1].rsplit(" AS value FROM (", 1)[0])
+
+
 # Late interaction: 8 tokens of 8 elements each
 def _tokens(v: str) -> str:
     return f"transform(sequence(0, 7), i -> slice({v}, 8 * i + 1, 8))"
@@ -193,7 +201,16 @@ def _half_avg(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.halfvec_avg(rows, ["label"], "h", "value").select("label", F.transform("value", lambda x: F.round(x.cast("double"), 3)).alias("value"))
 
 
-_register("halfvec_avg_by_label", _half_avg)
+_HALF_UNNEST = f"SELECT label, unnest({_HA}) AS x, generate_subscripts(a, 1) AS pos FROM (SELECT label, embedding AS a FROM embeddings)"
+_register("halfvec_avg_by_label", _half_avg, f"SELECT label, list(round(v::DOUBLE, 3) ORDER BY pos) AS value FROM (SELECT label, pos, {_HALF.replace('x', 'm')} AS v FROM (SELECT label, pos, avg(x::DOUBLE)::FLOAT AS m FROM ({_HALF_UNNEST}) GROUP BY ALL)) GROUP BY label")
+
+
+def _half_sum(spark: SparkSession, d: str) -> DataFrame:
+    rows = _embeddings(spark, d).select("label", call("vector_to_halfvec", "embedding").alias("h"))
+    return aggregates.halfvec_sum(rows, ["label"], "h", "value").select("label", F.transform("value", lambda x: F.round(x.cast("double"), 2)).alias("value"))
+
+
+_register("halfvec_sum_by_label", _half_sum, f"SELECT label, list(round(v::DOUBLE, 2) ORDER BY pos) AS value FROM (SELECT label, pos, {_HALF.replace('x', 'm')} AS v FROM (SELECT label, pos, sum(x::DOUBLE)::FLOAT AS m FROM ({_HALF_UNNEST}) GROUP BY ALL)) GROUP BY label")
 
 
 # Searches over many rows
@@ -230,25 +247,16 @@ def _allowed(spark: SparkSession, d: str) -> DataFrame:
 _register("allowlist_topk", _allowed, f"SELECT vec_id, round({_L2}, 9) AS dist FROM ({_PAIRS}) WHERE vec_id < 300 AND vec_id % 7 = 0 ORDER BY {_L2}, vec_id LIMIT 10")
 
 
-def _threshold(spark: SparkSession, d: str) -> DataFrame:
-    e = _embeddings(spark, d)
-    left = e.where("vec_id < 40").select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"))
-    right = e.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("b"))
-    return search.within(left, right, 1.1).where("left_id < right_id").select("left_id", "right_id")
-
-
-_register("distance_join", _threshold, f"SELECT l.vec_id AS left_id, r.vec_id AS right_id FROM embeddings l, embeddings r WHERE l.vec_id < 40 AND l.vec_id < r.vec_id AND {_DUCK['l2']('l.embedding', 'r.embedding')} <= 1.1")
-
-
-def _whole_join(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of the table within the distance of ``distance_join``, whose statement holds only rows below 40."""
+def _threshold(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+    """Pairs of every 20th row with any row of a greater id; the whole table is joined by ``distance_join_whole``."""
     e = _embeddings(spark, d)
-    left = e.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"))
+    left = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"))
     right = e.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("b"))
     return search.within(left, right, 1.1).where("left_id < right_id").select("left_id", "right_id")
 
 
-_register("distance_join_whole", _whole_join)
+_register("distance_join", _threshold, f"SELECT l.vec_id AS left_id, r.vec_id AS right_id FROM embeddings l, embeddings r WHERE l.vec_id % 20 = 0 AND l.vec_id < r.vec_id AND {_DUCK['l2']('l.embedding', 'r.embedding')} <= 1.1")
+_register("distance_join_whole", lambda spark, d: _threshold(spark, d, 1))
 
 
 def _centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -264,10 +272,7 @@ _register("centroid_difference_topk", _centroids, f"SELECT vec_id FROM ({_CP}) O
 
 # Fusion
 def _rrf(spark: SparkSession, d: str) -> DataFrame:
-    from vexel.functions import register
-
-    register(spark)
-    p = _paired(spark, d).withColumns({"x": F.expr("l2_distance(a, b)"), "y": F.expr("l2_distance(slice(a, 1, 32), slice(b, 1, 32))")})
+    p = _paired(spark, d).withColumns({"x": expr("l2_distance(a, b)"), "y": expr("l2_distance(slice(a, 1, 32), slice(b, 1, 32))")})
     fused = hybrid.rrf_fuse([hybrid.ranked(p, c, "vec_id", k=50) for c in ("x", "y")], limit=10)
     return fused.select(F.col("id").alias("vec_id"), F.round("score", 9).alias("score"))
 
@@ -302,7 +307,7 @@ _register("hybrid_rrf", _hybrid, f"SELECT id, round(s, 9) AS score FROM (SELECT
 def _maxsim_rank(spark: SparkSession, d: str) -> DataFrame:
     docs = _embeddings(spark, d).select("vec_id", F.expr(_tokens("embedding")).alias("tokens"))
     q = _first(spark, d, 5)
-    found = hybrid.colbert_search(docs, [q[8 * i : 8 * i + 8] for i in range(8)], 10, per_token_k=1_000_000, candidate_n=1_000_000, id_col="vec_id")
+    found = hybrid.colbert_search(docs, [q[8 * i : 8 * i + 8] for i in range(8)], 10, id_col="vec_id", exhaustive=True)
     return found.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
@@ -315,8 +320,6 @@ _register("colbert_exhaustive", _maxsim_rank, f"SELECT vec_id, round(s, 6) AS sc
 # Indexes: with every cell probed and every row a candidate, exact re-ranking gives the exact answer
 def _indexed(name: str, spec: IndexSpec, change: str | None = None, sql_filter: str = "true") -> None:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        from vexel.config import SearchConfig
-
         e = _embeddings(spark, d)
         start = e.where("vec_id % 5 <> 0") if change == "insert" else e
         index = build_index(start, new_path(spark, name), spec, "vec_id", "embedding")
@@ -324,8 +327,7 @@ def _indexed(name: str, spec: IndexSpec, change: str | None = None, sql_filter:
             index = index.insert(e.where("vec_id % 5 = 0"), "vec_id", "embedding")
         if change == "delete":
             index = index.delete(e.where("vec_id % 5 = 0").select("vec_id"))
-        n = min(100_000, e.count())
-        top = index.search(e, _first(spark, d), 10, SearchConfig(search_k=n, probes=65_536), "vec_id", "embedding")
+        top = index.search(e, _first(spark, d), 10, id_col="vec_id", vector_col="embedding", exhaustive=True)
         return top.select("vec_id", F.round("dist", 9).alias("dist"))
 
     dist = _DUCK[spec.metric]("a", "b")
@@ -350,21 +352,55 @@ def _knn_join(spark: SparkSession, d: str) -> DataFrame:
 _register("knn_join_back", _knn_join)
 
 
+#: Indexes at usable settings, whose recall is reported.
+RECALL_SPECS = {
+    "flat_4": IndexSpec("flat", "cosine"),
+    "flat_3": IndexSpec("flat", "cosine", bit_width=3),
+    "flat_2": IndexSpec("flat", "cosine", bit_width=2),
+    "ivf": IndexSpec("ivf", "cosine", lists=32),
+    "graph": IndexSpec("graph", "cosine"),
+}
+
+
+def _asked(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+
+
 def _recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the 10 nearest that the flat 4-bit index finds among 40 candidates, self excluded."""
+    """Recall of the 10 nearest of every 20th row, itself excluded, by each index at its default settings."""
     e = _embeddings(spark, d)
-    index = build_index(e, new_path(spark, "recall"), IndexSpec("flat", "cosine"), "vec_id", "embedding")
-    truth = search.batch_topk(e, e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 10, "cosine", "vec_id", "embedding", exclude_self=True)
-    found = None
-    for n in range(5):
-        one = index.candidates(_first(spark, d, n), 41).select(F.lit(n).cast("long").alias("qid"), F.col("row_id").alias("id"))
-        found = one if found is None else found.union(one)
-    return hybrid.recall_at_k(found, truth.select("qid", "id"))
+    truth = search.batch_topk(e, _asked(e), 10, "cosine", "vec_id", "embedding", exclude_self=True).select("qid", "id").cache()
+    report = None
+    for name, spec in RECALL_SPECS.items():
+        index = build_index(e, new_path(spark, f"recall_{name}"), spec, "vec_id", "embedding")
+        found = index.batch_search(e, _asked(e), 10, id_col="vec_id", vector_col="embedding", exclude_self=True)
+        hits = hybrid.recall_at_k(found, truth)
+        one = hits.agg(F.lit(name).alias("index"), F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.percentile("recall", F.lit(0.1)).alias("p10"), F.percentile("recall", F.lit(0.5)).alias("p50"))
+        report = one if report is None else report.union(one)
+    return report
 
 
 _register("recall_report", _recall)
 
 
+def _ndcg(spark: SparkSession, d: str) -> DataFrame:
+    """nDCG of the exact order by cosine, where rows of the query's label have gain one, over every 20th row."""
+    e = _embeddings(spark, d)
+    found = search.batch_topk(e, _asked(e), 10, "cosine", "vec_id", "embedding", exclude_self=True)
+    labels = e.select(F.col("vec_id").alias("id"), "label")
+    gains = found.join(labels, "id").join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("own")), "qid")
+    gains = gains.select("qid", "id", (F.col("label") == F.col("own")).cast("double").alias("gain"))
+    return hybrid.ndcg_at_k(found, gains).select("qid", F.round("ndcg", 9).alias("ndcg"))
+
+
+_NEAR = f"SELECT q.vec_id AS qid, (e.label = q.label)::INTEGER AS gain, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSQ}, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY r <= 10"
+_register(
+    "ndcg_by_label",
+    _ndcg,
+    f"SELECT qid, round(CASE WHEN sum(gain) = 0 THEN 0 ELSE sum(gain / log2(r + 1)) / sum(CASE WHEN best <= total THEN 1 / log2(best + 1) ELSE 0 END) END, 9) AS ndcg FROM (SELECT *, r AS best, sum(gain) OVER (PARTITION BY qid) AS total FROM ({_NEAR})) GROUP BY qid",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """The DuckDB statements; lambdas are written with arrows above and spelled out here."""
     return {name: re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql) for name, sql in SQL.items()}

@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode.
+
+    On a cluster without that setting executors would write to disks of their own: it raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="vexel-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
