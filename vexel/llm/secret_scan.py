@@ -102,10 +102,34 @@ def postings(df: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_
 
     A document whose text no conjunction can hold in has no posting in the lists.
     """
-    known = vocabulary(rules)
-    texts = df.where(F.col(text).isNotNull()).select(_key(doc_id, text).alias("doc"), F.lower(text).alias("low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(known)]))
-    return texts.select("doc", found.alias("grams")).select("doc", F.explode("grams").alias("gram"))
+    place = {g: k for k, g in enumerate(vocabulary(rules))}
+
+    def held(low: Column) -> Column:
+        """Places of the trigrams in a text, those that share a part only if the text holds that."""
+        parts = [F.array().cast("array<int>")]
+        for shared, grams in _by_part(sorted(place)).items():
+            found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(place[g])) for g in grams]))
+            parts.append(found if len(grams) == 1 else F.when(F.contains(low, F.lit(shared)), found).otherwise(parts[0]))
+        return F.concat(*parts)
+
+    # Bound in a lambda, the lower-cased text is made once, not for each trigram.
+    grams = F.transform(F.array(F.lower(text)), held)[0]
+    texts = df.where(F.col(text).isNotNull()).select(_key(doc_id, text).alias("doc"), grams.alias("grams"))
+    return texts.select("doc", F.explode("grams").alias("gram"))
+
+
+def _by_part(grams: list[str]) -> dict[str, list[str]]:
+    """The trigrams by a part that several share: a sign that is no letter or two letters, most trigrams first."""
+    left, found = list(grams), {}
+    while left:
+        parts: dict[str, list[str]] = {}
+        for g in left:
+            for p in {c for c in g if not c.isalpha()} or {g[:2], g[1:]}:
+                parts.setdefault(p, []).append(g)
+        part = max(sorted(parts), key=lambda p: len(parts[p]))
+        found[part] = parts[part]
+        left = [g for g in left if g not in parts[part]]
+    return found
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
