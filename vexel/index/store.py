@@ -30,8 +30,10 @@ from vexel.operators.search import BROADCAST_IDS, QUERY_BLOCK, blocks_of, distan
 
 FORMAT = 2
 KINDS = ("flat", "ivf", "graph", "colbert")
-#: Vectors sampled for each cell to train its centre; rows of a graph shard, at most about.
-SAMPLE_PER_CELL, GRAPH_SHARD_ROWS = 256, 5_000
+#: Vectors sampled for each cell to train its centre, and bytes of the sample, which goes to the driver, at most.
+SAMPLE_PER_CELL, SAMPLE_BYTES = 256, 256_000_000
+#: Rows of a graph shard, about.
+GRAPH_SHARD_ROWS = 5_000
 DEFAULT_TOKEN_LISTS = 64
 KEPT_MANIFESTS = 8
 _CODES = "row_id long, scale float, codes binary"
@@ -442,7 +444,7 @@ def build_index(df: DataFrame, path: str, spec: IndexSpec, id_col: str = "id", v
     n = rows.count()
     centers = np.zeros((0, spec.dim), dtype=np.float32)
     if spec.lists and n:
-        few = rows.select("v", F.xxhash64("row_id", F.to_json("v")).alias("h")).orderBy("h").limit(SAMPLE_PER_CELL * spec.lists).toArrow()
+        few = rows.select("v", F.xxhash64("row_id", F.to_json("v")).alias("h")).orderBy("h").limit(min(SAMPLE_PER_CELL * spec.lists, SAMPLE_BYTES // (4 * spec.dim))).toArrow()
         points = few["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(few), -1)
         norm = np.sqrt((points.astype(float) ** 2).sum(axis=1, keepdims=True))
         centers = kmeans.train((points / np.where(norm > 0, norm, 1) if spec.normalize else points).astype(np.float32) @ quantizer.turn.T, spec.lists)

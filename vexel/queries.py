@@ -151,7 +151,7 @@ _scalar("sparsevec_dims", f"sparsevec_dims({_SP.format(v='a')})", "len(a)::INTEG
 _scalar("bitvec_dims", "bitvec_dims(binary_quantize(a))", "len(a)::INTEGER")
 _scalar("to_bitvec", "bitvec_to_text(to_bitvec(bitvec_to_text(binary_quantize(a))))", "array_to_string(list_transform(a, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), '')")
 _scalar("vec_to_array", "vec_to_array(a)", "a")
-_scalar("vector_to_float4", "vector_to_float4(a)", "a")
+_scalar("vector_to_float4", "vector_to_float4(a, 64, false)", "a")
 _scalar("l2_normalize", f"transform(l2_normalize({_SCALED}), x -> round(cast(x AS DOUBLE), 6))", SQL["vec_normalize"].split("SELECT vec_id, ", 1)[1].rsplit(" AS value FROM (", 1)[0])
 
 
@@ -357,7 +357,7 @@ RECALL_SPECS = {
     "flat_4": IndexSpec("flat", "cosine"),
     "flat_3": IndexSpec("flat", "cosine", bit_width=3),
     "flat_2": IndexSpec("flat", "cosine", bit_width=2),
-    "ivf": IndexSpec("ivf", "cosine", lists=32),
+    "ivf": IndexSpec("ivf", "cosine", lists=32, assign_dups=2),
     "graph": IndexSpec("graph", "cosine"),
 }
 
