@@ -8,7 +8,10 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """Session-wide defaults of approximate search; out-of-range values raise."""
+    """Session-wide defaults of approximate search; out-of-range values raise.
+
+    ``allowlist`` names the ids that searches may return, comma-separated; blank allows all.
+    """
 
     bit_width_default: int = 4
     normalize_on_insert: bool = True
@@ -21,6 +24,7 @@ class SearchConfig:
     max_probes: int = 64
     graph_build_partitions: int = -1
     strict_compat: bool = False
+    allowlist: str = ""
 
     def __post_init__(self) -> None:
         limits = {"bit_width_default": (2, 4), "search_k": (1, 100_000), "oversample": (1, 100), "probes": (1, 65_536), "max_scan_tuples": (1, 10_000_000), "max_probes": (1, 65_536), "graph_build_partitions": (-1, 4096)}

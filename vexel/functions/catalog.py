@@ -144,7 +144,9 @@ _add(
 )
 
 # Conversions
-_add("array_to_vec", f"a {VECTOR}", VECTOR, _checked_dim(_finite("a", "array_to_vec")))
+_ARRAY = _checked_dim(_finite("a", "array_to_vec"))
+#: What SQL may add to a conversion: a dimension to hold to (0: any), and a flag that changes nothing.
+_MORE = "dim INT DEFAULT 0, transpose BOOLEAN DEFAULT false"
 _add("float8_array_to_vec", "a ARRAY<DOUBLE>", VECTOR, _checked_dim(_finite("transform(a, v -> cast(v AS FLOAT))", "float8_array_to_vec")))
 _add("int4_array_to_vec", "a ARRAY<INT>", VECTOR, _checked_dim(_finite("transform(a, v -> cast(v AS FLOAT))", "int4_array_to_vec")))
 _add("vec_to_array", f"v {VECTOR}", VECTOR, "v")
@@ -154,17 +156,15 @@ def _with_dim(array: str) -> str:
     return f"CASE WHEN dim <> 0 AND size({array}) <> dim THEN {_raise(f'''concat('expected dimension ', dim, ', got ', size({array}))''')} ELSE {array} END"
 
 
-_add("vector_to_float4", f"v {VECTOR}, dim INT, transpose BOOLEAN", VECTOR, _with_dim("v"))
-for _n in ("array_to_vec_dim", "array_to_vector"):
-    _add(_n, f"a {VECTOR}, dim INT, transpose BOOLEAN", VECTOR, _with_dim(FUNCTIONS["array_to_vec"].body))
+_add("vector_to_float4", f"v {VECTOR}, {_MORE}", VECTOR, _with_dim("v"))
+for _n in ("array_to_vec", "array_to_vec_dim", "array_to_vector"):
+    _add(_n, f"a {VECTOR}, {_MORE}", VECTOR, _with_dim(_ARRAY))
 _NUMBER = r"[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 _LIST = rf"^\\s*\\[\\s*{_NUMBER}\\s*(,\\s*{_NUMBER}\\s*)*\\]\\s*$"
 _PARSED = r"transform(split(regexp_replace(s, '[\\[\\]\\s]', ''), ','), t -> cast(cast(t AS DOUBLE) AS FLOAT))"
 _TEXT = f"CASE WHEN NOT s RLIKE '{_LIST}' THEN {_raise('''concat('not a vector: ', s)''')} ELSE {_checked_dim(_finite(_PARSED, 'vector text'))} END"
-for _n in ("to_vec", "to_vector"):
-    _add(_n, "s STRING", VECTOR, _TEXT)
-for _n in ("to_vec_dim", "to_vector_dim"):
-    _add(_n, "s STRING, dim INT, transpose BOOLEAN", VECTOR, _with_dim(_TEXT))
+for _n in ("to_vec", "to_vector", "to_vec_dim", "to_vector_dim"):
+    _add(_n, f"s STRING, {_MORE}", VECTOR, _with_dim(_TEXT))
 # Shortest digits without an exponent: digits and exponent of Spark's own form, laid out again.
 _DIGITS = "replace(regexp_replace(split(t, 'E')[0], '[.]0$', ''), '.', '')"
 _POINT = "cast(split(t, 'E')[1] AS INT)"

@@ -26,7 +26,7 @@ from vexel.config import SearchConfig
 from vexel.functions import vector
 from vexel.index import graph, kmeans
 from vexel.quantize import Quantizer
-from vexel.operators.search import BROADCAST_IDS, QUERY_BLOCK, blocks_of, distance, with_ids
+from vexel.operators.search import BROADCAST_IDS, QUERY_BLOCK, blocks_of, distance, parse_allowlist, with_ids
 
 FORMAT = 2
 KINDS = ("flat", "ivf", "graph", "colbert")
@@ -226,6 +226,7 @@ class Index:
         if k < 1:
             raise ValueError("k must be positive")
         config = config or SearchConfig()
+        allowed = parse_allowlist(config.allowlist) if allowed is None else allowed
         n, probes = config.candidates(k, self.spec.dim), config.probes
         if exhaustive:
             n, probes = max(k, self.manifest["rows"] + self.manifest["inserted"]), max(1, len(self.manifest["centers"]))
@@ -255,7 +256,7 @@ class Index:
         asked = queries.where(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
         found = None
         for ids, points in blocks_of(asked, max(1, min(QUERY_BLOCK, _KEPT // (n * self.spec.assign_dups)))):
-            one = self._candidates(ids, points.astype(np.float32), n, None, config.probes)
+            one = self._candidates(ids, points.astype(np.float32), n, parse_allowlist(config.allowlist), config.probes)
             found = one if found is None else found.union(one)
         if found is None:
             return self.spark.createDataFrame([], "qid long, rank int, id long, dist double")

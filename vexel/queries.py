@@ -189,6 +189,18 @@ for _agg in ("avg", "sum"):
         lambda e, f=getattr(aggregates, f"vector_{_agg}"): f(e, ["label"], "embedding", "value").select("label", _wide("value").alias("value")),
         f"SELECT label, list(round(v::FLOAT::DOUBLE, 5) ORDER BY pos) AS value FROM (SELECT label, pos, {_agg}(x::DOUBLE) AS v FROM ({_UNNEST}) GROUP BY ALL) GROUP BY label",
     )
+_KEYED = "SELECT label, vec_id % 3 AS third, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings"
+for _kind, _sets in (("rollup", "(label, third, pos), (label, pos), (pos)"), ("cube", "(label, third, pos), (label, pos), (third, pos), (pos)")):
+    _grouped(
+        f"vector_sum_{_kind}",
+        lambda e, sets=getattr(aggregates, f"{_kind}_sets"): aggregates.vector_sum(e.withColumn("third", F.col("vec_id") % 3), ["label", "third"], "embedding", "value", sets(["label", "third"])).select("label", "third", F.col("grouping_id").cast("long").alias("grouping_id"), F.transform("value", lambda x: F.round(x.cast("double"), 3)).alias("value")),
+        f"SELECT label, third, g::BIGINT AS grouping_id, list(round(v::FLOAT::DOUBLE, 3) ORDER BY pos) AS value FROM (SELECT label, third, grouping(label, third) AS g, pos, sum(x::DOUBLE) AS v FROM ({_KEYED}) GROUP BY GROUPING SETS ({_sets})) GROUP BY label, third, g",
+    )
+_grouped(
+    "vector_avg_distinct",
+    lambda e: aggregates.vector_avg(e.select("label", F.transform("embedding", lambda x: F.signum(x).cast("float")).alias("embedding")).select("label", F.slice("embedding", 1, 4).alias("embedding")), ["label"], "embedding", "value", distinct=True).select("label", _wide("value").alias("value")),
+    "SELECT label, list(round(v::FLOAT::DOUBLE, 5) ORDER BY pos) AS value FROM (SELECT label, pos, avg(x::DOUBLE) AS v FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM (SELECT DISTINCT label, list_transform(embedding[1:4], x -> sign(x)) AS e FROM embeddings)) GROUP BY ALL) GROUP BY label",
+)
 _grouped(
     "sparsevec_sum_by_label",
     lambda e: aggregates.sparsevec_sum(e.select("label", F.expr("named_struct('dim', 64, 'indices', transform(filter(transform(embedding, (x, i) -> struct(x AS x, i AS i)), z -> abs(z.x) > cast(0.15 AS FLOAT)), z -> z.i), 'values', filter(embedding, x -> abs(x) > cast(0.15 AS FLOAT)))").alias("v")), ["label"], "v", "s").select("label", F.explode(F.arrays_zip(F.col("s.indices").alias("idx"), F.col("s.values").alias("x"))).alias("e")).select("label", F.col("e.idx").alias("idx"), F.round(F.col("e.x").cast("double"), 5).alias("value")),
@@ -304,6 +316,26 @@ _DEN = f"SELECT vec_id AS id, row_number() OVER (ORDER BY {_DUCK['cosine']('a',
 _register("hybrid_rrf", _hybrid, f"SELECT id, round(s, 9) AS score FROM (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS s FROM (({_LEX}) UNION ALL ({_DEN})) GROUP BY id) ORDER BY s DESC, id LIMIT 10")
 
 
+def _joined_back(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")
+    return hybrid.joined_back(_hybrid(spark, d), docs, "doc_id")
+
+
+_register("rrf_joined_documents", _joined_back, f"SELECT d.doc_id, lang, source, score FROM ({SQL['hybrid_rrf']}) f JOIN documents d ON d.doc_id = f.id")
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    found = hybrid.bm25(docs, ["the", "of"], "doc_id")
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20)
+
+
+_BM = r"SELECT doc_id, len(w) AS n, len(list_filter(w, x -> x = 'the')) AS t0, len(list_filter(w, x -> x = 'of')) AS t1 FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), w -> w <> '') AS w FROM documents)"
+_BMS = f"SELECT count(*) AS rows, avg(n) AS mean, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM ({_BM})"
+_BMT = " + ".join(f"ln(1 + (rows - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))" for i in (0, 1))
+_register("bm25_topk", _bm25, f"SELECT id, score FROM (SELECT doc_id AS id, round({_BMT}, 6) AS score FROM ({_BM}), ({_BMS}) WHERE t0 + t1 > 0) ORDER BY score DESC, id LIMIT 20")
+
+
 def _maxsim_rank(spark: SparkSession, d: str) -> DataFrame:
     docs = _embeddings(spark, d).select("vec_id", F.expr(_tokens("embedding")).alias("tokens"))
     q = _first(spark, d, 5)
