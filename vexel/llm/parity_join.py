@@ -377,8 +377,8 @@ def _candidates(met: DataFrame, near: DataFrame, star: bool = False, every: bool
         sizes = sizes.withColumns({"largest": F.lit(None).cast("long"), "others": F.lit(1).cast("long")})
     else:
         each = met.groupBy("grp", "comp").count()
-        sizes = each.groupBy("grp").agg(F.sum("count").alias("all"), F.max_by("comp", "count").alias("largest"), F.max("count").alias("most"))
-        sizes = sizes.where(F.col("all") > TILE).select("grp", "all", "largest", (F.col("all") - F.col("most")).alias("others"))
+        sizes = each.groupBy("grp").agg(F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("most")).where(F.col("all") > TILE)
+        sizes = sizes.select("grp", "all", F.col("most.comp").alias("largest"), (F.col("all") - F.col("most.count")).alias("others"))
     sized = met.join(_small(sizes), "grp", "left")
     parts, slices = (F.ceil(F.col(c) / TILE).cast("int") for c in ("all", "others"))
     outside = F.col("node") == F.col("grp") if star else F.col("comp") != F.col("largest")
