@@ -163,7 +163,7 @@ def large(spark, tmp_path_factory):
     return spark.read.parquet(path), asked, order
 
 
-@pytest.mark.parametrize(("spec", "rows", "floor"), [(IndexSpec("flat"), 20_000, 0.95), (IndexSpec("flat", bit_width=2), 20_000, 0.9), (IndexSpec("ivf", lists=64), 20_000, 0.9), (IndexSpec("graph"), 4_000, 0.9)])
+@pytest.mark.parametrize(("spec", "rows", "floor"), [(IndexSpec("flat"), 20_000, 0.95), (IndexSpec("flat", bit_width=2), 20_000, 0.9), (IndexSpec("ivf", lists=64), 20_000, 0.9), (IndexSpec("graph"), 2_000, 0.9)])
 def test_recall_at_default_settings(spark, large, spec, rows, floor):
     """Of queries that the index doesn't hold; found ids are distinct."""
     df, asked, order = large

@@ -13,7 +13,7 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: flo
     """Neighbours of each point and the entry, the point nearest to the mean.
 
     Points are inserted in a seeded order: each is linked to a diverse choice of what a search for
-    it visits, and back; an overfull list is pruned again.
+    it visits, and back; a list that is half overfull is pruned again, and all are at the end.
     """
     n = len(points)
     entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin()) if n else 0
@@ -26,28 +26,30 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: flo
             links[p] = _diverse(points, p, visited, degree, alpha)
             for q in links[p]:
                 links[q].append(p)
-                if len(links[q]) > degree:
+                if len(links[q]) > degree + degree // 2:
                     links[q] = _diverse(points, q, links[q], degree, alpha)
         done.append(p)
+    links = [_diverse(points, q, x, degree, alpha) if len(x) > degree else x for q, x in enumerate(links)]
     return [np.asarray(sorted(set(x)), dtype=np.int32) for x in links], entry
 
 
 def _visit(points: np.ndarray, links: list, entry: int, target: np.ndarray, beam: int) -> list[int]:
-    dist = {entry: float(((points[entry] - target) ** 2).sum())}
-    heap, expanded = [(dist[entry], entry)], []
+    """Points met on the way to ``target``: the walk ends where the nearest ``beam`` of them have been left."""
+    first = float(((points[entry] - target) ** 2).sum())
+    seen, heap, best = {entry}, [(first, entry)], [-first]
     while heap:
         d, p = heapq.heappop(heap)
-        if len(expanded) >= beam and d > sorted(dist.values())[min(len(dist), beam) - 1]:
+        if len(best) >= beam and d > -best[0]:
             break
-        expanded.append(p)
-        new = [q for q in links[p] if q not in dist]
-        if new:
-            for q, x in zip(new, ((points[new] - target) ** 2).sum(axis=1).tolist(), strict=True):
-                dist[q] = x
+        new = [q for q in links[p] if q not in seen]
+        seen.update(new)
+        for q, x in zip(new, ((points[new] - target) ** 2).sum(axis=1).tolist() if new else [], strict=True):
+            if len(best) < beam or x < -best[0]:
                 heapq.heappush(heap, (x, q))
-        if len(expanded) >= 2 * beam:
-            break
-    return list(dist)
+                heapq.heappush(best, -x)
+                if len(best) > beam:
+                    heapq.heappop(best)
+    return list(seen)
 
 
 def _diverse(points: np.ndarray, p: int, candidates: list[int], degree: int, alpha: float) -> list[int]:
