@@ -42,3 +42,21 @@ def test_core_queries_match_duckdb(spark, name):
     want = [tuple(plain(v) for _, v in sorted(zip(expected.columns, r, strict=True))) for r in expected.fetchall()]
     got = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def agree(spark, name, rows, folder):
+    """A query's rows over a table of ``(vec_id, embedding, label)`` equal its SQL's, signs of zeros included."""
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet'")
+    expected = con.sql(entry.oracle_sql()[name])
+    df = entry.queries()[name](spark, str(folder))
+    got = [tuple(plain(r[c]) for c in expected.columns) for r in df.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, map(plain, expected.fetchall())))
+    return got
+
+
+@pytest.mark.parametrize("name", ["vector_sum_rollup", "vector_sum_cube"])
+def test_sums_that_round_to_zero_keep_their_sign(spark, tmp_path, name):
+    got = agree(spark, name, [(i, [-0.0001, 0.0001, 0.25, -0.25], 1) for i in range(3)], tmp_path)
+    assert any("-0.0" in repr(r) for r in got)

@@ -58,6 +58,16 @@ def _first(spark: SparkSession, d: str, n: int = 0) -> list[float]:
     return list(_embeddings(spark, d).where(F.col("vec_id") == n).first()["embedding"])
 
 
+def _rounded(x: str, places: int) -> str:
+    """``round`` in SQL; what it takes to zero keeps its sign, as in DuckDB."""
+    return f"transform(array({x}), r -> CASE WHEN round(r, {places}) = 0 THEN r * 0D ELSE round(r, {places}) END)[0]"
+
+
+def _rounded_all(array: str, places: int) -> str:
+    """The elements of an array as doubles, each rounded by :func:`_rounded`'s rule."""
+    return f"transform({array}, x -> CASE WHEN round(cast(x AS DOUBLE), {places}) = 0 THEN x * 0D ELSE round(cast(x AS DOUBLE), {places}) END)"
+
+
 def _paired(spark: SparkSession, d: str) -> DataFrame:
     """Every row with row 0 beside it as ``b``."""
     return _embeddings(spark, d).select("vec_id", F.col("embedding").alias("a"), vector(_first(spark, d)).alias("b"))
@@ -193,7 +203,7 @@ _KEYED = "SELECT label, vec_id % 3 AS third, unnest(embedding) AS x, generate_su
 for _kind, _sets in (("rollup", "(label, third, pos), (label, pos), (pos)"), ("cube", "(label, third, pos), (label, pos), (third, pos), (pos)")):
     _grouped(
         f"vector_sum_{_kind}",
-        lambda e, sets=getattr(aggregates, f"{_kind}_sets"): aggregates.vector_sum(e.withColumn("third", F.col("vec_id") % 3), ["label", "third"], "embedding", "value", sets(["label", "third"])).select("label", "third", F.col("grouping_id").cast("long").alias("grouping_id"), F.transform("value", lambda x: F.round(x.cast("double"), 3)).alias("value")),
+        lambda e, sets=getattr(aggregates, f"{_kind}_sets"): aggregates.vector_sum(e.withColumn("third", F.col("vec_id") % 3), ["label", "third"], "embedding", "value", sets(["label", "third"])).select("label", "third", F.col("grouping_id").cast("long").alias("grouping_id"), F.expr(_rounded_all("value", 3)).alias("value")),
         f"SELECT label, third, g::BIGINT AS grouping_id, list(round(v::FLOAT::DOUBLE, 3) ORDER BY pos) AS value FROM (SELECT label, third, grouping(label, third) AS g, pos, sum(x::DOUBLE) AS v FROM ({_KEYED}) GROUP BY GROUPING SETS ({_sets})) GROUP BY label, third, g",
     )
 _grouped(
