@@ -105,12 +105,14 @@ for _n in ("vec_normalize", "l2_normalize"):
 # whose last place is the wanted one. The exponent from log2 is put right where it is one off.
 _EXP = "floor(log2(abs(cast(x AS DOUBLE))))"
 _ADJ = f"({_EXP} + CASE WHEN pow(2D, {_EXP}) > abs(cast(x AS DOUBLE)) THEN -1 WHEN pow(2D, {_EXP} + 1) <= abs(cast(x AS DOUBLE)) THEN 1 ELSE 0 END)"
+#: Half of the least half-precision number: up to here the result is zero, of the number's own sign.
+_TINY = "2.98023223876953125E-8D"
 _MAGIC = f"(1.5D * pow(2D, greatest(-14, {_ADJ}) + 42))"
 _add(
     "to_half",
     "x FLOAT",
     "FLOAT",
-    f"CASE WHEN x IS NULL OR isnan(x) OR abs(x) = double('Infinity') THEN {_raise(repr('halfvec: null or non-finite element'))} WHEN x = 0 THEN x "
+    f"CASE WHEN x IS NULL OR isnan(x) OR abs(x) = double('Infinity') THEN {_raise(repr('halfvec: null or non-finite element'))} WHEN abs(cast(x AS DOUBLE)) <= {_TINY} THEN x * cast(0 AS FLOAT) "
     f"WHEN abs(cast(x AS DOUBLE)) >= 65520 THEN {_raise(f'''concat('halfvec: out of range: ', x)''')} ELSE cast((cast(x AS DOUBLE) + {_MAGIC}) - {_MAGIC} AS FLOAT) END",
 )
 _HALVES = FUNCTIONS["to_half"].body

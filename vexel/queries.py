@@ -220,7 +220,7 @@ _grouped(
 
 def _half_avg(spark: SparkSession, d: str) -> DataFrame:
     rows = _embeddings(spark, d).select("label", call("vector_to_halfvec", "embedding").alias("h"))
-    return aggregates.halfvec_avg(rows, ["label"], "h", "value").select("label", F.transform("value", lambda x: F.round(x.cast("double"), 3)).alias("value"))
+    return aggregates.halfvec_avg(rows, ["label"], "h", "value").select("label", F.expr(_rounded_all("value", 3)).alias("value"))
 
 
 _HALF_UNNEST = f"SELECT label, unnest({_HA}) AS x, generate_subscripts(a, 1) AS pos FROM (SELECT label, embedding AS a FROM embeddings)"
