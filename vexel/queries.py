@@ -229,7 +229,7 @@ _register("halfvec_avg_by_label", _half_avg, f"SELECT label, list(round(v::DOUBL
 
 def _half_sum(spark: SparkSession, d: str) -> DataFrame:
     rows = _embeddings(spark, d).select("label", call("vector_to_halfvec", "embedding").alias("h"))
-    return aggregates.halfvec_sum(rows, ["label"], "h", "value").select("label", F.transform("value", lambda x: F.round(x.cast("double"), 2)).alias("value"))
+    return aggregates.halfvec_sum(rows, ["label"], "h", "value").select("label", F.expr(_rounded_all("value", 2)).alias("value"))
 
 
 _register("halfvec_sum_by_label", _half_sum, f"SELECT label, list(round(v::DOUBLE, 2) ORDER BY pos) AS value FROM (SELECT label, pos, {_HALF.replace('x', 'm')} AS v FROM (SELECT label, pos, sum(x::DOUBLE)::FLOAT AS m FROM ({_HALF_UNNEST}) GROUP BY ALL)) GROUP BY label")
