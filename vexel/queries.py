@@ -112,7 +112,7 @@ _scalar("vec_zeros", "vec_zeros(vector_dims(a))", "list_transform(range(len(a)),
 _scalar("vec_check_dim", "vec_check_dim(a, 64)", "a")
 _scalar("array_to_vec", "array_to_vec(a)", "a")
 _scalar("float8_array_to_vec", "float8_array_to_vec(transform(a, x -> cast(x AS DOUBLE)))", "a")
-_scalar("int4_array_to_vec", "int4_array_to_vec(transform(a, x -> cast(x * 100 AS INT)))", "list_transform(a, x -> trunc(x * 100)::INTEGER::FLOAT)")
+_scalar("int4_array_to_vec", "int4_array_to_vec(transform(a, x -> cast(x * cast(100 AS FLOAT) AS INT)))", "list_transform(a, x -> trunc(x * 100)::INTEGER::FLOAT)")
 _scalar("jsonb_roundtrip", "jsonb_to_vec(vec_to_jsonb(a))", "a")
 _scalar("text_roundtrip", "to_vec(vec_to_text(a))", "a")
 _scalar("binary_quantize_text", "bitvec_to_text(binary_quantize(a))", "array_to_string(list_transform(a, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), '')")
