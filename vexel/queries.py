@@ -103,7 +103,7 @@ _scalar("vector_dims", "vector_dims(a)", "len(a)::INTEGER")
 _scalar("vector_norm", "round(vector_norm(a), 9)", f"round(sqrt({_ip('a', 'a')}), 9)")
 _SCALED = "transform(a, x -> cast(x * (1 + vec_id % 7) AS FLOAT))"
 _DSCALED = "list_transform(a, x -> (x * (1 + vec_id % 7))::FLOAT)"
-_scalar("vec_normalize", f"transform(vec_normalize({_SCALED}), x -> round(cast(x AS DOUBLE), 6))", f"list_transform({_DSCALED}, x -> round((x * (1 / sqrt({_ip(_DSCALED, _DSCALED)}))::FLOAT)::DOUBLE, 6))")
+_scalar("vec_normalize", _rounded_all(f"vec_normalize({_SCALED})", 6), f"list_transform({_DSCALED}, x -> round((x * (1 / sqrt({_ip(_DSCALED, _DSCALED)}))::FLOAT)::DOUBLE, 6))")
 for _n, _o in (("add", "+"), ("sub", "-"), ("mul", "*")):
     _scalar(f"vec_{_n}", f"vec_{_n}(a, b)", f"list_transform(range(1, len(a) + 1), i -> (a[i] {_o} b[i])::FLOAT)")
 _scalar("vector_concat", "vector_concat(a, b)", "list_concat(a, b)")
@@ -162,7 +162,7 @@ _scalar("bitvec_dims", "bitvec_dims(binary_quantize(a))", "len(a)::INTEGER")
 _scalar("to_bitvec", "bitvec_to_text(to_bitvec(bitvec_to_text(binary_quantize(a))))", "array_to_string(list_transform(a, x -> CASE WHEN x > 0 THEN '1' ELSE '0' END), '')")
 _scalar("vec_to_array", "vec_to_array(a)", "a")
 _scalar("vector_to_float4", "vector_to_float4(a, 64, false)", "a")
-_scalar("l2_normalize", f"transform(l2_normalize({_SCALED}), x -> round(cast(x AS DOUBLE), 6))", SQL["vec_normalize"].split("SELECT vec_id, ", 1)[1].rsplit(" AS value FROM (", 1)[0])
+_scalar("l2_normalize", _rounded_all(f"l2_normalize({_SCALED})", 6), SQL["vec_normalize"].split("SELECT vec_id, ", 1)[1].rsplit(" AS value FROM (", 1)[0])
 
 
 # Late interaction: 8 tokens of 8 elements each
