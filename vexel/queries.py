@@ -77,7 +77,7 @@ def _paired(spark: SparkSession, d: str) -> DataFrame:
 def _topk(metric: str) -> None:
     def query(spark: SparkSession, d: str) -> DataFrame:
         top = search.exact_topk(_embeddings(spark, d), _first(spark, d), 10, metric, "vec_id", "embedding")
-        return top.select("vec_id", F.round("dist", 9).alias("dist"))
+        return top.select("vec_id", F.expr(_rounded("dist", 9)).alias("dist"))
 
     dist = _DUCK[metric]("a", "b")
     _register(f"exact_{metric}_topk", query, f"SELECT vec_id, round({dist}, 9) AS dist FROM ({_PAIRS}) ORDER BY {dist}, vec_id LIMIT 10")
@@ -97,8 +97,8 @@ def _scalar(name: str, spark_expr: Callable[[], F.Column] | str, duck: str, out:
 
 
 for _m, _f in (("l2", "l2_distance"), ("l2_squared", "l2_squared_distance"), ("ip", "negative_inner_product"), ("cosine", "cosine_distance"), ("l1", "l1_distance")):
-    _scalar(_f, f"round({_f}(a, b), 9)", f"round({_DUCK[_m]('a', 'b')}, 9)")
-_scalar("inner_product", "round(inner_product(a, b), 9)", f"round({_ip('a', 'b')}, 9)")
+    _scalar(_f, _rounded(f"{_f}(a, b)", 9), f"round({_DUCK[_m]('a', 'b')}, 9)")
+_scalar("inner_product", _rounded("inner_product(a, b)", 9), f"round({_ip('a', 'b')}, 9)")
 _scalar("vector_dims", "vector_dims(a)", "len(a)::INTEGER")
 _scalar("vector_norm", "round(vector_norm(a), 9)", f"round(sqrt({_ip('a', 'a')}), 9)")
 _SCALED = "transform(a, x -> cast(x * (1 + vec_id % 7) AS FLOAT))"
@@ -128,7 +128,7 @@ _HA, _HB = f"list_transform(a, x -> {_HALF})", f"list_transform(b, x -> {_HALF})
 _scalar("halfvec_cast", "vector_to_halfvec(a)", _HA)
 _H = f"SELECT vec_id, {_HA} AS a, {_HB} AS b FROM ({_PAIRS})"
 for _m, _f in (("l2", "l2_distance"), ("l2_squared", "l2_squared_distance"), ("ip", "negative_inner_product"), ("cosine", "cosine_distance"), ("l1", "l1_distance")):
-    _scalar(f"halfvec_{_f}", f"round(halfvec_{_f}(vector_to_halfvec(a), vector_to_halfvec(b)), 9)", "0")
+    _scalar(f"halfvec_{_f}", _rounded(f"halfvec_{_f}(vector_to_halfvec(a), vector_to_halfvec(b))", 9), "0")
     SQL[f"halfvec_{_f}"] = f"SELECT vec_id, round({_DUCK[_m]('a', 'b')}, 9) AS value FROM ({_H})"
 _scalar("halfvec_norm", "round(halfvec_norm(vector_to_halfvec(a)), 9)", "0")
 SQL["halfvec_norm"] = f"SELECT vec_id, round(sqrt({_ip('a', 'a')}), 9) AS value FROM ({_H})"
@@ -144,7 +144,7 @@ _S = f"SELECT vec_id, {_DSP.format(v='a')} AS a, {_DSP.format(v='b')} AS b FROM
 for _m, _f in (("l2", "l2_distance"), ("l2_squared", "l2_squared_distance"), ("ip", "negative_inner_product"), ("cosine", "cosine_distance"), ("l1", "l1_distance")):
     _scalar(f"sparsevec_{_f}", f"round(sparsevec_{_f}({_SP.format(v='a')}, {_SP.format(v='b')}), 9) + 0D", "0")
     SQL[f"sparsevec_{_f}"] = f"SELECT vec_id, round({_DUCK[_m]('a', 'b')}, 9) + 0.0::DOUBLE AS value FROM ({_S})"
-_scalar("sparsevec_inner_product", f"round(sparsevec_inner_product({_SP.format(v='a')}, {_SP.format(v='b')}), 9)", "0")
+_scalar("sparsevec_inner_product", _rounded(f"sparsevec_inner_product({_SP.format(v='a')}, {_SP.format(v='b')})", 9), "0")
 SQL["sparsevec_inner_product"] = f"SELECT vec_id, round({_ip('a', 'b')}, 9) AS value FROM ({_S})"
 _scalar("sparsevec_norm", f"round(sparsevec_norm({_SP.format(v='a')}), 9)", "0")
 SQL["sparsevec_norm"] = f"SELECT vec_id, round(sqrt({_ip('a', 'a')}), 9) AS value FROM ({_S})"
@@ -154,7 +154,7 @@ _scalar("sparsevec_roundtrip", f"sparsevec_to_vector(to_sparsevec(sparsevec_to_t
 SQL["sparsevec_roundtrip"] = f"SELECT vec_id, list_transform(a, x -> x::FLOAT) AS value FROM ({_S})"
 
 
-_scalar("halfvec_inner_product", "round(halfvec_inner_product(vector_to_halfvec(a), vector_to_halfvec(b)), 9)", "0")
+_scalar("halfvec_inner_product", _rounded("halfvec_inner_product(vector_to_halfvec(a), vector_to_halfvec(b))", 9), "0")
 SQL["halfvec_inner_product"] = f"SELECT vec_id, round({_ip('a', 'b')}, 9) AS value FROM ({_H})"
 _scalar("halfvec_dims", "halfvec_dims(vector_to_halfvec(a))", "len(a)::INTEGER")
 _scalar("sparsevec_dims", f"sparsevec_dims({_SP.format(v='a')})", "len(a)::INTEGER")
@@ -179,8 +179,8 @@ def _duck_max_sim(pair: str) -> str:
 
 
 _COS = f"greatest(-1, least(1, {_ip('q', 'd')} / (sqrt({_ip('q', 'q')}) * sqrt({_ip('d', 'd')}))))"
-_scalar("max_sim", f"round(max_sim({_tokens('b')}, {_tokens('a')}), 9)", f"round({_duck_max_sim(_ip('q', 'd'))}, 9)")
-_scalar("max_sim_cosine", f"round(max_sim_cosine({_tokens('b')}, {_tokens('a')}), 9)", f"round({_duck_max_sim(_COS)}, 9)")
+_scalar("max_sim", _rounded(f"max_sim({_tokens('b')}, {_tokens('a')})", 9), f"round({_duck_max_sim(_ip('q', 'd'))}, 9)")
+_scalar("max_sim_cosine", _rounded(f"max_sim_cosine({_tokens('b')}, {_tokens('a')})", 9), f"round({_duck_max_sim(_COS)}, 9)")
 
 
 # Aggregates
@@ -189,7 +189,7 @@ def _grouped(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> No
 
 
 def _wide(column: str) -> F.Column:
-    return F.transform(column, lambda x: F.round(x.cast("double"), 5))
+    return F.expr(_rounded_all(column, 5))
 
 
 _UNNEST = "SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings"
@@ -213,7 +213,7 @@ _grouped(
 )
 _grouped(
     "sparsevec_sum_by_label",
-    lambda e: aggregates.sparsevec_sum(e.select("label", F.expr("named_struct('dim', 64, 'indices', transform(filter(transform(embedding, (x, i) -> struct(x AS x, i AS i)), z -> abs(z.x) > cast(0.15 AS FLOAT)), z -> z.i), 'values', filter(embedding, x -> abs(x) > cast(0.15 AS FLOAT)))").alias("v")), ["label"], "v", "s").select("label", F.explode(F.arrays_zip(F.col("s.indices").alias("idx"), F.col("s.values").alias("x"))).alias("e")).select("label", F.col("e.idx").alias("idx"), F.round(F.col("e.x").cast("double"), 5).alias("value")),
+    lambda e: aggregates.sparsevec_sum(e.select("label", F.expr("named_struct('dim', 64, 'indices', transform(filter(transform(embedding, (x, i) -> struct(x AS x, i AS i)), z -> abs(z.x) > cast(0.15 AS FLOAT)), z -> z.i), 'values', filter(embedding, x -> abs(x) > cast(0.15 AS FLOAT)))").alias("v")), ["label"], "v", "s").select("label", F.explode(F.arrays_zip(F.col("s.indices").alias("idx"), F.col("s.values").alias("x"))).alias("e")).select("label", F.col("e.idx").alias("idx"), F.expr(_rounded("cast(e.x AS DOUBLE)", 5)).alias("value")),
     f"SELECT label, (pos - 1)::INTEGER AS idx, round(sum(x::DOUBLE)::FLOAT::DOUBLE, 5) AS value FROM ({_UNNEST}) WHERE abs(x) > 0.15::FLOAT GROUP BY ALL HAVING sum(x::DOUBLE)::FLOAT <> 0",
 )
 
@@ -370,7 +370,7 @@ def _indexed(name: str, spec: IndexSpec, change: str | None = None, sql_filter:
         if change == "delete":
             index = index.delete(e.where("vec_id % 5 = 0").select("vec_id"))
         top = index.search(e, _first(spark, d), 10, id_col="vec_id", vector_col="embedding", exhaustive=True)
-        return top.select("vec_id", F.round("dist", 9).alias("dist"))
+        return top.select("vec_id", F.expr(_rounded("dist", 9)).alias("dist"))
 
     dist = _DUCK[spec.metric]("a", "b")
     _register(name, query, f"SELECT vec_id, round({dist}, 9) AS dist FROM ({_PAIRS}) WHERE {sql_filter} ORDER BY {dist}, vec_id LIMIT 10")
