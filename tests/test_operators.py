@@ -336,3 +336,23 @@ def test_whole_distance_join_matches_brute_force(spark, tmp_path):
     true = {(i, j) for i in range(120) for j in range(i + 1, 120) if dist[i, j] <= 1.1}
     found = [tuple(r) for r in QUERIES["distance_join_whole"](spark, str(tmp_path)).collect()]
     assert len(found) == len(set(found)) and set(found) == true and any(i >= 40 for i, _ in true)
+
+
+@pytest.mark.parametrize("metric,limit", [("l2", 1.1), ("l2", 0.0), ("cosine", 0.5), ("l1", 2.0)])
+def test_distance_joins_in_blocks_match_brute_force(spark, monkeypatch, metric, limit):
+    """Blocks of a few rows, copies, repeated ids, very long vectors, NaN and nulls; the exact distances come along."""
+    rng = np.random.default_rng(5)
+    points = (rng.standard_normal((90, 8)) / 3).astype(np.float32)
+    points[70:75], points[80], points[81, 2] = points[3], 1e6, np.nan
+    ids = [*range(88), 5, 5]
+    rows = [(i, p.tolist()) for i, p in zip(ids, points, strict=True)] + [(None, points[0].tolist()), (500, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    dist = search.pairwise(metric, points.astype(float), points.astype(float))
+    near = [(ids[a], ids[b], dist[a, b]) for a in range(90) for b in range(90) if dist[a, b] <= limit]
+    monkeypatch.setattr(search, "JOIN_ROWS", 10)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 600)
+    found = search.within(df.select(F.col("id").alias("left_id"), F.col("vector").alias("a")), df.select(F.col("id").alias("right_id"), F.col("vector").cast("array<double>").alias("b")), limit, metric)
+    assert sorted(map(tuple, found.collect())) == sorted(near)
+    whole = search.within_self(df, limit, metric)
+    assert sorted(map(tuple, whole.collect())) == sorted((a, b, d) for a, b, d in near if a < b)
+    assert whole.rdd.getNumPartitions() > 1

@@ -18,6 +18,9 @@ METRICS = {"l2": "l2_distance", "l2_squared": "l2_squared_distance", "ip": "nega
 QUERY_BLOCK = 4096
 #: Allowed or deleted ids joined by broadcast at most.
 BROADCAST_IDS = 1_000_000
+#: A distance join's pairs of blocks at most, while the left blocks stay within so many bytes; rows of a
+#: block at least, about; rows multiplied at a time.
+JOIN_CELLS, BLOCK_BYTES, JOIN_ROWS, TILE = 128, 64_000_000, 4096, 2048
 
 
 def distance(metric: str, a: Column | str, b: Column | str) -> Column:
@@ -180,42 +183,144 @@ def knn_many(df: DataFrame, queries: Sequence[Sequence[float]], k: int, bit_widt
 def within(left: DataFrame, right: DataFrame, limit: float, metric: str = "l2", left_id: str = "left_id", right_id: str = "right_id", left_vector: str = "a", right_vector: str = "b") -> DataFrame:
     """Distance-threshold join: ``(left_id, right_id, dist)`` of all pairs no farther apart than ``limit``.
 
-    The left side goes to the tasks in blocks of :data:`QUERY_BLOCK`; each task scores its right
-    rows against a block with array arithmetic, so only pairs within the limit are made into rows.
-    For ``l2`` rows whose norms alone differ by more are passed over first. Cost grows with the
-    product of the sides. Rows with a null id or vector, and NaN distances, take no part.
+    Both sides are dealt into blocks by id and each pair of blocks meets in one task, which holds
+    the left block, takes the right one as it comes and makes only pairs within the limit into
+    rows. For ``l2`` matrix products tell which pairs may be near, and these alone are measured
+    exactly; rows whose norms differ by more are passed over. Cost grows with the product of the
+    sides. Rows with a null id or vector, and NaN distances, take no part.
     """
-    asked = left.where(F.col(left_vector).isNotNull() & F.col(left_id).isNotNull()).select(F.col(left_id).cast("long").alias("q"), F.col(left_vector).cast("array<double>").alias("v"))
-    rows = right.where(F.col(right_vector).isNotNull() & F.col(right_id).isNotNull()).select(F.col(right_id).cast("long").alias("id"), F.col(right_vector).cast("array<double>").alias("v"))
-    schema = f"{left_id} long, {right_id} long, dist double"
-    found = None
-    for ids, points in blocks_of(asked):
-        one = rows.mapInArrow(_local_within(ids, points, limit, metric, (left_id, right_id)), schema)
-        found = one if found is None else found.union(one)
-    return left.sparkSession.createDataFrame([], schema) if found is None else found
+    lefts, rights = _keyed(left, left_id, left_vector), _keyed(right, right_id, right_vector)
+    (n, held), m = _extent(lefts), _extent(rights)[0]
+    cells = min(JOIN_CELLS, max(1, n * m // JOIN_ROWS**2))
+    down = max(1, round((cells * n / max(m, 1)) ** 0.5), -(-held // BLOCK_BYTES))
+    across = max(1, cells // down)
+    lefts = lefts.select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("_c"), "*").select((_block(down) * across + F.col("_c")).alias("cell"), F.lit(0).alias("side"), "id", "v")
+    rights = rights.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_c"), "*").select((F.col("_c") * across + _block(across)).alias("cell"), F.lit(1).alias("side"), "id", "v")
+    return _met(lefts, rights, down * across, _local_within(limit, metric, (left_id, right_id)), f"{left_id} long, {right_id} long, dist double")
 
 
-def _local_within(ids: np.ndarray, queries: np.ndarray, limit: float, metric: str, names: tuple[str, str]):
-    norms = np.sqrt((queries * queries).sum(axis=1))
-    order = np.argsort(norms, kind="stable")
-    ids, queries, norms = ids[order], queries[order], norms[order]
+def within_self(rows: DataFrame, limit: float, metric: str = "l2", id_col: str = "id", vector_col: str = "vector", left_id: str = "left_id", right_id: str = "right_id") -> DataFrame:
+    """:func:`within` of a table and itself, each pair of different ids once, the smaller on the left."""
+    keyed = _keyed(rows, id_col, vector_col)
+    n, held = _extent(keyed)
+    blocks = max(1, min(int((2 * JOIN_CELLS) ** 0.5), n // JOIN_ROWS), -(-held // BLOCK_BYTES))
+    keyed = keyed.withColumn("_b", _block(blocks))
+    lefts = keyed.select(F.explode(F.sequence("_b", F.lit(blocks - 1))).alias("_c"), "*").select((F.col("_b") * blocks + F.col("_c")).alias("cell"), F.lit(0).alias("side"), "id", "v")
+    rights = keyed.select(F.explode(F.sequence(F.lit(0), "_b")).alias("_c"), "*").select((F.col("_c") * blocks + F.col("_b")).alias("cell"), F.lit(1).alias("side"), "id", "v")
+    return _met(lefts, rights, blocks * (blocks + 1) // 2, _local_within(limit, metric, (left_id, right_id), blocks), f"{left_id} long, {right_id} long, dist double")
+
+
+def _keyed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``(id, v)`` of rows with both; vectors stay single where they are."""
+    single = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    return df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+
+
+def _extent(keyed: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``(id, v)``."""
+    width = 4 if keyed.schema["v"].dataType.simpleString() == "array<float>" else 8
+    n, elements = keyed.agg(F.count("*"), F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()
+    return n, width * elements
+
+
+def _block(n: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+def _met(lefts: DataFrame, rights: DataFrame, cells: int, task, schema: str) -> DataFrame:
+    """Rows of each cell in one task, the left side's first."""
+    if lefts.schema["v"].dataType != rights.schema["v"].dataType:
+        lefts, rights = (x.withColumn("v", F.col("v").cast("array<double>")) for x in (lefts, rights))
+    return lefts.union(rights).repartition(cells, "cell").sortWithinPartitions("cell", "side").mapInArrow(task, schema)
+
+
+def _local_within(limit: float, metric: str, names: tuple[str, str], blocks: int = 0):
+    """Joins cell after cell. With ``blocks``, the cells are pairs of blocks of one table, of which each pair of rows counts once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, tiles = None, [], None
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                rows = part.column(0).to_numpy()
-                points = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                if len(points) != len(rows) * queries.shape[1]:
-                    raise ValueError("different dimensions")
-                points = points.reshape(len(rows), -1)
-                near = slice(0, len(ids))
-                if metric == "l2" and len(rows):
-                    size = np.sqrt((points * points).sum(axis=1))
-                    slack = limit + 1e-9 * (1 + size.max())
-                    near = slice(np.searchsorted(norms, size.min() - slack), np.searchsorted(norms, size.max() + slack, side="right"))
-                dist = pairwise(metric, queries[near], points)
-                q, r = np.nonzero(dist <= limit)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[near][q]), pa.array(rows[r]), pa.array(dist[q, r])], names=[*names, "dist"])
+            keys = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                here, side = divmod(int(keys[a]), 2)
+                if here != cell:
+                    cell, parts, tiles = here, [], None
+                part = batch.slice(a, b - a)
+                if not side:
+                    parts.append(_vectors(part))
+                    continue
+                if not parts:
+                    continue
+                tiles = _tiles(parts) if tiles is None else tiles
+                diagonal = blocks > 0 and cell // blocks == cell % blocks
+                for c in range(0, part.num_rows, TILE):
+                    ids, points = _vectors(part.slice(c, TILE))
+                    norms = _norms(points)
+                    for own, queries, sizes in tiles:
+                        if queries.shape[1] != points.shape[1]:
+                            raise ValueError("different dimensions")
+                        for q, r, dist in _near(queries, sizes, points, norms, limit, metric):
+                            q, r = own[q], ids[r]
+                            if blocks:
+                                once = q < r if diagonal else q != r
+                                q, r, dist = np.minimum(q, r)[once], np.maximum(q, r)[once], dist[once]
+                            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(dist)], names=[*names, "dist"])
 
     return task
+
+
+def _vectors(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of ``(cell, side, id, v)``."""
+    sizes = np.diff(part.column(3).offsets.to_numpy())
+    if (sizes != sizes[0]).any():
+        raise ValueError("different dimensions")
+    return part.column(2).to_numpy(), part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+
+
+def _norms(points: np.ndarray) -> np.ndarray:
+    wide = points.astype(float)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt((wide * wide).sum(axis=1))
+
+
+def _tiles(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and norms of a block in order of the norms, in tiles."""
+    if len({p.shape[1] for _, p in parts}) > 1:
+        raise ValueError("different dimensions")
+    ids, points = np.concatenate([i for i, _ in parts]), np.concatenate([p for _, p in parts])
+    norms = _norms(points)
+    order = np.argsort(norms, kind="stable")
+    return [(ids[at], points[at], norms[at]) for at in (order[a : a + TILE] for a in range(0, len(order), TILE))]
+
+
+def _near(queries: np.ndarray, sizes: np.ndarray, points: np.ndarray, norms: np.ndarray, limit: float, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and exact distances of the pairs within the limit, a bounded number at a time."""
+    top = sizes.max() + norms.max()
+    if metric != "l2" or not 0 <= limit < np.inf or not top < 1e100:
+        for a in range(0, len(queries), 256):
+            dist = pairwise(metric, queries[a : a + 256].astype(float), points.astype(float))
+            q, r = np.nonzero(dist <= limit)
+            yield q + a, r, dist[q, r]
+        return
+    slack = limit + 1e-9 * (1 + top)
+    if sizes.min() - norms.max() > slack or norms.min() - sizes.max() > slack:
+        return
+    # Half the squared distance by one product of vectors with their squared norms beside them; what
+    # its rounding can hide is let through. Where single precision would hide much, it's double.
+    wide = (queries.shape[1] + 8) * top**2
+    kind, unit = (np.float32, 2.0**-23) if wide * 2.0**-23 <= 1e-3 * limit**2 and 1e-10 < top < 1e10 else (np.float64, 2.0**-52)
+    x = np.column_stack([queries, -(sizes**2) / 2, np.ones(len(queries))]).astype(kind)
+    y = np.column_stack([points, np.ones(len(points)), -(norms**2) / 2]).astype(kind)
+    maybe = np.flatnonzero((x @ y.T).ravel() >= kind(-(limit**2) / 2 - wide * unit))
+    for a in range(0, len(maybe), 32_768):
+        q, r = np.divmod(maybe[a : a + 32_768], len(points))
+        apart = (queries[q].astype(float) - points[r]).T.copy()
+        dist = np.zeros(len(q))
+        for d in apart:
+            dist += d * d
+        dist = np.sqrt(dist)
+        found = dist <= limit
+        yield q[found], r[found], dist[found]

@@ -269,16 +269,16 @@ def _allowed(spark: SparkSession, d: str) -> DataFrame:
 _register("allowlist_topk", _allowed, f"SELECT vec_id, round({_L2}, 9) AS dist FROM ({_PAIRS}) WHERE vec_id < 300 AND vec_id % 7 = 0 ORDER BY {_L2}, vec_id LIMIT 10")
 
 
-def _threshold(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+def _threshold(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of every 20th row with any row of a greater id; the whole table is joined by ``distance_join_whole``."""
     e = _embeddings(spark, d)
-    left = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"))
+    left = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"))
     right = e.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("b"))
     return search.within(left, right, 1.1).where("left_id < right_id").select("left_id", "right_id")
 
 
 _register("distance_join", _threshold, f"SELECT l.vec_id AS left_id, r.vec_id AS right_id FROM embeddings l, embeddings r WHERE l.vec_id % 20 = 0 AND l.vec_id < r.vec_id AND {_DUCK['l2']('l.embedding', 'r.embedding')} <= 1.1")
-_register("distance_join_whole", lambda spark, d: _threshold(spark, d, 1))
+_register("distance_join_whole", lambda spark, d: search.within_self(_embeddings(spark, d), 1.1, "l2", "vec_id", "embedding").select("left_id", "right_id"))
 
 
 def _centroids(spark: SparkSession, d: str) -> DataFrame:
