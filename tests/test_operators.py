@@ -356,3 +356,23 @@ def test_distance_joins_in_blocks_match_brute_force(spark, monkeypatch, metric,
     whole = search.within_self(df, limit, metric)
     assert sorted(map(tuple, whole.collect())) == sorted((a, b, d) for a, b, d in near if a < b)
     assert whole.rdd.getNumPartitions() > 1
+
+
+def test_every_point_of_a_graph_can_be_reached(spark, tmp_path):
+    """Copies beyond a list's length, far groups and a single point; an exhaustive search finds all rows."""
+    from vexel.index import graph
+
+    rng = np.random.default_rng(2)
+    far = rng.standard_normal((3, 16)) * 50
+    points = np.concatenate([np.repeat(rng.standard_normal((1, 16)), 200, axis=0), *(f + rng.standard_normal((150, 16)) / 100 for f in far), np.full((1, 16), 500.0)]).astype(np.float32)
+    links, entry = graph.build(points)
+    seen, todo = {entry}, [entry]
+    while todo:
+        new = set(links[todo.pop()].tolist()) - seen
+        seen |= new
+        todo += new
+    assert len(seen) == len(points) == len(links)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<float>")
+    index = build_index(df, str(tmp_path / "g"), IndexSpec("graph", "l2"))
+    assert index.search(df, points[0].tolist(), len(points), exhaustive=True).count() == len(points)
+    assert graph.build(points[:1])[1] == 0 and graph.build(points[:0]) == ([], 0)

@@ -7,59 +7,77 @@ import heapq
 import numpy as np
 
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
+#: Points whose distances to all others are worked out at once; far points offered to each beside its nearest.
+BLOCK, FAR = 512, 64
 
 
 def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 42) -> tuple[list[np.ndarray], int]:
     """Neighbours of each point and the entry, the point nearest to the mean.
 
-    Points are inserted in a seeded order: each is linked to a diverse choice of what a search for
-    it visits, and back; a list that is half overfull is pruned again, and all are at the end.
+    Each point is linked to a diverse choice of its ``2 * beam`` nearest, found by matrix products,
+    and of some points drawn by a seed, and back; overfull lists are pruned again. Then what can't be
+    reached from the entry is linked to, so that a walk can come to every point.
     """
     n = len(points)
-    entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin()) if n else 0
+    if not n:
+        return [], 0
+    entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    rng = np.random.default_rng(seed)
+    squares = (points * points).sum(axis=1)
+    near = min(2 * beam, n - 1)
     links: list[list[int]] = [[] for _ in range(n)]
-    order = np.random.default_rng(seed).permutation(n)
-    done: list[int] = []
-    for p in np.concatenate([[entry], order[order != entry]]).astype(int) if n else []:
-        if done:
-            visited = _visit(points, links, entry, points[p], beam)
-            links[p] = _diverse(points, p, visited, degree, alpha)
-            for q in links[p]:
-                links[q].append(p)
-                if len(links[q]) > degree + degree // 2:
-                    links[q] = _diverse(points, q, links[q], degree, alpha)
-        done.append(p)
-    links = [_diverse(points, q, x, degree, alpha) if len(x) > degree else x for q, x in enumerate(links)]
+    for first in range(0, n, BLOCK):
+        own = np.arange(first, min(first + BLOCK, n))
+        dist = squares[None, :] - 2 * (points[own] @ points.T)
+        dist[np.arange(len(own)), own] = np.inf
+        nearest = np.argpartition(dist, near - 1, axis=1)[:, :near] if near else np.zeros((len(own), 0), dtype=np.int64)
+        far = rng.integers(0, n, (len(own), FAR))
+        for p, x, y in zip(own.tolist(), nearest, far, strict=True):
+            links[p] = _diverse(points, p, np.concatenate([x, y]), degree, alpha)
+    back: list[list[int]] = [[] for _ in range(n)]
+    for p, x in enumerate(links):
+        for q in x:
+            back[q].append(p)
+    for q in range(n):
+        both = [*links[q], *back[q]]
+        links[q] = _diverse(points, q, np.asarray(both, dtype=np.int64), degree, alpha) if len(both) > degree else both
+    _connect(points, squares, links, entry)
     return [np.asarray(sorted(set(x)), dtype=np.int32) for x in links], entry
 
 
-def _visit(points: np.ndarray, links: list, entry: int, target: np.ndarray, beam: int) -> list[int]:
-    """Points met on the way to ``target``: the walk ends where the nearest ``beam`` of them have been left."""
-    first = float(((points[entry] - target) ** 2).sum())
-    seen, heap, best = {entry}, [(first, entry)], [-first]
-    while heap:
-        d, p = heapq.heappop(heap)
-        if len(best) >= beam and d > -best[0]:
-            break
-        new = [q for q in links[p] if q not in seen]
-        seen.update(new)
-        for q, x in zip(new, ((points[new] - target) ** 2).sum(axis=1).tolist() if new else [], strict=True):
-            if len(best) < beam or x < -best[0]:
-                heapq.heappush(heap, (x, q))
-                heapq.heappush(best, -x)
-                if len(best) > beam:
-                    heapq.heappop(best)
-    return list(seen)
+def _connect(points: np.ndarray, squares: np.ndarray, links: list[list[int]], entry: int) -> None:
+    """Link points that can't be reached from the entry to the nearest that can, one group after the other."""
+    reached, todo = np.zeros(len(points), dtype=bool), [entry]
+    reached[entry] = True
+    lost = 0
+    while True:
+        while todo:
+            for q in links[todo.pop()]:
+                if not reached[q]:
+                    reached[q] = True
+                    todo.append(q)
+        while lost < len(points) and reached[lost]:
+            lost += 1
+        if lost == len(points):
+            return
+        held = np.flatnonzero(reached)
+        links[held[int((squares[held] - 2 * (points[held] @ points[lost])).argmin())]].append(lost)
+        reached[lost] = True
+        todo.append(lost)
 
 
-def _diverse(points: np.ndarray, p: int, candidates: list[int], degree: int, alpha: float) -> list[int]:
+def _diverse(points: np.ndarray, p: int, candidates: np.ndarray, degree: int, alpha: float) -> list[int]:
     """Nearest candidates of which none is much nearer to an earlier choice than to ``p``."""
-    pool = np.asarray(sorted(set(candidates) - {p}), dtype=np.int64)
+    pool = np.unique(candidates)
+    pool = pool[pool != p]
     if not len(pool):
         return []
-    dist = ((points[pool] - points[p]) ** 2).sum(axis=1)
+    moved = points[pool] - points[p]
+    dist = (moved * moved).sum(axis=1)
     order = np.argsort(dist, kind="stable")
-    pool, dist = pool[order], dist[order]
+    pool, dist, moved = pool[order], dist[order], moved[order]
+    # Of squared distances between candidates: those that don't rule each other out.
+    apart = alpha * (dist[:, None] + dist[None, :] - 2 * (moved @ moved.T)) > dist[None, :]
     alive = np.ones(len(pool), dtype=bool)
     chosen: list[int] = []
     for k in range(len(pool)):
@@ -67,8 +85,7 @@ def _diverse(points: np.ndarray, p: int, candidates: list[int], degree: int, alp
             chosen.append(int(pool[k]))
             if len(chosen) == degree:
                 break
-            between = ((points[pool] - points[pool[k]]) ** 2).sum(axis=1)
-            alive &= alpha * between > dist
+            alive &= apart[k]
     return chosen
 
 

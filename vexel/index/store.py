@@ -185,7 +185,7 @@ class Index:
         return found
 
     def _walk(self, query_ids: np.ndarray, queries: np.ndarray, n: int, allowed) -> DataFrame:
-        """Graph search in every shard. Filters can't steer a walk: with allowed ids, shards are scored in full.
+        """Graph search in every shard. Filters can't steer a walk: with allowed ids, shards are scored in full, as where all rows are wanted.
 
         A shard's beam is widened by what is hidden of that shard.
         """
@@ -199,19 +199,21 @@ class Index:
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
+                for r in (batch.slice(at, 1).to_pylist()[0] for at in range(batch.num_rows)):
                     ids, scales = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["scales"], "<f4")
                     codes = quantizer.unpack(r["codes"])
                     offsets, neighbours = np.frombuffer(r["offsets"], "<i8"), np.frombuffer(r["neighbours"], "<i4")
                     hidden = np.isin(ids, dead)
                     for i, q in zip(query_ids.tolist(), queries, strict=True):
                         score = lambda at: quantizer.scores(q, codes[at], scales[at])  # noqa: E731, B023
-                        if whole:
+                        wanted = n + n_dead + int(hidden.sum())
+                        if whole or wanted >= len(ids):
                             live = np.flatnonzero(~hidden)
-                            found = list(zip(score(live).tolist(), live.tolist(), strict=True))
+                            scores = score(live)
                         else:
-                            found = graph.search(score, len(ids), offsets, neighbours, r["entry"], n + n_dead + int(hidden.sum()), hidden)
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([int(ids[p]) for _, p in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], names=["qid", "row_id", "score"])
+                            found = graph.search(score, len(ids), offsets, neighbours, r["entry"], wanted, hidden)
+                            live, scores = np.asarray([p for _, p in found], dtype=np.int64), np.asarray([s for s, _ in found], dtype=float)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(live), i, dtype=np.int64)), pa.array(ids[live]), pa.array(scores)], names=["qid", "row_id", "score"])
 
         found = shards.mapInArrow(task, _FOUND)
         return with_ids(with_ids(found, gone if n_dead else None, "row_id", keep=False), allowed, "row_id")
@@ -232,8 +234,13 @@ class Index:
             n, probes = max(k, self.manifest["rows"] + self.manifest["inserted"]), max(1, len(self.manifest["centers"]))
         most = min(config.max_scan_tuples, max(1, self.manifest["rows"] + self.manifest["inserted"]))
         while True:
+            if exhaustive:
+                near = self._candidates(np.zeros(1, dtype=np.int64), np.asarray([query], dtype=np.float32), n, allowed, probes).select("row_id").distinct()
+            else:
+                near = self.candidates(query, n, allowed, probes).select("row_id")
             # At most n candidate rows.
-            near = F.broadcast(self.candidates(query, n, allowed, probes).select(F.col("row_id").alias("_row")))
+            near = near.withColumnRenamed("row_id", "_row")
+            near = F.broadcast(near) if n <= BROADCAST_IDS else near
             rows = base.join(near, F.col(id_col) == F.col("_row")).drop("_row")
             rows = rows.where(where) if where else rows
             top = rows.withColumn("dist", distance(self.spec.metric, F.col(vector_col), vector(query))).orderBy(F.col("dist").asc_nulls_last(), id_col).limit(k)
@@ -487,7 +494,8 @@ def _sharded(rows: DataFrame, n: int, parts: int, first: int, quantizer: Quantiz
     """Graph shards of rows ``(row_id, v)``, ``parts`` of them or of about :data:`GRAPH_SHARD_ROWS`, numbered from ``first``."""
     shards = parts if parts > 0 else max(1, -(-n // GRAPH_SHARD_ROWS))
     keyed = rows.withColumn("shard", (F.pmod(F.xxhash64("row_id"), F.lit(shards)) + first).cast("int"))
-    return keyed.groupBy("shard").applyInArrow(_graph_shard(quantizer, spec), _GRAPH)
+    # As many partitions as shards: else several are built one after the other where they fit together by size.
+    return keyed.repartition(shards, "shard").groupBy("shard").applyInArrow(_graph_shard(quantizer, spec), _GRAPH)
 
 
 def _graph_shard(quantizer: Quantizer, spec: IndexSpec):
