@@ -376,3 +376,31 @@ def test_every_point_of_a_graph_can_be_reached(spark, tmp_path):
     index = build_index(df, str(tmp_path / "g"), IndexSpec("graph", "l2"))
     assert index.search(df, points[0].tolist(), len(points), exhaustive=True).count() == len(points)
     assert graph.build(points[:1])[1] == 0 and graph.build(points[:0]) == ([], 0)
+
+
+def test_batch_scoring_stays_within_bounded_arrays():
+    """4096 queries over a batch of 10,000 rows take no arrays of queries times rows; what is found is the plain answer, ties by id."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from vexel.index import store
+    from vexel.quantize import Quantizer
+
+    rng = np.random.default_rng(4)
+    quantizer, ids = Quantizer(8, 4), np.arange(4096)
+    points, queries = rng.standard_normal((10_000, 8)).astype(np.float32), rng.standard_normal((4096, 8)).astype(np.float32)
+    points[5000:] = points[:5000]
+    codes, scale = quantizer.encode(points)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(scale), pa.array(quantizer.pack(codes), pa.binary())], names=["row_id", "scale", "codes"])
+    tracemalloc.start()
+    got = list(store._score(quantizer, ids, queries, 5, None)(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    got = sorted(zip(*(np.concatenate([b.column(i).to_numpy() for b in got]).tolist() for i in range(3)), strict=True))
+    assert len(got) == 5 * 4096
+    for q in (0, 1, 4095):
+        scores = (quantizer.levels[codes] * scale[:, None]) @ queries[q]
+        rows = [r for i, r, _ in got if i == q]
+        assert np.sort(scores[rows]) == pytest.approx(np.sort(scores)[-5:], abs=1e-5)
+        assert len({r % 5000 for r in rows}) == 3 and sum(r < 5000 for r in rows) == 3

@@ -26,7 +26,7 @@ from vexel.config import SearchConfig
 from vexel.functions import vector
 from vexel.index import graph, kmeans
 from vexel.quantize import Quantizer
-from vexel.operators.search import BROADCAST_IDS, QUERY_BLOCK, blocks_of, distance, parse_allowlist, with_ids
+from vexel.operators.search import BROADCAST_IDS, QUERY_BLOCK, QUERY_STRIP, blocks_of, distance, least, parse_allowlist, with_ids
 
 FORMAT = 2
 KINDS = ("flat", "ivf", "graph", "colbert")
@@ -40,6 +40,8 @@ _CODES = "row_id long, scale float, codes binary"
 _FOUND = "qid long, row_id long, score double"
 #: Estimates that a task keeps at once, for all queries of a block together.
 _KEPT = 16_000_000
+#: Rows scored at a time.
+_SCORED = 2048
 _GRAPH = "shard int, entry int, ids binary, scales binary, codes array<binary>, offsets binary, neighbours binary"
 
 
@@ -372,29 +374,25 @@ def _score(quantizer: Quantizer, ids: np.ndarray, queries: np.ndarray, n: int, p
     """Scan of codes for a block of queries, each with the rows of the cells that it probes; the ``n`` best of each stay."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.zeros((len(ids), 0))
-        who = np.zeros((len(ids), 0), dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        strips = [slice(a, a + QUERY_STRIP) for a in range(0, len(ids), QUERY_STRIP)]
+        # Scores are negative in here, so that the least are the best.
+        best = [(np.zeros((len(ids[s]), 0)), np.zeros((len(ids[s]), 0), dtype=np.int64)) for s in strips]
+        for batch in (whole.slice(a, _SCORED) for whole in batches for a in range(0, whole.num_rows, _SCORED)):
             rows, scale = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            codes = quantizer.unpack(batch.column(2).to_pylist())
+            points = quantizer.levels[quantizer.unpack(batch.column(2).to_pylist())] * scale[:, None]
             cell = batch.column(3).to_numpy() if probed is not None else np.zeros(len(rows), dtype=np.int64)
-            scores = np.full((len(ids), len(rows)), -np.inf)
-            for c in np.unique(cell):
-                at = np.flatnonzero(cell == c)
-                asking = np.flatnonzero(probed[:, c]) if probed is not None else np.arange(len(ids))
-                scores[np.ix_(asking, at)] = queries[asking] @ (quantizer.levels[codes[at]] * scale[at, None]).T
-            scores = np.concatenate([best, scores], axis=1)
-            found = np.concatenate([who, np.broadcast_to(rows, (len(ids), len(rows)))], axis=1)
-            if scores.shape[1] > 2 * n:
-                at = np.lexsort((found, -scores), axis=1)[:, :n]
-                scores, found = np.take_along_axis(scores, at, axis=1), np.take_along_axis(found, at, axis=1)
-            best, who = scores, found
-        at = np.lexsort((who, -best), axis=1)[:, :n]
-        best, who = np.take_along_axis(best, at, axis=1), np.take_along_axis(who, at, axis=1)
-        some = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[some]), pa.array(who[some]), pa.array(best[some])], names=["qid", "row_id", "score"])
+            for i, s in enumerate(strips):
+                scores = np.full((len(ids[s]), len(rows)), np.inf)
+                for c in np.unique(cell):
+                    at = np.flatnonzero(cell == c)
+                    asking = np.flatnonzero(probed[s, c]) if probed is not None else np.arange(len(scores))
+                    scores[np.ix_(asking, at)] = -(queries[s][asking] @ points[at].T)
+                kept = np.concatenate([best[i][0], scores], axis=1), np.concatenate([best[i][1], np.broadcast_to(rows, scores.shape)], axis=1)
+                best[i] = least(*kept, n) if kept[0].shape[1] > 2 * n else kept
+        for s, kept in zip(strips, best, strict=True):
+            scores, who = least(*kept, n)
+            some = np.isfinite(scores)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[s, None], scores.shape)[some]), pa.array(who[some]), pa.array(-scores[some])], names=["qid", "row_id", "score"])
 
     return task
 

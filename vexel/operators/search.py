@@ -16,6 +16,8 @@ from vexel.quantize import Quantizer
 METRICS = {"l2": "l2_distance", "l2_squared": "l2_squared_distance", "ip": "negative_inner_product", "cosine": "cosine_distance", "l1": "l1_distance"}
 #: Queries sent to the tasks at a time; more are searched block by block.
 QUERY_BLOCK = 4096
+#: Queries of a block that are scored at a time, which bounds a task's arrays.
+QUERY_STRIP = 256
 #: Allowed or deleted ids joined by broadcast at most.
 BROADCAST_IDS = 1_000_000
 #: A distance join's pairs of blocks at most, while the left blocks stay within so many bytes; rows of a
@@ -92,10 +94,22 @@ def pairwise(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray
         return np.where(norm > 0, 1 - np.clip(dot / norm, -1, 1), np.nan)
 
 
+def least(keys: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the ``k`` smallest keys, in no order, and who has them; ties go to the smaller id, NaN comes last."""
+    if keys.shape[1] <= k:
+        return keys, who
+    kept = keys <= np.partition(keys, k - 1, axis=1)[:, k - 1, None]
+    plain = kept.sum(axis=1) == k
+    at = np.empty((len(keys), k), dtype=np.int64)
+    at[plain] = np.nonzero(kept[plain])[1].reshape(-1, k)
+    at[~plain] = np.lexsort((who[~plain], keys[~plain]), axis=1)[:, :k]
+    return np.take_along_axis(keys, at, axis=1), np.take_along_axis(who, at, axis=1)
+
+
 def _local_topk(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, exclude_self: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = np.zeros((len(ids), 0))
-        best_i = np.zeros((len(ids), 0), dtype=np.int64)
+        strips = [slice(a, a + QUERY_STRIP) for a in range(0, len(ids), QUERY_STRIP)]
+        best = [(np.zeros((len(ids[s]), 0)), np.zeros((len(ids[s]), 0), dtype=np.int64)) for s in strips]
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
@@ -103,16 +117,17 @@ def _local_topk(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, exclu
                 points = part.column(1).flatten().to_numpy(zero_copy_only=False)
                 if len(points) != len(rows) * queries.shape[1]:
                     raise ValueError("different dimensions")
-                dist = pairwise(metric, queries, points.reshape(len(rows), -1))
-                if exclude_self:
-                    dist = np.where(ids[:, None] == rows[None, :], np.inf, dist)
-                dist = np.concatenate([best_d, dist], axis=1)
-                who = np.concatenate([best_i, np.broadcast_to(rows, (len(ids), len(rows)))], axis=1)
-                at = np.lexsort((who, dist), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(dist, at, axis=1), np.take_along_axis(who, at, axis=1)
-        found = ~np.isposinf(best_d)
-        owner = np.broadcast_to(ids[:, None], best_d.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(owner[found]), pa.array(best_i[found]), pa.array(best_d[found])], names=["qid", "id", "dist"])
+                points = points.reshape(len(rows), -1)
+                for i, s in enumerate(strips):
+                    dist = pairwise(metric, queries[s], points)
+                    if exclude_self:
+                        dist = np.where(ids[s, None] == rows[None, :], np.inf, dist)
+                    who = np.broadcast_to(rows, dist.shape)
+                    best[i] = least(np.concatenate([best[i][0], dist], axis=1), np.concatenate([best[i][1], who], axis=1), k)
+        for s, (dist, who) in zip(strips, best, strict=True):
+            found = ~np.isposinf(dist)
+            owner = np.broadcast_to(ids[s, None], dist.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[found]), pa.array(who[found]), pa.array(dist[found])], names=["qid", "id", "dist"])
 
     return task
 
