@@ -404,3 +404,82 @@ def test_batch_scoring_stays_within_bounded_arrays():
         rows = [r for i, r, _ in got if i == q]
         assert np.sort(scores[rows]) == pytest.approx(np.sort(scores)[-5:], abs=1e-5)
         assert len({r % 5000 for r in rows}) == 3 and sum(r < 5000 for r in rows) == 3
+
+
+def plain_walk(scores, offsets, neighbours, entry, k, dead):
+    """One query's walk, step by step."""
+    width, seen, best, done = max(4 * k, 64), {entry}, [entry], set()
+    while True:
+        best = sorted(best, key=lambda p: (-scores[p], p))[: min(width, len(scores))]
+        ahead = [p for p in best if p not in done]
+        if not ahead:
+            return {p for p in [p for p in best if not dead[p]][:k]}
+        done.add(ahead[0])
+        new = [p for p in neighbours[offsets[ahead[0]] : offsets[ahead[0] + 1]].tolist() if p not in seen]
+        seen.update(new)
+        best += new
+
+
+@pytest.mark.parametrize("kind", ["spread", "copies", "star", "one"])
+def test_queries_that_walk_together_find_what_each_finds_alone(kind):
+    from vexel.index import graph
+
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((1 if kind == "one" else 900, 16)).astype(np.float32)
+    if kind == "copies":
+        points[:500] = points[0]
+    links, entry = graph.build(points)
+    if kind == "star":
+        links[entry] = np.setdiff1d(np.arange(900), [entry]).astype(np.int32)
+    offsets, neighbours = np.concatenate([[0], np.cumsum([len(x) for x in links])]), np.concatenate(links)
+    scores = (rng.standard_normal((70, 16)).astype(np.float32) @ points.T).astype(np.float32)
+    if kind == "copies":
+        scores[:, :500] = scores[:, :1]
+    for k, dead in ((3, np.zeros(len(points), dtype=bool)), (40, rng.random(len(points)) < 0.3)):
+        places, found = graph.search(scores, offsets, neighbours, entry, k, dead)
+        for q in range(len(scores)):
+            some = places[q] >= 0
+            assert set(places[q][some].tolist()) == plain_walk(scores[q], offsets, neighbours, entry, k, dead)
+            assert (found[q][some] == scores[q][places[q][some]]).all()
+
+
+def test_batches_do_by_block_what_needs_no_query(spark, tmp_path, monkeypatch):
+    """A block of queries takes one quantizer, and a task's shards give it no more rows than one shard does."""
+    from vexel.index import store
+
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((400, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<float>").coalesce(1)
+    index = build_index(df, str(tmp_path / "g"), IndexSpec("graph"), config=SearchConfig(graph_build_partitions=4))
+    made, real = [], store.Quantizer
+    monkeypatch.setattr(store, "Quantizer", lambda *a: made.append(a) or real(*a))
+    found = index._candidates(np.arange(50), points[:50], 10)
+    assert len(made) <= 2
+    walked = index._walk(np.arange(50), np.stack([index.quantizer.prepare(p) for p in points[:50]]), 10, None)
+    per_task = walked.groupBy(F.spark_partition_id(), "qid").count().agg(F.max("count")).first()[0]
+    assert per_task == 10 and walked.rdd.getNumPartitions() < 4
+    best = {r["qid"]: r["row_id"] for r in found.orderBy("score").collect()}
+    assert best == {i: i for i in range(50)}
+
+
+def test_exact_search_measures_few_pairs(monkeypatch):
+    """Of 300 queries and 6000 rows few pairs are measured element by element; found are the plain answer, copies and rows without a direction included."""
+    rng = np.random.default_rng(9)
+    points = rng.standard_normal((6000, 16)).astype(np.float32).astype(float)
+    points[100:130], points[5000:5030], points[40] = points[7], points[7], 0
+    ids = rng.permutation(6000)
+    asked = np.concatenate([[40, 7, 100], np.arange(200, 497)])
+    with np.errstate(invalid="ignore"):
+        exact = search.pairwise("cosine", points[asked], points)
+    measured, real = [], search._cosines
+    monkeypatch.setattr(search, "_cosines", lambda a, b, sizes: measured.append(len(a)) or real(a, b, sizes))
+    monkeypatch.setattr(search, "pairwise", lambda *a: pytest.fail("all pairs were measured"))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(points.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    got = {}
+    for b in search._local_topk(ids[asked], points[asked], 5, "cosine", True)(iter([batch])):
+        for q, i, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(q, []).append((np.nan_to_num(d, nan=9.0), i))
+    for q, dist in zip(asked, exact, strict=True):
+        plain = sorted((np.nan_to_num(d, nan=9.0), int(i)) for d, i in zip(dist, ids, strict=True) if i != ids[q])[:5]
+        assert sorted(got[ids[q]]) == plain
+    assert 300 * 5 <= sum(measured) < 300 * 6000 / 10

@@ -26,7 +26,7 @@ from vexel.config import SearchConfig
 from vexel.functions import vector
 from vexel.index import graph, kmeans
 from vexel.quantize import Quantizer
-from vexel.operators.search import BROADCAST_IDS, QUERY_BLOCK, QUERY_STRIP, blocks_of, distance, least, parse_allowlist, with_ids
+from vexel.operators.search import BROADCAST_IDS, QUERY_BLOCK, QUERY_STRIP, blocks_of, distance, least, offered, parse_allowlist, with_ids
 
 FORMAT = 2
 KINDS = ("flat", "ivf", "graph", "colbert")
@@ -40,8 +40,8 @@ _CODES = "row_id long, scale float, codes binary"
 _FOUND = "qid long, row_id long, score double"
 #: Estimates that a task keeps at once, for all queries of a block together.
 _KEPT = 16_000_000
-#: Rows scored at a time.
-_SCORED = 2048
+#: Rows scored at a time; estimates held at once of a graph's shard, for the queries that walk it together.
+_SCORED, _WALKED = 2048, 2_500_000
 _GRAPH = "shard int, entry int, ids binary, scales binary, codes array<binary>, offsets binary, neighbours binary"
 
 
@@ -169,7 +169,8 @@ class Index:
 
     def _candidates(self, ids: np.ndarray, queries: np.ndarray, n: int, allowed=None, probes: int | None = None) -> DataFrame:
         """``(qid, row_id, score)``: every task's best rows for each query of a block, in one scan."""
-        q = np.stack([self.quantizer.prepare(x, self.spec.normalize) for x in queries])
+        quantizer = self.quantizer  # worked out anew each time
+        q = np.stack([quantizer.prepare(x, self.spec.normalize) for x in queries])
         if self.is_degraded():
             warnings.warn(f"index {self.path} serves without its cells; rebuild it", stacklevel=3)
         rows, probed = self.codes(), None
@@ -181,7 +182,7 @@ class Index:
             if not probed.any(axis=0).all():
                 rows = rows.where(F.col("cell").isin(*[int(c) for c in np.flatnonzero(probed.any(axis=0))]))
         rows = with_ids(rows, allowed, "row_id").select("row_id", "scale", "codes", *(["cell"] if probed is not None else []))
-        found = rows.mapInArrow(_score(self.quantizer, ids, q, n * self.spec.assign_dups, probed), _FOUND)
+        found = rows.mapInArrow(_score(quantizer, ids, q, n * self.spec.assign_dups, probed), _FOUND)
         if self.spec.kind == "graph" and self.manifest["rows"]:
             found = found.union(self._walk(ids, q, n, allowed))
         return found
@@ -199,23 +200,40 @@ class Index:
             if n_dead <= BROADCAST_IDS:
                 dead, n_dead = np.sort(gone.select("row_id").toArrow()["row_id"].to_numpy()), 0
 
+        def rows_of(asked: np.ndarray, who: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (asked, who, scores.astype(float))], names=["qid", "row_id", "score"])
+
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in (batch.slice(at, 1).to_pylist()[0] for at in range(batch.num_rows)):
-                    ids, scales = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["scales"], "<f4")
-                    codes = quantizer.unpack(r["codes"])
-                    offsets, neighbours = np.frombuffer(r["offsets"], "<i8"), np.frombuffer(r["neighbours"], "<i4")
-                    hidden = np.isin(ids, dead)
-                    for i, q in zip(query_ids.tolist(), queries, strict=True):
-                        score = lambda at: quantizer.scores(q, codes[at], scales[at])  # noqa: E731, B023
-                        wanted = n + n_dead + int(hidden.sum())
-                        if whole or wanted >= len(ids):
-                            live = np.flatnonzero(~hidden)
-                            scores = score(live)
-                        else:
-                            found = graph.search(score, len(ids), offsets, neighbours, r["entry"], wanted, hidden)
-                            live, scores = np.asarray([p for _, p in found], dtype=np.int64), np.asarray([s for s, _ in found], dtype=float)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(live), i, dtype=np.int64)), pa.array(ids[live]), pa.array(scores)], names=["qid", "row_id", "score"])
+            best = None
+            for r in (batch.slice(at, 1).to_pylist()[0] for batch in batches for at in range(batch.num_rows)):
+                ids, scales = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["scales"], "<f4")
+                points = quantizer.levels[quantizer.unpack(r["codes"])] * scales[:, None]
+                offsets, neighbours = np.frombuffer(r["offsets"], "<i8"), np.frombuffer(r["neighbours"], "<i4")
+                hidden = np.isin(ids, dead)
+                wanted = n + n_dead + int(hidden.sum())
+                full = whole or wanted >= len(ids)
+                # The best of a task's shards are kept, unless all are wanted, rows go out later on, or an id has several places.
+                merged = not (full or n_dead or (ids[1:] == ids[:-1]).any())
+                if merged and best is None:
+                    best, who = np.full((len(query_ids), n), np.inf, dtype=np.float32), np.zeros((len(query_ids), n), dtype=np.int64)
+                strip = max(1, _WALKED // max(len(ids), 1))
+                for s in (slice(a, a + strip) for a in range(0, len(query_ids), strip)):
+                    # A product for all places costs less than to gather those that the walks come to.
+                    scores = queries[s] @ points.T
+                    if full:
+                        live = np.flatnonzero(~hidden)
+                        places, scores = np.broadcast_to(live, (len(scores), len(live))), scores[:, live]
+                    else:
+                        places, scores = graph.search(scores, offsets, neighbours, r["entry"], wanted, hidden)
+                    if merged:
+                        keys = np.concatenate([best[s], np.where(places >= 0, -scores, np.inf)], axis=1)
+                        best[s], who[s] = least(keys, np.concatenate([who[s], ids[places]], axis=1), n)
+                    else:
+                        some = places >= 0
+                        yield rows_of(np.broadcast_to(query_ids[s, None], some.shape)[some], ids[places[some]], scores[some])
+            if best is not None:
+                some = ~np.isposinf(best)
+                yield rows_of(np.broadcast_to(query_ids[:, None], some.shape)[some], who[some], -best[some])
 
         found = shards.mapInArrow(task, _FOUND)
         return with_ids(with_ids(found, gone if n_dead else None, "row_id", keep=False), allowed, "row_id")
@@ -376,23 +394,20 @@ def _score(quantizer: Quantizer, ids: np.ndarray, queries: np.ndarray, n: int, p
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strips = [slice(a, a + QUERY_STRIP) for a in range(0, len(ids), QUERY_STRIP)]
         # Scores are negative in here, so that the least are the best.
-        best = [(np.zeros((len(ids[s]), 0)), np.zeros((len(ids[s]), 0), dtype=np.int64)) for s in strips]
+        best = [(np.zeros((len(ids[s]), 0), dtype=np.float32), np.zeros((len(ids[s]), 0), dtype=np.int64)) for s in strips]
         for batch in (whole.slice(a, _SCORED) for whole in batches for a in range(0, whole.num_rows, _SCORED)):
             rows, scale = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            points = quantizer.levels[quantizer.unpack(batch.column(2).to_pylist())] * scale[:, None]
+            points = -quantizer.levels[quantizer.unpack(batch.column(2).to_pylist())] * scale[:, None]
             cell = batch.column(3).to_numpy() if probed is not None else np.zeros(len(rows), dtype=np.int64)
-            for i, s in enumerate(strips):
-                scores = np.full((len(ids[s]), len(rows)), np.inf)
-                for c in np.unique(cell):
-                    at = np.flatnonzero(cell == c)
-                    asking = np.flatnonzero(probed[s, c]) if probed is not None else np.arange(len(scores))
-                    scores[np.ix_(asking, at)] = -(queries[s][asking] @ points[at].T)
-                kept = np.concatenate([best[i][0], scores], axis=1), np.concatenate([best[i][1], np.broadcast_to(rows, scores.shape)], axis=1)
-                best[i] = least(*kept, n) if kept[0].shape[1] > 2 * n else kept
-        for s, kept in zip(strips, best, strict=True):
-            scores, who = least(*kept, n)
+            for c in np.unique(cell):
+                at = np.flatnonzero(cell == c)
+                for i, s in enumerate(strips):
+                    asking = np.flatnonzero(probed[s, c]) if probed is not None else np.arange(len(ids[s]))
+                    if len(asking):
+                        best[i] = offered(best[i], asking, queries[s][asking] @ points[at].T, rows[at], n)
+        for s, (scores, who) in zip(strips, best, strict=True):
             some = np.isfinite(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[s, None], scores.shape)[some]), pa.array(who[some]), pa.array(-scores[some])], names=["qid", "row_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.broadcast_to(ids[s, None], scores.shape)[some], who[some], -scores[some].astype(float))], names=["qid", "row_id", "score"])
 
     return task
 

@@ -18,6 +18,8 @@ METRICS = {"l2": "l2_distance", "l2_squared": "l2_squared_distance", "ip": "nega
 QUERY_BLOCK = 4096
 #: Queries of a block that are scored at a time, which bounds a task's arrays.
 QUERY_STRIP = 256
+#: The id of places that nobody has yet.
+_NOBODY = np.int64(2**63 - 1)
 #: Allowed or deleted ids joined by broadcast at most.
 BROADCAST_IDS = 1_000_000
 #: A distance join's pairs of blocks at most, while the left blocks stay within so many bytes; rows of a
@@ -44,7 +46,8 @@ def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
 
     Queries go to the tasks in blocks of :data:`QUERY_BLOCK`; each task scores its rows against a
     block with array arithmetic and keeps its ``k`` best, so what is shuffled is ``k`` rows for
-    each query and task. Rows and queries with null ids or vectors take no part.
+    each query and task. For ``cosine`` matrix products tell which pairs may be among these, and
+    these alone are measured exactly. Rows and queries with null ids or vectors take no part.
     """
     asked = queries.where(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
     rows = corpus.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -59,13 +62,17 @@ def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
 
 
 def blocks_of(asked: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of ``(q, v)`` in blocks of about ``size``, one on the driver at a time."""
-    parts = max(1, -(-asked.count() // size))
-    for part in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toArrow()
-        if block.num_rows:
-            points = block["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            yield block["q"].to_numpy(), points.astype(float).reshape(block.num_rows, -1)
+    """Ids and vectors of ``(q, v)`` in blocks of about ``size``, one on the driver at a time; their table is read once."""
+    held = asked.persist()
+    try:
+        parts = max(1, -(-held.count() // size))
+        for part in range(parts):
+            block = held.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toArrow()
+            if block.num_rows:
+                points = block["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                yield block["q"].to_numpy(), points.astype(float).reshape(block.num_rows, -1)
+    finally:
+        held.unpersist()
 
 
 def pairwise(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -85,13 +92,7 @@ def pairwise(metric: str, queries: np.ndarray, points: np.ndarray) -> np.ndarray
     dot = total(lambda a, b: a * b)
     if metric == "ip":
         return -dot
-    squares = [np.zeros(len(queries)), np.zeros(len(points))]
-    for x, out in zip((queries, points), squares, strict=True):
-        for d in range(x.shape[1]):
-            out += x[:, d] * x[:, d]
-    norm = np.sqrt(squares[0])[:, None] * np.sqrt(squares[1])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(norm > 0, 1 - np.clip(dot / norm, -1, 1), np.nan)
+    return _from_cosine(dot, _sizes(queries)[:, None] * _sizes(points))
 
 
 def least(keys: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,32 +107,117 @@ def least(keys: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return np.take_along_axis(keys, at, axis=1), np.take_along_axis(who, at, axis=1)
 
 
+def offered(best: tuple[np.ndarray, np.ndarray], asking: np.ndarray, keys: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` least keys of each query, and who has them, once those of the ``asking`` ones are offered the same rows."""
+    if best[0].shape[1] < k:
+        new = np.full((len(best[0]), keys.shape[1]), np.inf, dtype=keys.dtype)
+        new[asking] = keys
+        best = np.concatenate([best[0], new], axis=1), np.concatenate([best[1], np.broadcast_to(who, new.shape)], axis=1)
+        return least(*best, k)
+    near = np.flatnonzero(keys <= best[0].max(axis=1)[asking, None])
+    q, r = np.divmod(near, len(who))
+    return joined(best, asking[q], keys.ravel()[near], who[r], k)
+
+
+def joined(best: tuple[np.ndarray, np.ndarray], q: np.ndarray, keys: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``best``, which holds ``k`` keys of each query, with more of the queries ``q``, which ascend; the ``k`` least stay."""
+    if not len(q):
+        return best
+    count = np.bincount(q, minlength=len(best[0]))
+    some = np.flatnonzero(count)
+    at = (np.cumsum(count > 0) - 1)[q], np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count)
+    more = np.full((len(some), count.max()), np.nan, dtype=best[0].dtype), np.full((len(some), count.max()), _NOBODY)
+    more[0][at], more[1][at] = keys, who
+    best[0][some], best[1][some] = least(*(np.concatenate([x[some], y], axis=1) for x, y in zip(best, more, strict=True)), k)
+    return best
+
+
 def _local_topk(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, exclude_self: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strips = [slice(a, a + QUERY_STRIP) for a in range(0, len(ids), QUERY_STRIP)]
-        best = [(np.zeros((len(ids[s]), 0)), np.zeros((len(ids[s]), 0), dtype=np.int64)) for s in strips]
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                rows = part.column(0).to_numpy()
-                points = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                if len(points) != len(rows) * queries.shape[1]:
-                    raise ValueError("different dimensions")
-                points = points.reshape(len(rows), -1)
-                for i, s in enumerate(strips):
+        best = [(np.full((len(ids[s]), k), np.nan), np.full((len(ids[s]), k), _NOBODY)) for s in strips]
+        asked = _directions(queries) if metric == "cosine" else None
+        for part in (batch.slice(a, TILE) for batch in batches for a in range(0, batch.num_rows, TILE)):
+            rows = part.column(0).to_numpy()
+            points = part.column(1).flatten().to_numpy(zero_copy_only=False)
+            if len(points) != len(rows) * queries.shape[1]:
+                raise ValueError("different dimensions")
+            points = points.reshape(len(rows), -1)
+            held = _directions(points) if metric == "cosine" else None
+            for i, s in enumerate(strips):
+                cut = best[i][0].max(axis=1)
+                cut[np.isnan(cut)] = np.inf
+                maybe = None if held is None else _maybe_nearer([x[s] for x in asked], held, cut, k, ids[s, None] == rows if exclude_self and np.isinf(cut).any() else None)
+                if maybe is None or 8 * np.count_nonzero(maybe) > maybe.size:
                     dist = pairwise(metric, queries[s], points)
-                    if exclude_self:
-                        dist = np.where(ids[s, None] == rows[None, :], np.inf, dist)
-                    who = np.broadcast_to(rows, dist.shape)
-                    best[i] = least(np.concatenate([best[i][0], dist], axis=1), np.concatenate([best[i][1], who], axis=1), k)
+                    near = np.flatnonzero(~(dist > cut[:, None]))
+                    q, r = np.divmod(near, len(rows))
+                    dist = dist.ravel()[near]
+                else:
+                    q, r = np.divmod(np.flatnonzero(maybe), len(rows))
+                    sizes = asked[0][s][q] * held[0][r]
+                    dist = np.concatenate([_cosines(queries[s][q[a : a + 32_768]], points[r[a : a + 32_768]], sizes[a : a + 32_768]) for a in range(0, len(q), 32_768)] or [sizes])
+                if exclude_self:
+                    other = ids[s][q] != rows[r]
+                    q, r, dist = q[other], r[other], dist[other]
+                best[i] = joined(best[i], q, dist, rows[r], k)
         for s, (dist, who) in zip(strips, best, strict=True):
-            found = ~np.isposinf(dist)
+            found = (who != _NOBODY) & ~np.isposinf(dist)
             owner = np.broadcast_to(ids[s, None], dist.shape)
             yield pa.RecordBatch.from_arrays([pa.array(owner[found]), pa.array(who[found]), pa.array(dist[found])], names=["qid", "id", "dist"])
 
     return task
 
 
+def _directions(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, unit vectors in single precision, and of which vectors these are sound; others are zero."""
+    sizes = _sizes(points)
+    sound = (sizes > 1e-100) & (sizes < 1e100)
+    unit = np.zeros(points.shape, dtype=np.float32)
+    unit[sound] = points[sound] / sizes[sound, None]
+    return sizes, unit, sound
+
+
+def _maybe_nearer(asked: Sequence[np.ndarray], held: Sequence[np.ndarray], cut: np.ndarray, k: int, own: np.ndarray | None) -> np.ndarray:
+    """Of which pairs the cosine distance may be within the query's ``cut`` and among its ``k`` least; ``own`` pairs don't count.
+
+    A product in single precision tells, of which what its rounding can hide is let through.
+    """
+    (_, unit, sound), (_, points, plain) = asked, held
+    cosine = unit @ points.T
+    slack = (unit.shape[1] + 8) * 2.0**-23
+    first = np.flatnonzero(np.isinf(cut) & sound)
+    if len(first) and len(points) > k:
+        # Of queries without a cut, the k nearest of these rows give one.
+        near = np.where(plain, cosine[first], -2) if own is None else np.where(own[first] | ~plain, -2, cosine[first])
+        cut = cut.copy()
+        cut[first] = 1 + slack - np.partition(near, len(points) - k, axis=1)[:, len(points) - k]
+    floor = np.where(sound, 1 - slack - cut, -np.inf).astype(np.float32)
+    return (cosine >= floor[:, None]) | ~plain
+
+
+def _cosines(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Cosine distances of the rows of two arrays, as of :func:`pairwise`."""
+    dot = np.zeros(len(a))
+    for x, y in zip(a.T.copy(), b.T.copy(), strict=True):
+        dot += x * y
+    return _from_cosine(dot, sizes)
+
+
+def _from_cosine(dot: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(sizes > 0, 1 - np.clip(dot / sizes, -1, 1), np.nan)
+
+
+def _sizes(points: np.ndarray) -> np.ndarray:
+    """Norms, squares summed in the order of the elements."""
+    out = np.zeros(len(points))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(points.shape[1]):
+            out += points[:, d] * points[:, d]
+    return np.sqrt(out)
+
+
 def with_ids(df: DataFrame, ids: DataFrame | Sequence[int] | None, id_col: str, keep: bool = True) -> DataFrame:
     """Rows whose id is among ``ids`` (or not among them): the filter comes before any scoring.
 
